@@ -1,6 +1,695 @@
-"""Registered queries of the core and the SQL they are checked against."""
+"""Registered queries of the core and the SQL they are checked against.
+
+A query takes (spark, folder) and runs over the folder's whole tables.  Computed doubles are rounded to
+six places on both sides; missing values are null.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.columns import as_flag, as_number, days
+from ..operators import alpha, biases, cascades, centrality, communities, evaluation, features, graph, homophily, inference, reports, split
+from ..sources import tables
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+# ---- SQL building blocks -------------------------------------------------------------------------
+
+_CTE = {
+    "adoptions": "SELECT user_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS item_id, min(ts) AS ts, avg(value) AS rating FROM events GROUP BY ALL",
+    "cascades": """SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY ts, user_id) AS pos, user_id, epoch_us(ts) / 86400e6 AS t_days
+        FROM adoptions QUALIFY count(*) OVER (PARTITION BY item_id) >= 2""",
+    "gaps": "SELECT item_id, nxt - t_days AS gap FROM (SELECT *, lead(t_days) OVER (PARTITION BY item_id ORDER BY pos) AS nxt FROM cascades) WHERE nxt > t_days",
+    "edges": "SELECT DISTINCT src, dst FROM (SELECT user_id AS src, lead(user_id) OVER (PARTITION BY item_id ORDER BY pos) AS dst FROM cascades) WHERE dst IS NOT NULL AND src <> dst",
+    "nodes": "SELECT DISTINCT user_id AS node FROM events",
+    "und": "SELECT DISTINCT least(src, dst) AS u, greatest(src, dst) AS v FROM edges",
+    "nbs": "SELECT u AS node, v AS nb FROM und UNION ALL SELECT v, u FROM und",
+    "padoptions": "SELECT user_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS item_id, min(ts) AS ts FROM events WHERE event_type = 'purchase' GROUP BY ALL",
+    "pcascades": "SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY ts, user_id) AS pos, user_id FROM padoptions QUALIFY count(*) OVER (PARTITION BY item_id) >= 2",
+    "trust": "SELECT DISTINCT src, dst FROM (SELECT user_id AS src, lead(user_id) OVER (PARTITION BY item_id ORDER BY pos) AS dst FROM pcascades) WHERE dst IS NOT NULL AND src <> dst",
+    "membership": "SELECT DISTINCT user_id AS node, item_id % 7 AS community FROM cascades WHERE pos <= 10",
+    "sets": "SELECT node, list_sort(coalesce(c, []::BIGINT[])) AS communities FROM nodes LEFT JOIN (SELECT node, list(community) AS c FROM membership GROUP BY node) USING (node)",
+    "pairj": """SELECT n.node, n.nb, CASE WHEN len(list_distinct(list_concat(a.communities, b.communities))) = 0 THEN 0.0
+        ELSE len(list_intersect(a.communities, b.communities)) / len(list_distinct(list_concat(a.communities, b.communities))) END AS j
+        FROM nbs n JOIN sets a ON a.node = n.node JOIN sets b ON b.node = n.nb""",
+    "lph": "SELECT node, coalesce(m, 0.0) AS lph FROM nodes LEFT JOIN (SELECT node, avg(j) AS m FROM pairj GROUP BY node) USING (node)",
+    "align": """SELECT node, coalesce(s, 0) AS s FROM nodes LEFT JOIN (SELECT n.node, count(DISTINCT a.community) AS s FROM nbs n
+        JOIN membership a ON a.node = n.node JOIN membership b ON b.node = n.nb AND b.community = a.community GROUP BY n.node) USING (node)""",
+    "es": "SELECT e.u, e.v, a.s AS su, b.s AS sv FROM und e JOIN align a ON a.node = e.u JOIN align b ON b.node = e.v",
+    "hom": """SELECT CASE WHEN coalesce(sum((su - mu) * (su - mu)), 0) = 0 THEN 0.0 ELSE sum((su - mu) * (sv - mu)) / sum((su - mu) * (su - mu)) END AS h
+        FROM es, (SELECT avg((su + sv) / 2.0) AS mu FROM es)""",
+    "delta": """SELECT node, s, coalesce(d, 0.0) AS delta FROM align LEFT JOIN (SELECT n.node, avg(abs(a.s - b.s)) AS d FROM nbs n
+        JOIN align a ON a.node = n.node JOIN align b ON b.node = n.nb GROUP BY n.node) USING (node)""",
+    "scores": "SELECT node, s, delta, lam - delta AS lph_score FROM delta, (SELECT (any_value(h) + sum(delta)) / count(*) AS lam FROM delta, hom)",
+    "flags": "SELECT scores.*, CAST(lph_score <= edge AS INT) AS is_boundary FROM scores, (SELECT quantile_cont(lph_score, 0.2) AS edge FROM scores)",
+    "intens": "SELECT node, CASE WHEN top > 0 THEN greatest(-lph_score, 0.0) / top ELSE is_boundary END AS b FROM flags, (SELECT max(greatest(-lph_score, 0.0)) AS top FROM flags)",
+    "ratings": """SELECT o_custkey AS user_id, l_partkey AS item_id, avg(l_quantity) AS rating, min(o_orderdate) AS ts FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL""",
+    "folds": """SELECT *, CASE WHEN row_number() OVER (ORDER BY ts, user_id, item_id) <= floor((SELECT count(*) FROM ratings) * (1 - 0.2)) THEN 'train' ELSE 'test' END AS fold FROM ratings""",
+    "train": "SELECT * FROM folds WHERE fold = 'train'",
+    "test": "SELECT * FROM folds WHERE fold = 'test'",
+    "mean": "SELECT avg(rating) AS mu FROM train",
+    "ibias": "SELECT item_id, sum(rating - mu) / (count(*) + 10.0) AS bias FROM train, mean GROUP BY item_id",
+    "i1": "SELECT item_id, sum(rating - mu) / (count(*) + 10.0) AS b FROM train, mean GROUP BY item_id",
+    "u1": "SELECT user_id, sum(rating - mu - b) / (count(*) + 10.0) AS b FROM train JOIN i1 USING (item_id), mean GROUP BY user_id",
+    "preds": """SELECT t.user_id, t.item_id, t.rating, mu + coalesce(u.b, 0) + coalesce(i.b, 0) AS pred FROM test t
+        LEFT JOIN u5 u ON u.user_id = t.user_id LEFT JOIN i5 i ON i.item_id = t.item_id, mean""",
+    "trials": """SELECT o_orderkey AS trial, ['exponential', 'powerlaw', 'rayleigh'][o_orderkey % 3 + 1] AS model, 5 + o_custkey % 46 AS k,
+        0.01 + (o_orderkey % 100) / 10.0 AS lam, o_totalprice / 1e5 AS rmse, o_totalprice / 1.5e5 AS mae, 1.0 - o_totalprice / 4e5 AS r2, o_custkey % 97 AS edges,
+        CASE WHEN o_orderkey % 7 = 0 THEN 'False' WHEN o_orderkey % 11 = 0 THEN 'n/a' ELSE 'true' END AS sane,
+        CASE WHEN o_orderkey % 5 = 0 THEN '0' ELSE '1' END AS baseline_sane, o_totalprice / 1e5 - 1.5 AS rmse_delta FROM orders""",
+    "centers": """SELECT unnest(['exponential', 'powerlaw', 'rayleigh']) AS model, unnest([ln(2.0) / m, NULL, 2 * ln(2.0) / (m * m)]) AS center FROM (SELECT quantile_cont(gap, 0.5) AS m FROM gaps)""",
+    "grid": """SELECT model, i AS net_idx, CASE WHEN center IS NULL THEN 1.1 + i * 3.9 / 99 ELSE center * pow(100.0, 2.0 * i / 99 - 1.0) END AS alpha FROM centers, range(100) t(i)""",
+}
+for _k in range(2, 6):
+    _CTE[f"i{_k}"] = f"SELECT item_id, sum(rating - mu - b) / (count(*) + 10.0) AS b FROM train JOIN u{_k - 1} USING (user_id), mean GROUP BY item_id"
+    _CTE[f"u{_k}"] = f"SELECT user_id, sum(rating - mu - b) / (count(*) + 10.0) AS b FROM train JOIN i{_k} USING (item_id), mean GROUP BY user_id"
+#: What each block reads, in an order in which they can be defined.
+_ORDER = ["adoptions", "cascades", "gaps", "edges", "nodes", "und", "nbs", "padoptions", "pcascades", "trust", "membership", "sets", "pairj", "lph", "align", "es", "hom", "delta", "scores", "flags", "intens", "ratings", "folds", "train", "test", "mean", "ibias", "i1", "u1", "i2", "u2", "i3", "u3", "i4", "u4", "i5", "u5", "preds", "trials", "centers", "grid"]
+
+
+def _sql(body: str, recursive: bool = False, extra: dict[str, str] | None = None) -> str:
+    """The body with the blocks it needs, directly or through others."""
+    import re
+
+    known = _CTE | (extra or {})
+    names = [*_ORDER, *(extra or {})]
+    need: set[str] = set()
+    todo = [body]
+    while todo:
+        text = todo.pop()
+        for n in names:
+            if n not in need and re.search(rf"\b(?:FROM|JOIN|,)\s+{n}\b", text):
+                need.add(n)
+                todo.append(known[n])
+    parts = [f"{n} AS MATERIALIZED ({known[n]})" if n not in (extra or {}) else f"{n} AS ({known[n]})" for n in names if n in need]
+    return (f"WITH {'RECURSIVE ' if recursive else ''}" + ",\n".join(parts) + "\n" if parts else "") + body
+
+
+def _register(name: str, sql: str | None = None, **options):
+    def add(f):
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLES[name] = _sql(sql, **options)
+        return f
+
+    return add
+
+
+def _r(*cols: str):
+    return [F.round(F.col(c).cast("double"), 6).alias(c) for c in cols]
+
+
+# ---- logical tables ------------------------------------------------------------------------------
+
+
+def _cascades(s: SparkSession, d: str) -> DataFrame:
+    """Persisted: a query reads it through edges, memberships and statistics."""
+    return cascades.cascades(tables.adoptions(s, d)).persist()
+
+
+def _edges(s: SparkSession, d: str) -> DataFrame:
+    return cascades.adoption_edges(_cascades(s, d))
+
+
+def _nodes(s: SparkSession, d: str) -> DataFrame:
+    return tables.read(s, d, "events").select(F.col("user_id").alias("node")).distinct()
+
+
+def _und(s: SparkSession, d: str) -> DataFrame:
+    return graph.union_edges(_edges(s, d))
+
+
+def _trust(s: SparkSession, d: str) -> DataFrame:
+    bought = tables.adoptions_of(tables.read(s, d, "events").where("event_type = 'purchase'"))
+    return cascades.adoption_edges(cascades.cascades(bought))
+
+
+def _membership(s: SparkSession, d: str) -> DataFrame:
+    return _cascades(s, d).where("pos <= 10").select(F.col("user_id").alias("node"), (F.col("item_id") % 7).alias("community")).distinct()
+
+
+def _scores(s: SparkSession, d: str) -> DataFrame:
+    return homophily.paper_scores(_und(s, d), _nodes(s, d), _membership(s, d))
+
+
+def _flags(s: SparkSession, d: str) -> DataFrame:
+    return homophily.boundary_flags(_scores(s, d)).persist()
+
+
+def _folds(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    folds = split.temporal(tables.ratings(s, d).persist()).persist()
+    return folds.where("fold = 'train'"), folds.where("fold = 'test'")
+
+
+def _bias_model(s: SparkSession, d: str):
+    train, test = _folds(s, d)
+    mean = biases.global_mean(train)
+    users, items = biases.two_sided(train, mean)
+    return train, test, mean, users, items
+
+
+def _predictions(s: SparkSession, d: str) -> DataFrame:
+    _, test, mean, users, items = _bias_model(s, d)
+    return biases.predict(test, mean, users, items)
+
+
+def _median(s: SparkSession, d: str) -> DataFrame:
+    return cascades.median_gap(_cascades(s, d))
+
+
+# ---- sources, temporal statistics ----------------------------------------------------------------
+
+
+@_register("adoption_counts", "SELECT count(*) AS n_adoptions, count(DISTINCT user_id) AS n_users, count(DISTINCT item_id) AS n_items, round(min(rating), 6) AS lowest, round(max(rating), 6) AS highest FROM adoptions")
+def _(s, d):
+    a = tables.adoptions(s, d)
+    return a.agg(F.count("*").alias("n_adoptions"), F.count_distinct("user_id").alias("n_users"), F.count_distinct("item_id").alias("n_items"), F.round(F.min("rating"), 6).alias("lowest"), F.round(F.max("rating"), 6).alias("highest"))
+
+
+@_register("dense_ids", "SELECT id, dense_rank() OVER (ORDER BY id) - 1 AS code FROM (SELECT DISTINCT o_custkey AS id FROM orders)")
+def _(s, d):
+    return graph.dense_ids(tables.read(s, d, "orders").select(F.col("o_custkey").alias("id")))
+
+
+@_register("epoch_days", "SELECT event_id, round(epoch_us(ts) / 86400e6, 6) AS t_days FROM events")
+def _(s, d):
+    return tables.read(s, d, "events").select("event_id", F.round(days("ts"), 6).alias("t_days"))
+
+
+@_register("cascade_positions", "SELECT item_id, pos, user_id, round(t_days, 6) AS t_days FROM cascades")
+def _(s, d):
+    return _cascades(s, d).select("item_id", "pos", "user_id", *_r("t_days"))
+
+
+@_register("cascade_user_stats", """SELECT user_id, CASE WHEN n >= 5 THEN round(m, 6) END AS mean_cascade_position, CASE WHEN n >= 5 THEN lo END AS min_cascade_position, coalesce(n, 0) AS cascade_breadth
+    FROM (SELECT node AS user_id FROM nodes) LEFT JOIN (SELECT user_id, avg(pos) AS m, min(pos) AS lo, count(*) AS n FROM cascades GROUP BY user_id) USING (user_id)""")
+def _(s, d):
+    out = cascades.user_stats(_cascades(s, d), _nodes(s, d).withColumnRenamed("node", "user_id"))
+    return out.select("user_id", *_r("mean_cascade_position"), "min_cascade_position", "cascade_breadth")
+
+
+@_register("cascade_timeline", "SELECT item_id, pos, user_id, round(t_days, 6) AS t_days FROM cascades WHERE item_id IN (SELECT DISTINCT item_id FROM cascades ORDER BY item_id LIMIT 5)")
+def _(s, d):
+    return reports.timeline(_cascades(s, d), 5).select("item_id", "pos", "user_id", *_r("t_days"))
+
+
+@_register("median_gap_days", "SELECT round(quantile_cont(gap, 0.5), 6) AS median_gap, count(*) AS n_gaps FROM gaps")
+def _(s, d):
+    return _median(s, d).select(*_r("median_gap"), "n_gaps")
+
+
+@_register("alpha_centers", "SELECT model, round(center, 6) AS center FROM centers")
+def _(s, d):
+    return alpha.centers(_median(s, d)).select("model", *_r("center"))
+
+
+@_register("alpha_grid", "SELECT model, net_idx::INT AS net_idx, round(alpha, 6) AS alpha FROM grid")
+def _(s, d):
+    return alpha.grid(alpha.centers(_median(s, d))).select("model", "net_idx", *_r("alpha"))
+
+
+@_register("edge_budget", "SELECT count(*) AS n_nodes, greatest(1, round_even(count(*) * 2.0, 0))::BIGINT AS budget FROM nodes")
+def _(s, d):
+    return alpha.edge_budget(_nodes(s, d))
+
+
+@_register("influence_pairs", """SELECT a.user_id AS src, b.user_id AS dst, count(*) AS n, round(min(b.t_days - a.t_days), 6) AS least_gap FROM cascades a JOIN cascades b ON a.item_id = b.item_id AND a.t_days < b.t_days GROUP BY ALL""")
+def _(s, d):
+    return cascades.influence_pairs(_cascades(s, d)).groupBy("src", "dst").agg(F.count("*").alias("n"), F.round(F.min("gap"), 6).alias("least_gap"))
+
+
+@_register("split_temporal", "SELECT fold, count(*) AS n, count(DISTINCT user_id) AS n_users, min(ts) AS first_ts, max(ts) AS last_ts FROM folds GROUP BY fold")
+def _(s, d):
+    return split.temporal(tables.ratings(s, d)).groupBy("fold").agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("n_users"), F.min("ts").cast("timestamp_ntz").alias("first_ts"), F.max("ts").cast("timestamp_ntz").alias("last_ts"))
+
+
+@_register("split_random", """SELECT fold, count(*) AS n, sum(user_id)::BIGINT AS users, sum(item_id)::BIGINT AS items FROM (SELECT *, CASE WHEN row_number() OVER (ORDER BY md5(user_id || '-' || item_id || '-42')) <= floor((SELECT count(*) FROM ratings) * (1 - 0.2)) THEN 'train' ELSE 'test' END AS fold FROM ratings) GROUP BY fold""")
+def _(s, d):
+    return split.random(tables.ratings(s, d)).groupBy("fold").agg(F.count("*").alias("n"), F.sum("user_id").alias("users"), F.sum("item_id").alias("items"))
+
+
+@_register("warm_test_rows", "SELECT user_id, item_id, round(rating, 6) AS rating FROM test WHERE user_id IN (SELECT user_id FROM train) AND item_id IN (SELECT item_id FROM train)")
+def _(s, d):
+    return split.warm(*_folds(s, d)).select("user_id", "item_id", *_r("rating"))
+
+
+@_register("sample_rows", "SELECT user_id, item_id FROM ratings ORDER BY md5(user_id || '-' || item_id || '-42') LIMIT 500")
+def _(s, d):
+    return split.sample(tables.ratings(s, d), 500).select("user_id", "item_id")
+
+
+# ---- graphs --------------------------------------------------------------------------------------
+
+
+@_register("adoption_edges", "SELECT src, dst FROM edges")
+def _(s, d):
+    return _edges(s, d)
+
+
+@_register("valid_edges", "SELECT src, dst FROM edges WHERE src IN (SELECT DISTINCT user_id FROM events WHERE event_type = 'purchase') AND dst IN (SELECT DISTINCT user_id FROM events WHERE event_type = 'purchase')")
+def _(s, d):
+    bought = tables.read(s, d, "events").where("event_type = 'purchase'").select(F.col("user_id").alias("node"))
+    return graph.valid_edges(_edges(s, d), bought)
+
+
+@_register("edges_union", "SELECT u, v FROM und")
+def _(s, d):
+    return _und(s, d)
+
+
+@_register("edges_intersection", "SELECT a.src AS u, a.dst AS v FROM edges a JOIN edges b ON a.src = b.dst AND a.dst = b.src WHERE a.src < a.dst")
+def _(s, d):
+    return graph.mutual_edges(_edges(s, d))
+
+
+@_register("degree_centrality", """SELECT node, round(coalesce(i, 0) / n, 6) AS in_degree, round(coalesce(o, 0) / n, 6) AS out_degree, round((coalesce(i, 0) + coalesce(o, 0)) / n, 6) AS degree
+    FROM nodes LEFT JOIN (SELECT dst AS node, count(*) AS i FROM edges GROUP BY dst) USING (node) LEFT JOIN (SELECT src AS node, count(*) AS o FROM edges GROUP BY src) USING (node), (SELECT greatest(count(*) - 1, 1) AS n FROM nodes)""")
+def _(s, d):
+    return graph.degrees(_edges(s, d), _nodes(s, d)).select("node", *_r("in_degree", "out_degree", "degree"))
+
+
+_TRI = {"tri": "SELECT a.u AS a, a.v AS b, b.v AS c FROM und a JOIN und b ON b.u = a.v JOIN und c ON c.u = a.u AND c.v = b.v"}
+
+
+@_register("triangle_count", "SELECT count(*) AS n_triangles FROM tri", extra=_TRI)
+def _(s, d):
+    return graph.triangles(_und(s, d)).agg(F.count("*").alias("n_triangles"))
+
+
+@_register("clustering_coefficient", """SELECT node, round(CASE WHEN coalesce(k, 0) < 2 THEN 0.0 ELSE 2.0 * coalesce(t, 0) / (k * (k - 1)) END, 6) AS clustering FROM nodes
+    LEFT JOIN (SELECT node, count(*) AS k FROM nbs GROUP BY node) USING (node)
+    LEFT JOIN (SELECT node, count(*) AS t FROM (SELECT a AS node FROM tri UNION ALL SELECT b FROM tri UNION ALL SELECT c FROM tri) GROUP BY node) USING (node)""", extra=_TRI)
+def _(s, d):
+    return graph.clustering(_und(s, d), _nodes(s, d)).select("node", *_r("clustering"))
+
+
+_DEG = "FROM tn LEFT JOIN (SELECT dst AS node, count(*) AS i FROM trust GROUP BY dst) USING (node) LEFT JOIN (SELECT src AS node, count(*) AS o FROM trust GROUP BY src) USING (node)"
+_TN = {"tn": "SELECT src AS node FROM trust UNION SELECT dst FROM trust"}
+_OVER = _TN | {"ov": """SELECT c.node, CASE WHEN coalesce(nt, 0) + coalesce(ni, 0) - coalesce(nb, 0) > 0 THEN coalesce(nb, 0) / (coalesce(nt, 0) + coalesce(ni, 0) - coalesce(nb, 0)) END AS jaccard
+    FROM (SELECT node FROM tn INTERSECT (SELECT src FROM edges UNION SELECT dst FROM edges)) c LEFT JOIN (SELECT src AS node, count(*) AS nt FROM trust GROUP BY src) USING (node)
+    LEFT JOIN (SELECT src AS node, count(*) AS ni FROM edges GROUP BY src) USING (node) LEFT JOIN (SELECT t.src AS node, count(*) AS nb FROM trust t JOIN edges e ON e.src = t.src AND e.dst = t.dst GROUP BY t.src) USING (node)"""}
+
+
+@_register("trust_degrees", f"SELECT node, coalesce(i, 0) AS in_count, coalesce(o, 0) AS out_count {_DEG}", extra=_TN)
+def _(s, d):
+    t = _trust(s, d)
+    return graph.raw_degrees(t, t.select(F.explode(F.array("src", "dst")).alias("node")).distinct())
+
+
+@_register("trust_overlap_jaccard", "SELECT node, round(jaccard, 6) AS jaccard FROM ov", extra=_OVER)
+def _(s, d):
+    return graph.overlap(_trust(s, d), _edges(s, d)).select("node", *_r("jaccard"))
+
+
+@_register("common_nodes", "SELECT node FROM tn INTERSECT (SELECT src FROM edges UNION SELECT dst FROM edges)", extra=_TN)
+def _(s, d):
+    return graph.overlap(_trust(s, d), _edges(s, d)).select("node")
+
+
+@_register("alignment_ratio", "SELECT count(*) AS n_inferred, count(t.src) AS n_shared, round(CASE WHEN count(*) > 0 THEN count(t.src) / count(*) END, 6) AS alignment_ratio FROM edges e LEFT JOIN trust t ON t.src = e.src AND t.dst = e.dst")
+def _(s, d):
+    return graph.alignment_ratio(_trust(s, d), _edges(s, d)).select("n_inferred", "n_shared", *_r("alignment_ratio"))
+
+
+@_register("trust_features", f"SELECT coalesce(a.node, b.node) AS node, coalesce(in_count, 0) AS in_count, coalesce(out_count, 0) AS out_count, round(coalesce(jaccard, 0), 6) AS jaccard FROM (SELECT node, coalesce(i, 0) AS in_count, coalesce(o, 0) AS out_count {_DEG}) a FULL JOIN ov b ON a.node = b.node", extra=_OVER)
+def _(s, d):
+    t = _trust(s, d)
+    return graph.trust_features(t, graph.overlap(t, _edges(s, d))).select("node", "in_count", "out_count", *_r("jaccard"))
+
+
+# ---- homophily and social weights ----------------------------------------------------------------
+
+
+@_register("community_membership", "SELECT node, len(communities)::INT AS num_communities, list_aggregate(communities, 'string_agg', ';') AS community_ids FROM sets WHERE len(communities) > 0")
+def _(s, d):
+    keyed = lambda t: t.select(F.lit("bound").alias("model"), F.lit(0).alias("net_idx"), "*")
+    return communities.membership_lists(keyed(_nodes(s, d)), keyed(_membership(s, d))).where("num_communities > 0").select("node", "num_communities", "community_ids")
+
+
+@_register("jaccard_lph", "SELECT node, round(lph, 6) AS lph FROM lph")
+def _(s, d):
+    return homophily.jaccard_lph(_und(s, d), _nodes(s, d), _membership(s, d)).select("node", *_r("lph"))
+
+
+@_register("neighborhood_alignment", "SELECT node, s FROM align")
+def _(s, d):
+    return homophily.alignment(_und(s, d), _nodes(s, d), _membership(s, d))
+
+
+@_register("network_homophily", "SELECT round(h, 6) AS h FROM hom")
+def _(s, d):
+    und = _und(s, d)
+    return homophily.network_homophily(und, homophily.alignment(und, _nodes(s, d), _membership(s, d))).select(*_r("h"))
+
+
+@_register("lph_scores", "SELECT node, s, round(delta, 6) AS delta, round(lph_score, 6) AS lph_score FROM scores")
+def _(s, d):
+    return _scores(s, d).select("node", "s", *_r("delta", "lph_score"))
+
+
+@_register("boundary_flags", "SELECT node, round(lph_score, 6) AS lph_score, is_boundary FROM flags")
+def _(s, d):
+    return _flags(s, d).select("node", *_r("lph_score"), "is_boundary")
+
+
+@_register("boundary_intensity", "SELECT node, round(b, 6) AS intensity FROM intens")
+def _(s, d):
+    return homophily.boundary_intensity(_flags(s, d)).select("node", *_r("intensity"))
+
+
+_MODE_SQL = {
+    "uniform": "1.0",
+    "community_jaccard": "p.j",
+    "boundary_downweight": "p.j * greatest(0.0, 1.0 - 0.5 * greatest(a.b, b.b))",
+    "bridge_preserve": "1.0 / (1.0 + exp(-(1.0 * p.j - 0.5 * greatest(a.b, b.b))))",
+}
+
+
+def _social(mode: str):
+    def run(s: SparkSession, d: str) -> DataFrame:
+        sets = homophily.member_sets(_nodes(s, d), _membership(s, d))
+        return homophily.social_edges(_edges(s, d), sets, homophily.boundary_intensity(_flags(s, d)), mode)
+
+    return run
+
+
+for _mode, _w in _MODE_SQL.items():
+    _weights = {"w": f"SELECT p.node AS u, p.nb AS v, {_w} AS w FROM pairj p JOIN intens a ON a.node = p.node JOIN intens b ON b.node = p.nb WHERE p.node < p.nb"}
+    _register(f"social_weights_{_mode}", "SELECT u, v, round(w / avg(w) OVER (), 6) AS weight FROM w WHERE w > 0", extra=_weights)(lambda s, d, m=_mode: _social(m)(s, d).select("u", "v", *_r("weight")))
+    if _mode == "boundary_downweight":
+        _register("social_weight_summary", "SELECT count(*) AS n_edges, round(min(x), 6) AS min_weight, round(avg(x), 6) AS mean_weight, round(max(x), 6) AS max_weight FROM (SELECT w / avg(w) OVER () AS x FROM w WHERE w > 0)", extra=_weights)(lambda s, d: homophily.weight_summary(_social("boundary_downweight")(s, d)).select("n_edges", *_r("min_weight", "mean_weight", "max_weight")))
+
+
+# ---- biases, rating and ranking metrics ----------------------------------------------------------
+
+
+@_register("rating_span", "SELECT round(min(rating), 6) AS lowest, round(max(rating), 6) AS highest, round(max(rating) - min(rating), 6) AS span FROM ratings")
+def _(s, d):
+    return evaluation.span(tables.ratings(s, d)).select(*_r("lowest", "highest", "span"))
+
+
+@_register("popularity_item_bias", "SELECT item_id, round(bias, 6) AS bias FROM ibias")
+def _(s, d):
+    train, _ = _folds(s, d)
+    return biases.one_sided(train, "item_id", biases.global_mean(train)).select("item_id", *_r("bias"))
+
+
+@_register("popularity_implicit", "SELECT item_id, round(sum(rating) / (count(*) + 10.0), 6) AS score FROM ratings GROUP BY item_id")
+def _(s, d):
+    return biases.most_popular(tables.ratings(s, d), implicit=True).select("item_id", *_r("score"))
+
+
+@_register("two_sided_biases", "SELECT 'user' AS side, user_id AS id, round(b, 6) AS bias FROM u5 UNION ALL SELECT 'item', item_id, round(b, 6) FROM i5")
+def _(s, d):
+    _, _, _, users, items = _bias_model(s, d)
+    one = lambda t, side: t.toDF("id", "b").select(F.lit(side).alias("side"), "id", F.round("b", 6).alias("bias"))
+    return one(users.select("user_id", "user_bias"), "user").unionByName(one(items.select("item_id", "item_bias"), "item"))
+
+
+@_register("centered_columns", "SELECT user_id, item_id, round(rating - avg(rating) OVER (PARTITION BY item_id), 6) AS centered FROM ratings")
+def _(s, d):
+    return biases.center_columns(tables.ratings(s, d)).select("user_id", "item_id", *_r("centered"))
+
+
+@_register("predictions", "SELECT user_id, item_id, round(pred, 6) AS pred FROM preds")
+def _(s, d):
+    return _predictions(s, d).select("user_id", "item_id", *_r("pred"))
+
+
+@_register("bias_rmse_mae_r2", "SELECT round(sqrt(avg((rating - pred) ** 2)), 6) AS rmse, round(avg(abs(rating - pred)), 6) AS mae, round(1 - sum((rating - pred) ** 2) / (var_pop(rating) * count(*)), 6) AS r2, count(*) AS n FROM preds")
+def _(s, d):
+    return evaluation.rating_metrics(_predictions(s, d)).select(*_r("rmse", "mae", "r2"), "n")
+
+
+@_register("per_user_mean_prediction", "SELECT user_id, round(avg(pred), 6) AS mean_pred FROM preds GROUP BY user_id")
+def _(s, d):
+    return _predictions(s, d).groupBy("user_id").agg(F.round(F.avg("pred"), 6).alias("mean_pred"))
+
+
+_RANK = {
+    "items": "SELECT item_id FROM train UNION SELECT item_id FROM test",
+    "asked": "SELECT DISTINCT user_id FROM test",
+    "cand": "SELECT a.user_id, i.item_id FROM asked a, items i WHERE NOT EXISTS (SELECT 1 FROM train t WHERE t.user_id = a.user_id AND t.item_id = i.item_id)",
+    "ranked": "SELECT c.user_id, c.item_id, p.b AS score, row_number() OVER (PARTITION BY c.user_id ORDER BY p.b DESC NULLS LAST, c.item_id) AS rank FROM cand c LEFT JOIN i5 p ON p.item_id = c.item_id",
+}
+_PER_USER = """SELECT n.user_id, coalesce(hits, 0) / 10.0 AS p, coalesce(hits, 0) / n AS r, coalesce(dcg, 0.0) / list_sum([1 / log2(x + 1) FOR x IN range(1, least(n, 10) + 1)]) AS g, coalesce(1.0 / first, 0.0) AS rr
+    FROM (SELECT user_id, count(*) AS n FROM test GROUP BY user_id) n LEFT JOIN (SELECT k.user_id, count(*) FILTER (rank <= 10) AS hits, sum(1 / log2(rank + 1)) FILTER (rank <= 10) AS dcg, min(rank) AS first
+    FROM ranked k JOIN test t ON t.user_id = k.user_id AND t.item_id = k.item_id GROUP BY k.user_id) h USING (user_id)"""
+
+
+def _scored(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    train, test, _, _, items = _bias_model(s, d)
+    every = train.select("item_id").union(test.select("item_id")).distinct()
+    cand = evaluation.candidates(test, every, train)
+    return cand.join(items, "item_id", "left").withColumnRenamed("item_bias", "score"), test
+
+
+@_register("ranking_metrics", "SELECT round(avg(p), 6) AS precision_at_k, round(avg(r), 6) AS recall_at_k, round(avg(g), 6) AS ndcg_at_k, round(avg(rr), 6) AS mrr, count(*) AS n_users FROM per", extra=_RANK | {"per": _PER_USER})
+def _(s, d):
+    return evaluation.ranking_metrics(*_scored(s, d)).select(*_r("precision_at_k", "recall_at_k", "ndcg_at_k", "mrr"), "n_users")
+
+
+@_register("top_n_items", "SELECT user_id, item_id, round(score, 6) AS score, rank::INT AS rank FROM ranked WHERE rank <= 10", extra=_RANK)
+def _(s, d):
+    return evaluation.top_n(_scored(s, d)[0], 10).select("user_id", "item_id", *_r("score"), "rank")
+
+
+@_register("candidate_counts", "SELECT user_id, count(*) AS n FROM cand GROUP BY user_id", extra=_RANK)
+def _(s, d):
+    return _scored(s, d)[0].groupBy("user_id").agg(F.count("*").alias("n"))
+
+
+@_register("metric_deltas", "SELECT trial, round(mae - rmse, 6) AS rmse_delta, round((rmse - mae) / rmse * 100.0, 6) AS rmse_improvement_pct FROM trials")
+def _(s, d):
+    return evaluation.deltas(tables.trials(s, d).drop("rmse_delta"), "rmse", "mae", "rmse").select("trial", *_r("rmse_delta", "rmse_improvement_pct"))
+
+
+@_register("sanity_predicate", "SELECT trial, rmse <= 10 AS reasonable FROM trials")
+def _(s, d):
+    return evaluation.reasonable(tables.trials(s, d), 0.5).select("trial", "reasonable")
+
+
+# ---- features ------------------------------------------------------------------------------------
+
+
+@_register("topk_communities", "SELECT community, size, row_number() OVER (ORDER BY size DESC, community)::INT AS rank FROM (SELECT community, count(DISTINCT node) AS size FROM membership GROUP BY community) ORDER BY size DESC, community LIMIT 20")
+def _(s, d):
+    return features.top_communities(_membership(s, d))
+
+
+@_register("community_onehot", "SELECT node, " + ", ".join(f"CAST(list_contains(communities, {c}) AS INT) AS community_{c}" for c in range(7)) + " FROM sets")
+def _(s, d):
+    return features.one_hot(_nodes(s, d), _membership(s, d), list(range(7)))
+
+
+_FEATURES = {"feat": """SELECT n.node, s.s::DOUBLE AS s, s.lph_score, l.lph, coalesce(c.n, 0)::DOUBLE AS breadth, coalesce(o.k, 0)::DOUBLE AS out_count FROM nodes n JOIN scores s USING (node) JOIN lph l USING (node)
+    LEFT JOIN (SELECT user_id AS node, count(*) AS n FROM cascades GROUP BY 1) c USING (node) LEFT JOIN (SELECT src AS node, count(*) AS k FROM edges GROUP BY 1) o USING (node)"""}
+_COLS = ["s", "lph_score", "lph", "breadth", "out_count"]
+
+
+def _features(s: SparkSession, d: str) -> DataFrame:
+    nodes, und, member = _nodes(s, d), _und(s, d), _membership(s, d)
+    breadth = _cascades(s, d).groupBy(F.col("user_id").alias("node")).agg(F.count("*").alias("breadth"))
+    out = _edges(s, d).groupBy(F.col("src").alias("node")).agg(F.count("*").alias("out_count"))
+    return features.assemble(nodes, _scores(s, d), homophily.jaccard_lph(und, nodes, member), breadth, out, disabled=("delta",))
+
+
+@_register("feature_matrix", "SELECT node, " + ", ".join(f"round({c}, 6) AS {c}" for c in _COLS) + " FROM feat", extra=_FEATURES)
+def _(s, d):
+    return _features(s, d).select("node", *_r(*_COLS))
+
+
+for _name, _expr in (
+    ("standard", "round(({c} - avg({c}) OVER ()) / CASE WHEN stddev_pop({c}) OVER () > 0 THEN stddev_pop({c}) OVER () ELSE 1 END, 6) AS {c}"),
+    ("minmax", "round(({c} - min({c}) OVER ()) / CASE WHEN max({c}) OVER () > min({c}) OVER () THEN max({c}) OVER () - min({c}) OVER () ELSE 1 END, 6) AS {c}"),
+    ("normalizer", "round({c} / CASE WHEN sqrt(" + " + ".join(f"{c} * {c}" for c in _COLS).replace("{", "{{").replace("}", "}}") + ") > 0 THEN sqrt(" + " + ".join(f"{c} * {c}" for c in _COLS) + ") ELSE 1 END, 6) AS {c}"),
+):
+    _register(f"scaler_{_name}", "SELECT node, " + ", ".join(_expr.format(c=c) for c in _COLS) + " FROM feat", extra=_FEATURES)(lambda s, d, n=_name: features.SCALERS[n](_features(s, d), _COLS).select("node", *_r(*_COLS)))
+
+
+# ---- inference -----------------------------------------------------------------------------------
+
+_PICK = {"picked": "SELECT * FROM grid WHERE net_idx = 50"}
+_LOGP = "CASE model WHEN 'exponential' THEN ln(alpha) - alpha * gap WHEN 'powerlaw' THEN CASE WHEN gap >= 1 THEN ln(alpha - 1.0) - alpha * ln(gap) END ELSE ln(alpha) + ln(gap) - alpha * gap * gap / 2.0 END - ln(1e-8)"
+_GAINS = _PICK | {
+    "pairs": "SELECT a.item_id, a.user_id AS src, b.user_id AS dst, b.t_days - a.t_days AS gap FROM cascades a JOIN cascades b ON a.item_id = b.item_id AND a.t_days < b.t_days",
+    "gains": f"SELECT model, net_idx, src, dst, sum(w) AS gain FROM (SELECT model, net_idx, src, dst, {_LOGP} AS w FROM pairs, picked) WHERE w > 0 GROUP BY ALL",
+}
+
+
+def _picked(s: SparkSession, d: str) -> DataFrame:
+    return alpha.grid(alpha.centers(_median(s, d))).where("net_idx = 50")
+
+
+@_register("first_round_influence_gain", "SELECT model, net_idx::INT AS net_idx, src, dst, round(gain, 6) AS gain FROM gains", extra=_GAINS)
+def _(s, d):
+    return inference.first_gains(inference.edge_gains(cascades.influence_pairs(_cascades(s, d)), _picked(s, d))).select("model", "net_idx", "src", "dst", *_r("gain"))
+
+
+@_register("inferred_edges")
+def _(s, d):
+    budget = alpha.edge_budget(_nodes(s, d)).first()["budget"]
+    return inference.infer(_cascades(s, d), _picked(s, d), budget)
+
+
+@_register("edge_counts_by_alpha", "SELECT model, net_idx::INT AS net_idx, round(alpha, 6) AS alpha, coalesce(n, 0) AS edges FROM grid LEFT JOIN (SELECT model, net_idx, count(*) AS n FROM gains GROUP BY ALL) USING (model, net_idx)", extra=_GAINS)
+def _(s, d):
+    grid = alpha.grid(alpha.centers(_median(s, d)))
+    gains = inference.first_gains(inference.edge_gains(cascades.influence_pairs(_cascades(s, d)), grid.where("net_idx = 50")))
+    return inference.edge_counts(grid, gains).select("model", "net_idx", *_r("alpha"), "edges")
+
+
+# ---- centrality ----------------------------------------------------------------------------------
+
+
+def _keyed(t: DataFrame) -> DataFrame:
+    return t.select(F.lit("bound").alias("model"), F.lit(0).alias("net_idx"), *t.columns)
+
+
+_PR = {"size": "SELECT count(*) AS n FROM nodes", "outd": "SELECT src AS node, count(*) AS k FROM edges GROUP BY src", "r0": "SELECT node, 1.0 / n AS x FROM nodes, size"}
+for _k in range(1, 4):
+    _PR[f"l{_k}"] = f"SELECT coalesce(sum(x) FILTER (k IS NULL), 0.0) AS lost FROM r{_k - 1} LEFT JOIN outd USING (node)"
+    _PR[f"g{_k}"] = f"SELECT e.dst AS node, sum(r.x / o.k) AS p FROM edges e JOIN r{_k - 1} r ON r.node = e.src JOIN outd o ON o.node = e.src GROUP BY e.dst"
+    _PR[f"r{_k}"] = f"SELECT q.node, 0.15 / n + 0.85 * (coalesce(p, 0.0) + lost / n) AS x FROM nodes q LEFT JOIN g{_k} USING (node), size, l{_k}"
+
+
+@_register("pagerank_3_steps", "SELECT node, round(x, 6) AS pagerank FROM r3", extra=_PR)
+def _(s, d):
+    return centrality.pagerank(_keyed(_nodes(s, d)), _keyed(_edges(s, d)), steps=3).select("node", *_r("pagerank"))
+
+
+_BFS = {"seen": """SELECT 0 AS dist, node FROM (SELECT min(node) AS node FROM nodes) UNION SELECT s.dist + 1, n.nb FROM seen s JOIN nbs n ON n.node = s.node WHERE s.dist < 6"""}
+
+
+@_register("bfs_distances", "SELECT node, min(dist)::INT AS dist FROM seen GROUP BY node", recursive=True, extra=_BFS)
+def _(s, d):
+    return centrality.bfs(_und(s, d), _nodes(s, d).agg(F.min("node").alias("node")), most=6).select("node", "dist")
+
+
+@_register("hits")
+def _(s, d):
+    return centrality.hits(_keyed(_nodes(s, d)), _keyed(_edges(s, d)))
+
+
+@_register("eigenvector")
+def _(s, d):
+    return centrality.eigenvector(_keyed(_nodes(s, d)), _keyed(_edges(s, d)))
+
+
+@_register("pagerank")
+def _(s, d):
+    return centrality.pagerank(_keyed(_nodes(s, d)), _keyed(_edges(s, d)))
+
+
+@_register("path_metrics")
+def _(s, d):
+    return centrality.path_metrics(_keyed(_nodes(s, d)), _keyed(_edges(s, d)))
+
+
+@_register("pagerank_lph")
+def _(s, d):
+    beta = centrality.softmax_beta(_keyed(_scores(s, d)))
+    return centrality.pagerank_beta(_keyed(_nodes(s, d)), _keyed(_edges(s, d)), beta)
+
+
+@_register("communities_demon")
+def _(s, d):
+    return communities.detect(_keyed(_nodes(s, d)), _keyed(graph.mutual_edges(_edges(s, d))), "demon")
+
+
+@_register("communities_aslpaw")
+def _(s, d):
+    return communities.detect(_keyed(_nodes(s, d)), _keyed(graph.mutual_edges(_edges(s, d))), "aslpaw")
+
+
+# ---- reports -------------------------------------------------------------------------------------
+
+_NET = "SELECT model, (trial % 10)::INT AS net_idx, rmse, mae AS baseline_rmse FROM trials"
+_RUNS = lambda s, d: tables.trials(s, d).select("model", (F.col("trial") % 10).cast("int").alias("net_idx"), "rmse", F.col("mae").alias("baseline_rmse"))
+
+
+@_register("network_summary", "SELECT model, net_idx, round(avg(rmse), 6) AS rmse_mean, round(stddev_pop(rmse), 6) AS rmse_std, round(avg(baseline_rmse), 6) AS baseline_rmse_mean, round((avg(baseline_rmse) - avg(rmse)) / avg(baseline_rmse) * 100.0, 6) AS improvement_pct FROM net GROUP BY ALL", extra={"net": _NET})
+def _(s, d):
+    return reports.network_summary(_RUNS(s, d)).select("model", "net_idx", *_r("rmse_mean", "rmse_std", "baseline_rmse_mean", "improvement_pct"))
+
+
+@_register("community_stats_by_network", "SELECT s % 3 AS net_idx, " + ", ".join(f"round(avg({c}), 6) AS {c}_mean, round(median({c}), 6) AS {c}_median, round(stddev_samp({c}), 6) AS {c}_std" for c in ("lph", "lph_score")) + ", round(avg(k), 6) AS communities_mean, round(median(k), 6) AS communities_median FROM (SELECT s.s, l.lph, s.lph_score, len(communities) AS k FROM scores s JOIN lph l USING (node) JOIN sets USING (node)) GROUP BY 1")
+def _(s, d):
+    nodes, member = _nodes(s, d), _membership(s, d)
+    lists = homophily.member_sets(nodes, member).select("node", F.size("communities").alias("num_communities"))
+    t = _scores(s, d).join(homophily.jaccard_lph(_und(s, d), nodes, member), "node").join(lists, "node").withColumn("model", F.lit("bound")).withColumn("net_idx", F.col("s") % 3)
+    return reports.community_stats(t).select("net_idx", *_r("lph_mean", "lph_median", "lph_std", "lph_score_mean", "lph_score_median", "lph_score_std", "communities_mean", "communities_median"))
+
+
+_SANE = "lower(sane) = 'true'"
+_STATS = ", ".join(f"round({f}({c}) FILTER ({w}), 6) AS {c}_{n}" for c, w in (("rmse", _SANE), ("mae", _SANE), ("r2", _SANE), ("edges", _SANE), ("rmse_delta", f"{_SANE} AND baseline_sane = '1'")) for n, f in (("mean", "avg"), ("std", "stddev_samp"), ("min", "min"), ("max", "max")))
+
+
+@_register("sweep_summary", f"SELECT model, count(*) AS sampled_runs, count(*) FILTER ({_SANE}) AS metric_runs, count(*) FILTER ({_SANE} AND baseline_sane = '1') AS delta_runs, {_STATS} FROM trials GROUP BY model")
+def _(s, d):
+    out = reports.sweep_summary(tables.trials(s, d))
+    return out.select("model", "sampled_runs", "metric_runs", "delta_runs", *_r(*[c for c in out.columns if c.rsplit("_", 1)[-1] in ("mean", "std", "min", "max")]))
+
+
+@_register("coerced_flags", "SELECT trial, CASE lower(sane) WHEN 'true' THEN 1 WHEN 'false' THEN 0 END AS flag, round(try_cast(sane AS DOUBLE), 6) AS number FROM trials")
+def _(s, d):
+    return tables.trials(s, d).select("trial", as_flag("sane").alias("flag"), F.round(as_number("sane"), 6).alias("number"))
+
+
+@_register("running_best", "SELECT trial, model, round(min(rmse) OVER (PARTITION BY model ORDER BY trial ROWS UNBOUNDED PRECEDING), 6) AS best_so_far FROM trials")
+def _(s, d):
+    return reports.running_best(tables.trials(s, d)).select("trial", "model", *_r("best_so_far"))
+
+
+@_register("best_trial", "SELECT model, arg_min(trial, (rmse, trial)) AS trial, round(min(rmse), 6) AS rmse FROM trials GROUP BY model")
+def _(s, d):
+    return reports.best_trial(tables.trials(s, d)).select("model", "trial", *_r("rmse"))
+
+
+@_register("parameter_heatmap", """SELECT x AS x_bin, y AS y_bin, count(*) AS n, round(avg(rmse), 6) AS mean FROM (SELECT greatest(ceil((k - 5) / (45 / 9.0)), 1)::INT AS x, greatest(ceil((lam - 0.0) / (9.0 / 9)), 1)::INT AS y, rmse FROM trials WHERE k BETWEEN 5 AND 50 AND lam BETWEEN 0 AND 9) GROUP BY ALL""")
+def _(s, d):
+    return reports.heatmap(tables.trials(s, d), "k", "lam", "rmse", (5, 50), (0.0, 9.0)).select("x_bin", "y_bin", "n", *_r("mean"))
+
+
+@_register("metric_correlation", " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 6) AS r FROM feat" for i, a in enumerate(_COLS) for b in _COLS[i:]), extra=_FEATURES)
+def _(s, d):
+    return reports.correlations(_features(s, d), _COLS).select("a", "b", *_r("r"))
+
+
+@_register("percentile_clip", "SELECT node, round(least(breadth, edge), 6) AS breadth FROM feat, (SELECT quantile_cont(breadth, 0.99) AS edge FROM feat)", extra=_FEATURES)
+def _(s, d):
+    return reports.clipped(_features(s, d), "breadth").select("node", *_r("breadth"))
+
+
+@_register("centrality_histogram", """SELECT CASE WHEN hi > lo THEN least(floor((out_count - lo) / ((hi - lo) / 20)), 19) ELSE 0 END::INT AS bin, count(*) AS n FROM feat, (SELECT min(out_count) AS lo, max(out_count) AS hi FROM feat WHERE out_count > 0) WHERE out_count > 0 GROUP BY 1""", extra=_FEATURES)
+def _(s, d):
+    return reports.histogram(_features(s, d), "out_count")
+
+
+@_register("plot_points", "SELECT model, trial FROM trials QUALIFY row_number() OVER (PARTITION BY model ORDER BY md5(trial || '-42'), trial) <= 50")
+def _(s, d):
+    return reports.points(tables.trials(s, d), "model", "trial", 50).select("model", "trial")
+
+
+@_register("feature_importance", """SELECT model, feature, round(m, 6) AS mean_abs_shap, round(s, 6) AS mean_shap, row_number() OVER (PARTITION BY model ORDER BY m DESC, feature)::INT AS rank FROM (SELECT model, feature, avg(m) AS m, avg(s) AS s FROM (SELECT model, net_idx, feature, avg(abs(x)) AS m, avg(x) AS s FROM shap GROUP BY ALL) GROUP BY ALL)""",
+    extra={"shap": "SELECT model, trial % 10 AS net_idx, 'f' || (edges % 5) AS feature, rmse_delta AS x FROM trials"})
+def _(s, d):
+    t = tables.trials(s, d).select("model", (F.col("trial") % 10).alias("net_idx"), F.concat(F.lit("f"), (F.col("edges") % 5).cast("string")).alias("feature"), F.col("rmse_delta").alias("shap"))
+    return reports.importance(t).select("model", "feature", *_r("mean_abs_shap", "mean_shap"), "rank")
+
+
+@_register("flatten_json", "SELECT event_id, json_extract_string(props, '$.k') AS k, json_extract_string(props, '$.missing') AS missing FROM events")
+def _(s, d):
+    return reports.flatten(tables.read(s, d, "events").select("event_id", "props"), "props", {"k": "k", "missing": "missing"})
+
+
+@_register("windowed_event_counts", "SELECT date_trunc('day', ts) AS start, CAST(json_extract_string(props, '$.k') AS BIGINT) AS item_id, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL")
+def _(s, d):
+    from ..streaming.cascades import windowed_counts
+
+    return windowed_counts(tables.read(s, d, "events")).select(F.col("start").cast("timestamp_ntz").alias("start"), "item_id", "n", *_r("total"))
