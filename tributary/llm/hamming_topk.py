@@ -1,12 +1,18 @@
 """Exact top-k search over binary codes by incremental multi-index hashing.
 
-A code is cut into m segments of 16 bits, each with an index from its values to codes.  With radius
-r in every segment, all codes within m*(r+1)-1 bits have been met (pigeonhole); the radius grows
-until each query's k-th verified distance lies within this bound.
+A code is cut into segments of 16 bits, each with an index from its values to codes.  With radius r
+in every one of m segments, all codes within m*(r+1)-1 bits have been met (pigeonhole); the radius
+grows until each query's k-th verified distance lies within this bound.  Codes are dealt to shards
+and the query set to blocks, both of bounded size; a task searches one block in one shard's index,
+and the shards' best are merged.
 """
 
 from __future__ import annotations
 
+from functools import cache
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -14,6 +20,57 @@ from pyspark.sql import functions as F
 from ._shared import Scratch
 
 SEGMENT = 16
+SHARD, BLOCK = 1 << 14, 1 << 12
+
+
+@cache
+def _masks() -> list[np.ndarray]:
+    """16-bit values by their number of ones."""
+    ones = np.bitwise_count(np.arange(1 << SEGMENT, dtype=np.uint16))
+    return [np.flatnonzero(ones == r) for r in range(SEGMENT + 1)]
+
+
+class Index:
+    """One shard's tables: for each segment the codes sorted by its value, and where each value starts."""
+
+    def __init__(self, codes: np.ndarray):
+        self.codes = codes  # rows of segments
+        self.order = [np.argsort(codes[:, s], kind="stable") for s in range(codes.shape[1])]
+        self.starts = [np.searchsorted(codes[o, s], np.arange((1 << SEGMENT) + 1)) for s, o in enumerate(self.order)]
+
+    def search(self, queries: np.ndarray, ids: list[np.ndarray], k: int) -> list[list[tuple[int, int]]]:
+        """For each query the k best (distance, id)."""
+        m = self.codes.shape[1]
+        best: list[list[tuple[int, int]]] = [[] for _ in queries]
+        seen = [np.zeros(len(self.codes), bool) for _ in queries]
+        active = list(range(len(queries)))
+        for radius in range(SEGMENT + 1):
+            for q in active:
+                fresh = []
+                for s in range(m):
+                    values = _masks()[radius] ^ int(queries[q, s])
+                    lo, hi = self.starts[s][values], self.starts[s][values + 1]
+                    full = hi > lo
+                    if full.any():
+                        lo, n = lo[full], hi[full] - lo[full]
+                        ends = np.cumsum(n)
+                        fresh.append(self.order[s][np.arange(ends[-1]) + np.repeat(lo - (ends - n), n)])
+                if not fresh:
+                    continue
+                met = np.unique(np.concatenate(fresh))
+                met = met[~seen[q][met]]
+                seen[q][met] = True
+                far = np.bitwise_count(self.codes[met] ^ queries[q]).sum(1)
+                if len(met) > k:  # ids of codes beyond the k-th code can't be among the k best
+                    edge = np.partition(far, k - 1)[k - 1]
+                    met, far = met[far <= edge], far[far <= edge]
+                found = [(int(d), int(i)) for c, d in zip(met.tolist(), far.tolist(), strict=True) for i in ids[c]]
+                best[q] = sorted(best[q] + found)[:k]
+            covered = m * (radius + 1) - 1
+            active = [q for q in active if len(best[q]) < k or best[q][-1][0] > covered]
+            if not active:
+                break
+        return best
 
 
 def sign_codes(vectors: DataFrame, id_col: str = "vec_id", col: str = "embedding", dims: int = 64) -> DataFrame:
@@ -27,53 +84,35 @@ def sign_codes(vectors: DataFrame, id_col: str = "vec_id", col: str = "embedding
     return vectors.where(F.col(col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), code.alias("code"))
 
 
-def hamming(a: str, b: str):
-    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+def _search(codes: pa.Table, queries: pa.Table, k: int) -> pa.Table:
+    unpack = lambda t: np.array(t.column("code").to_pylist(), np.uint16)
+    rows: list[tuple[list[int], int, int]] = []
+    if len(codes) and len(queries):
+        asked = unpack(queries)
+        found = Index(unpack(codes)).search(asked, [np.array(x) for x in codes.column("ids").to_pylist()], k)
+        rows = [(q, i, d) for q, best in zip(asked.tolist(), found, strict=True) for d, i in best]
+    return pa.table({"query": pa.array([r[0] for r in rows], pa.list_(pa.int32())), "id": pa.array([r[1] for r in rows], pa.int64()), "distance": pa.array([r[2] for r in rows], pa.int32())})
 
 
-def topk(codes: DataFrame, queries: DataFrame, k: int = 10, segments: int = 4) -> DataFrame:
+def topk(codes: DataFrame, queries: DataFrame, k: int = 10, shard: int = SHARD, block: int = BLOCK) -> DataFrame:
     """(query_id, rank from 1, id, distance): for each row of ``queries(id, code)`` the k nearest of ``codes(id, code)``.
 
     Order: distance, then id; a query finds itself if it is among the codes.  Fewer than k codes: all
     of them.  Equal codes are one entry that keeps its k smallest ids, so a hot code costs k rows.
-    Repeated rows of one id count once.  Codes have ``segments`` segments; empty inputs give no row.
+    Repeated rows of one id count once.  All codes have the same number of segments; null codes are
+    left out; empty inputs give no row.
     """
     scratch = Scratch(codes.sparkSession)
+    codes, queries = codes.where("code is not null and id is not null"), queries.where("code is not null and id is not null")
     few = W.partitionBy("code").orderBy("id")
     # ranks are limited before they shuffle, so a code that a third of all rows share sends k rows per task
     kept = codes.distinct().withColumn("r", F.row_number().over(few)).where(F.col("r") <= k).groupBy("code").agg(F.array_sort(F.collect_list("id")).alias("ids"))
     kept = scratch.write(kept, "codes")
-    at = F.posexplode("code").alias("segment", "value")
-    index = scratch.write(kept.select("code", "ids", at), "index")
-    asked = scratch.write(queries.select("code").distinct().withColumnRenamed("code", "query"), "asked")
-    total = kept.count()
-    best, active, done = None, asked, []
-    masks: dict[int, list[int]] = {}
-    for x in range(1 << SEGMENT):
-        masks.setdefault(x.bit_count(), []).append(x)
-    for radius in range(SEGMENT + 1):
-        probe = active.select("query", F.posexplode("query").alias("segment", "own")).select("query", "segment", F.explode(F.lit(masks[radius])).alias("mask"), "own")
-        probe = probe.select("query", "segment", F.col("own").bitwiseXOR(F.col("mask")).alias("value"))
-        met = probe.join(index, ["segment", "value"]).select("query", "code", "ids")
-        met = met.dropDuplicates(["query", "code"]).withColumn("distance", hamming("query", "code"))
-        if best is not None:
-            met = met.unionByName(best).dropDuplicates(["query", "code"])
-        near = W.partitionBy("query").orderBy("distance", F.col("ids")[0])
-        best = scratch.write(met.withColumn("r", F.row_number().over(near)).where(F.col("r") <= k).drop("r"), f"best{radius}")
-        # the k-th id's distance: codes come in order, each with its ids
-        ordered = best.withColumn("have", F.sum(F.size("ids")).over(W.partitionBy("query").orderBy("distance", F.col("ids")[0])))
-        state = ordered.groupBy("query").agg(F.min(F.when(F.col("have") >= k, F.col("distance"))).alias("kth"), F.count("*").alias("n"))
-        covered = segments * (radius + 1) - 1
-        state = scratch.write(state.withColumn("over", (F.coalesce("kth", F.lit(1 << 30)) <= covered) | (F.col("n") == total)), f"state{radius}")
-        over = state.where("over").select("query")
-        done.append(scratch.write(best.join(over, "query", "left_semi"), f"done{radius}"))
-        active = scratch.write(active.join(over, "query", "left_anti"), f"active{radius}")
-        best = best.join(over, "query", "left_anti")
-        if active.isEmpty():
-            break
-    found = done[0]
-    for x in done[1:]:
-        found = found.unionByName(x)
-    flat = found.select("query", "distance", F.explode("ids").alias("id"))
-    found = flat.withColumn("rank", F.row_number().over(W.partitionBy("query").orderBy("distance", "id"))).where(F.col("rank") <= k)
+    asked = scratch.write(queries.select("code").distinct(), "asked")
+    shards, blocks = max(1, -(-kept.count() // shard)), max(1, -(-asked.count() // block))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = kept.select("code", "ids", F.pmod(F.xxhash64("code"), F.lit(shards)).cast("int").alias("shard"), every(blocks).alias("block"))
+    right = asked.select("code", every(shards).alias("shard"), F.pmod(F.xxhash64("code"), F.lit(blocks)).cast("int").alias("block"))
+    found = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInArrow(lambda a, b: _search(a, b, k), "query array<int>, id long, distance int")
+    found = found.withColumn("rank", F.row_number().over(W.partitionBy("query").orderBy("distance", "id"))).where(F.col("rank") <= k)
     return queries.select(F.col("id").alias("query_id"), F.col("code").alias("query")).distinct().join(found, "query").select("query_id", "rank", "id", "distance")
