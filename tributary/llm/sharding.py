@@ -21,23 +21,35 @@ def key_hash(col: str):
     return F.conv(F.substring(F.md5(F.coalesce(F.col(col).cast("string"), F.lit(""))), 1, 15), 16, 10).cast("long")
 
 
+STRIDE = 16
+
+
 def directory(scratch: Scratch, sizes: DataFrame, limit: int) -> DataFrame:
     """(prefix, depth, bytes) of the leaves for ``sizes(h, bytes)``; a leaf above the limit has depth ``BITS``.
 
-    A level reads only rows of buckets that split, and sums them to one row per bucket before they
-    shuffle; there are at most total/limit such buckets.
+    Rows are summed to prefixes of the next ``STRIDE`` bits, at most 2**16 for each bucket that still
+    has to split, and the levels in between split on these sums; only rows of buckets above the limit
+    at a stride's end are read again.
     """
     active, leaves = sizes, None
-    for depth in range(BITS + 1):
-        prefix = F.shiftright("h", BITS - depth) if depth else F.lit(0).cast("long")
-        level = scratch.write(active.groupBy(prefix.alias("prefix")).agg(F.sum("bytes").alias("bytes")), f"level{depth}")
-        full = level.where(F.col("bytes") > limit)
-        part = (level if depth == BITS else level.where(F.col("bytes") <= limit)).withColumn("depth", F.lit(depth))
-        leaves = part if leaves is None else leaves.unionByName(part)
-        if depth == BITS or full.isEmpty():
-            break
-        active = active.withColumn("prefix", prefix).join(full.select("prefix"), "prefix", "left_semi").drop("prefix")
-    return scratch.write(leaves, "directory")
+    for low in range(0, BITS, STRIDE):
+        high = min(low + STRIDE, BITS)
+        sums = scratch.write(active.groupBy(F.shiftright("h", BITS - high).alias("fine")).agg(F.sum("bytes").alias("bytes")), f"sums{high}")
+        rest = sums
+        full = None
+        for depth in range(low, high + 1):
+            if low and depth == low:
+                continue  # these buckets are known to split
+            prefix = F.shiftright("fine", high - depth) if depth else F.lit(0).cast("long")
+            level = scratch.write(rest.groupBy(prefix.alias("prefix")).agg(F.sum("bytes").alias("bytes")), f"level{depth}")
+            full = level.where(F.col("bytes") > limit)
+            part = (level if depth == BITS else level.where(F.col("bytes") <= limit)).withColumn("depth", F.lit(depth))
+            leaves = part if leaves is None else leaves.unionByName(part)
+            if depth == BITS or full.isEmpty():
+                return scratch.write(leaves, "directory")
+            rest = scratch.write(rest.withColumn("prefix", prefix).join(full.select("prefix"), "prefix", "left_semi").drop("prefix"), f"rest{depth}")
+        active = active.withColumn("prefix", F.shiftright("h", BITS - high)).join(full.select("prefix"), "prefix", "left_semi").drop("prefix")
+    raise AssertionError("the last depth returns")
 
 
 def shard(rows: DataFrame, key: str = "doc_id", text: str = "text", limit: int = 64 << 20) -> DataFrame:
