@@ -1,4 +1,4 @@
-"""Centrality of all networks at once: iterative joins keyed by network, path metrics per network.
+"""Centrality of all networks at once: PageRank by joins keyed by network, the rest by a task per network.
 
 ``nodes(model, net_idx, node)`` and ``edges(model, net_idx, src, dst)``.
 """
@@ -20,8 +20,8 @@ def _both(edges: DataFrame) -> DataFrame:
     return u.select(*KEY, F.col("a").alias("src"), F.col("b").alias("dst")).unionByName(u.select(*KEY, F.col("b").alias("src"), F.col("a").alias("dst")))
 
 
-def _cut(df: DataFrame, step: int, every: int = 5) -> DataFrame:
-    """Cuts the lineage now and then by a checkpoint in the shared folder."""
+def _cut(df: DataFrame, step: int, every: int = 1) -> DataFrame:
+    """Cuts the lineage by a checkpoint in the shared folder: the next step reads the state more than once."""
     if step % every:
         return df
     spark = df.sparkSession
@@ -32,7 +32,7 @@ def _cut(df: DataFrame, step: int, every: int = 5) -> DataFrame:
     return df.checkpoint()
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, steps: int = 30) -> DataFrame:
+def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, steps: int = 20) -> DataFrame:
     """(model, net_idx, node, pagerank): uniform teleport and redistribution of dangling mass, ``steps`` iterations."""
     out = edges.groupBy(*KEY, "src").agg(F.count("*").alias("d")).withColumnRenamed("src", "node")
     size = nodes.groupBy(*KEY).agg(F.count("*").alias("n"))
@@ -48,52 +48,82 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, steps: i
     return state.select(*KEY, "node", F.col("x").alias("pagerank"))
 
 
-def _normalised(state: DataFrame, cols: list[str]) -> DataFrame:
-    norm = state.groupBy(*KEY).agg(*[F.sqrt(F.sum(F.col(c) * F.col(c))).alias(f"n_{c}") for c in cols])
-    j = state.join(norm, KEY)
-    return j.select(*KEY, "node", *[F.when(F.col(f"n_{c}") > 0, F.col(c) / F.col(f"n_{c}")).otherwise(0.0).alias(c) for c in cols])
+def _per_network(nodes: DataFrame, edges: DataFrame, cols: list[str], compute) -> DataFrame:
+    """(model, net_idx, node, cols): ``compute(src, dst, n, values)`` on each network's index arrays, a task per network.
+
+    ``nodes`` may carry a column value, handed on in node order.
+    """
+    left = nodes if "value" in nodes.columns else nodes.withColumn("value", F.lit(None).cast("double"))
+
+    def run(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        a = a.drop_duplicates("node").sort_values("node")
+        ids = a["node"].to_numpy()
+        keep = b["src"].isin(ids) & b["dst"].isin(ids) & (b["src"] != b["dst"])
+        pairs = b.loc[keep, ["src", "dst"]].drop_duplicates()
+        src, dst = (np.searchsorted(ids, pairs[c].to_numpy()) for c in ("src", "dst"))
+        out = pd.DataFrame({"model": key[0], "net_idx": key[1], "node": ids})
+        for c, x in zip(cols, compute(src, dst, len(ids), a["value"].to_numpy(dtype=float, na_value=np.nan)), strict=True):
+            out[c] = x
+        return out
+
+    right = edges.select(*KEY, "src", "dst")
+    schema = "model string, net_idx int, node long, " + ", ".join(f"{c} double" for c in cols)
+    return left.select(*KEY, "node", "value").groupBy(*KEY).cogroup(right.groupBy(*KEY)).applyInPandas(run, schema)
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    norm = np.sqrt(x @ x)
+    return x / norm if norm > 0 else x
 
 
 def hits(nodes: DataFrame, edges: DataFrame, steps: int = 20) -> DataFrame:
     """(model, net_idx, node, hub_score, auth_score): power iteration, L2-normalised."""
-    n = nodes.select(*KEY, "node")
-    state = _normalised(n.withColumn("hub_score", F.lit(1.0)).withColumn("auth_score", F.lit(1.0)), ["hub_score", "auth_score"])
-    for step in range(1, steps + 1):
-        auth = edges.join(state.select(*KEY, F.col("node").alias("src"), "hub_score"), [*KEY, "src"]).groupBy(*KEY, F.col("dst").alias("node")).agg(F.sum("hub_score").alias("auth_score"))
-        hub = edges.join(auth.withColumnRenamed("node", "dst"), [*KEY, "dst"]).groupBy(*KEY, F.col("src").alias("node")).agg(F.sum("auth_score").alias("hub_score"))
-        state = _normalised(n.join(hub, [*KEY, "node"], "left").join(auth, [*KEY, "node"], "left").na.fill(0.0), ["hub_score", "auth_score"])
-        state = _cut(state, step)
-    return state
 
+    def compute(src, dst, n, _):
+        hub = _unit(np.ones(n))
+        auth = hub
+        for _ in range(steps):
+            auth = _unit(np.bincount(dst, weights=hub[src], minlength=n))
+            hub = _unit(np.bincount(src, weights=auth[dst], minlength=n))
+        return hub, auth
 
-def eigenvector(nodes: DataFrame, edges: DataFrame, steps: int = 50) -> DataFrame:
+    return _per_network(nodes, edges, ["hub_score", "auth_score"], compute)
+
+
+def eigenvector(nodes: DataFrame, edges: DataFrame, steps: int = 100) -> DataFrame:
     """(model, net_idx, node, eigenvector): power iteration of A + I on the undirected view (the shift keeps bipartite networks from swinging)."""
-    und, n = _both(edges), nodes.select(*KEY, "node")
-    state = _normalised(n.withColumn("eigenvector", F.lit(1.0)), ["eigenvector"])
-    for step in range(1, steps + 1):
-        got = und.join(state.withColumnRenamed("node", "src"), [*KEY, "src"]).groupBy(*KEY, F.col("dst").alias("node")).agg(F.sum("eigenvector").alias("g"))
-        state = _normalised(state.join(got, [*KEY, "node"], "left").select(*KEY, "node", (F.col("eigenvector") + F.coalesce("g", F.lit(0.0))).alias("eigenvector")), ["eigenvector"])
-        state = _cut(state, step)
-    return state
 
+    def compute(src, dst, n, _):
+        pairs = np.unique(np.stack([np.minimum(src, dst), np.maximum(src, dst)]), axis=1)
+        a, b = np.concatenate([pairs, pairs[::-1]], axis=1) if pairs.size else (src, dst)
+        x = _unit(np.ones(n))
+        for _ in range(steps):
+            x = _unit(x + np.bincount(b, weights=x[a], minlength=n))
+        return (x,)
+
+    return _per_network(nodes, edges, ["eigenvector"], compute)
 
-def pagerank_beta(nodes: DataFrame, edges: DataFrame, beta: DataFrame, alpha: float = 0.85, steps: int = 150) -> DataFrame:
+
+def pagerank_beta(nodes: DataFrame, edges: DataFrame, beta: DataFrame, alpha: float = 0.85, tolerance: float = 1e-14) -> DataFrame:
     """(model, net_idx, node, pagerank_lph): the fixed point of x_i = (beta_i + alpha * sum of successors' x)/max(out, 1), scaled to sum 1.
 
     ``beta(model, net_idx, node, beta)``; nodes without one get (1-alpha)/N.  The map contracts by alpha.
     """
-    out = edges.groupBy(*KEY, F.col("src").alias("node")).agg(F.count("*").alias("d"))
-    size = nodes.groupBy(*KEY).agg(F.count("*").alias("n"))
-    base = nodes.select(*KEY, "node").join(size, KEY).join(beta, [*KEY, "node"], "left").join(out, [*KEY, "node"], "left")
-    base = base.select(*KEY, "node", F.coalesce("beta", (1.0 - alpha) / F.col("n")).alias("b"), F.coalesce("d", F.lit(1)).alias("d"))
-    state = base.select(*KEY, "node", (F.col("b") / F.col("d")).alias("x"))
-    for step in range(1, steps + 1):
-        got = edges.join(state.withColumnRenamed("node", "dst"), [*KEY, "dst"]).groupBy(*KEY, F.col("src").alias("node")).agg(F.sum("x").alias("s"))
-        state = base.join(got, [*KEY, "node"], "left").select(*KEY, "node", ((F.col("b") + alpha * F.coalesce("s", F.lit(0.0))) / F.col("d")).alias("x"))
-        state = _cut(state, step)
-    clipped = state.withColumn("x", F.greatest("x", F.lit(0.0)))
-    total = clipped.groupBy(*KEY).agg(F.sum("x").alias("t"))
-    return clipped.join(total, KEY).select(*KEY, "node", F.when(F.col("t") > 0, F.col("x") / F.col("t")).otherwise(F.col("x")).alias("pagerank_lph"))
+
+    def compute(src, dst, n, value):
+        b = np.where(np.isnan(value), (1.0 - alpha) / max(n, 1), value)
+        out = np.maximum(np.bincount(src, minlength=n), 1)
+        x = b / out
+        while True:
+            new = (b + alpha * np.bincount(src, weights=x[dst], minlength=n)) / out
+            if np.abs(new - x).max(initial=0.0) <= tolerance:
+                break
+            x = new
+        x = np.maximum(new, 0.0)
+        return (x / x.sum() if x.sum() > 0 else x,)
+
+    valued = nodes.select(*KEY, "node").join(beta.select(*KEY, "node", F.col("beta").alias("value")), [*KEY, "node"], "left")
+    return _per_network(valued, edges, ["pagerank_lph"], compute)
 
 
 def softmax_beta(scores: DataFrame, alpha: float = 0.85) -> DataFrame:

@@ -66,9 +66,10 @@ def heatmap_wide(cells: DataFrame, bins: int = 9) -> DataFrame:
 
 
 def correlations(frame: DataFrame, cols: list[str]) -> DataFrame:
-    """(a, b, r): Pearson correlation of each pair of columns, in one pass."""
+    """(a, b, r): Pearson correlation of each pair of columns, in one pass; null where a column doesn't vary."""
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
-    one = frame.agg(*[F.corr(a, b).alias(f"c{k}") for k, (a, b) in enumerate(pairs)])
+    both = lambda a, b: F.stddev_pop(a) * F.stddev_pop(b)
+    one = frame.agg(*[F.when(both(a, b) > 0, F.covar_pop(a, b) / both(a, b)).alias(f"c{k}") for k, (a, b) in enumerate(pairs)])
     rows = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"c{k}").alias("r")) for k, (a, b) in enumerate(pairs)])
     return one.select(F.explode(rows).alias("x")).select("x.*")
 

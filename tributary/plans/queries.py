@@ -59,7 +59,7 @@ _CTE = {
     "preds": """SELECT t.user_id, t.item_id, t.rating, mu + coalesce(u.b, 0) + coalesce(i.b, 0) AS pred FROM test t
         LEFT JOIN u5 u ON u.user_id = t.user_id LEFT JOIN i5 i ON i.item_id = t.item_id, mean""",
     "trials": """SELECT o_orderkey AS trial, ['exponential', 'powerlaw', 'rayleigh'][o_orderkey % 3 + 1] AS model, 5 + o_custkey % 46 AS k,
-        0.01 + (o_orderkey % 100) / 10.0 AS lam, o_totalprice / 1e5 AS rmse, o_totalprice / 1.5e5 AS mae, 1.0 - o_totalprice / 4e5 AS r2, o_custkey % 97 AS edges,
+        0.01 + (o_orderkey % 100) / 10.0 AS lam, o_totalprice / 1e5 AS rmse, o_totalprice / 1.5e5 AS mae, 1.0 - o_totalprice / 4e5 AS r2, CAST(o_custkey % 97 AS DOUBLE) AS edges,
         CASE WHEN o_orderkey % 7 = 0 THEN 'False' WHEN o_orderkey % 11 = 0 THEN 'n/a' ELSE 'true' END AS sane,
         CASE WHEN o_orderkey % 5 = 0 THEN '0' ELSE '1' END AS baseline_sane, o_totalprice / 1e5 - 1.5 AS rmse_delta FROM orders""",
     "centers": """SELECT unnest(['exponential', 'powerlaw', 'rayleigh']) AS model, unnest([ln(2.0) / m, NULL, 2 * ln(2.0) / (m * m)]) AS center FROM (SELECT quantile_cont(gap, 0.5) AS m FROM gaps)""",
@@ -656,7 +656,7 @@ def _(s, d):
     return reports.heatmap(tables.trials(s, d), "k", "lam", "rmse", (5, 50), (0.0, 9.0)).select("x_bin", "y_bin", "n", *_r("mean"))
 
 
-@_register("metric_correlation", " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 6) AS r FROM feat" for i, a in enumerate(_COLS) for b in _COLS[i:]), extra=_FEATURES)
+@_register("metric_correlation", " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(CASE WHEN stddev_pop({a}) * stddev_pop({b}) > 0 THEN covar_pop({a}, {b}) / (stddev_pop({a}) * stddev_pop({b})) END, 6) AS r FROM feat" for i, a in enumerate(_COLS) for b in _COLS[i:]), extra=_FEATURES)
 def _(s, d):
     return reports.correlations(_features(s, d), _COLS).select("a", "b", *_r("r"))
 
@@ -677,7 +677,7 @@ def _(s, d):
 
 
 @_register("feature_importance", """SELECT model, feature, round(m, 6) AS mean_abs_shap, round(s, 6) AS mean_shap, row_number() OVER (PARTITION BY model ORDER BY m DESC, feature)::INT AS rank FROM (SELECT model, feature, avg(m) AS m, avg(s) AS s FROM (SELECT model, net_idx, feature, avg(abs(x)) AS m, avg(x) AS s FROM shap GROUP BY ALL) GROUP BY ALL)""",
-    extra={"shap": "SELECT model, trial % 10 AS net_idx, 'f' || (edges % 5) AS feature, rmse_delta AS x FROM trials"})
+    extra={"shap": "SELECT model, trial % 10 AS net_idx, 'f' || CAST(edges % 5 AS INT) AS feature, rmse_delta AS x FROM trials"})
 def _(s, d):
     t = tables.trials(s, d).select("model", (F.col("trial") % 10).alias("net_idx"), F.concat(F.lit("f"), (F.col("edges") % 5).cast("string")).alias("feature"), F.col("rmse_delta").alias("shap"))
     return reports.importance(t).select("model", "feature", *_r("mean_abs_shap", "mean_shap"), "rank")
