@@ -636,9 +636,9 @@ def _(s, d):
     return out.select("model", "sampled_runs", "metric_runs", "delta_runs", *_r(*[c for c in out.columns if c.rsplit("_", 1)[-1] in ("mean", "std", "min", "max")]))
 
 
-@_register("coerced_flags", "SELECT trial, CASE lower(sane) WHEN 'true' THEN 1 WHEN 'false' THEN 0 END AS flag, round(try_cast(sane AS DOUBLE), 6) AS number FROM trials")
+@_register("coerced_flags", "SELECT trial, CAST(CASE lower(sane) WHEN 'true' THEN 1 WHEN 'false' THEN 0 END AS DOUBLE) AS flag, round(try_cast(sane AS DOUBLE), 6) AS number FROM trials")
 def _(s, d):
-    return tables.trials(s, d).select("trial", as_flag("sane").alias("flag"), F.round(as_number("sane"), 6).alias("number"))
+    return tables.trials(s, d).select("trial", as_flag("sane").cast("double").alias("flag"), F.round(as_number("sane"), 6).alias("number"))
 
 
 @_register("running_best", "SELECT trial, model, round(min(rmse) OVER (PARTITION BY model ORDER BY trial ROWS UNBOUNDED PRECEDING), 6) AS best_so_far FROM trials")
