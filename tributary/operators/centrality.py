@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut
+
 KEY = ["model", "net_idx"]
 
 
@@ -20,18 +22,6 @@ def _both(edges: DataFrame) -> DataFrame:
     return u.select(*KEY, F.col("a").alias("src"), F.col("b").alias("dst")).unionByName(u.select(*KEY, F.col("b").alias("src"), F.col("a").alias("dst")))
 
 
-def _cut(df: DataFrame, step: int, every: int = 1) -> DataFrame:
-    """Cuts the lineage by a checkpoint in the shared folder: the next step reads the state more than once."""
-    if step % every:
-        return df
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tributary-"))
-    return df.checkpoint()
-
-
 def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, steps: int = 20) -> DataFrame:
     """(model, net_idx, node, pagerank): uniform teleport and redistribution of dangling mass, ``steps`` iterations."""
     out = edges.groupBy(*KEY, "src").agg(F.count("*").alias("d")).withColumnRenamed("src", "node")
@@ -44,7 +34,7 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, steps: i
         got = links.join(share, [*KEY, "src"]).groupBy(*KEY, F.col("dst").alias("node")).agg(F.sum("p").alias("p"))
         lost = state.groupBy(*KEY).agg(F.sum(F.when(F.col("d").isNull(), F.col("x")).otherwise(0.0)).alias("lost"))
         state = base.join(got, [*KEY, "node"], "left").join(lost, KEY).withColumn("x", (1.0 - damping) / F.col("n") + damping * (F.coalesce("p", F.lit(0.0)) + F.col("lost") / F.col("n"))).select(*KEY, "node", "n", "d", "x")
-        state = _cut(state, step)
+        state = cut(state)  # the next step reads it more than once
     return state.select(*KEY, "node", F.col("x").alias("pagerank"))
 
 
@@ -196,7 +186,7 @@ def bfs(edges: DataFrame, sources: DataFrame, most: int = 50) -> DataFrame:
     front = seen
     for level in range(1, most + 1):
         nxt = front.join(e, front["node"] == e["a"]).select("source", F.col("b").alias("node")).distinct().join(seen.select("source", "node"), ["source", "node"], "left_anti")
-        front = _cut(nxt.withColumn("dist", F.lit(level)), 0)
+        front = cut(nxt.withColumn("dist", F.lit(level)))
         if front.isEmpty():
             break
         seen = seen.unionByName(front)

@@ -19,6 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut
 from . import biases
 from .evaluation import top_n as best_of
 
@@ -141,16 +142,6 @@ def start(ids: DataFrame, size: int, seed: int, scale: float = 0.1, positive: bo
     return ids.select("id", F.transform(F.sequence(F.lit(0), F.lit(size - 1)), value).alias("f"))
 
 
-def _saved(df: DataFrame) -> DataFrame:
-    """Cuts the lineage by a checkpoint in the shared folder."""
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tributary-"))
-    return df.checkpoint()
-
-
 def vectors(frame: DataFrame, key: str) -> DataFrame:
     """(id, u array<double>) of a wide feature table; missing values 0."""
     cols = [c for c in frame.columns if c != key]
@@ -320,12 +311,12 @@ def fit(ratings: DataFrame, options: Options = Options(), user_features: DataFra
         rows, base, lam = _user_rows(swapped, ratings, users, mean, d, item_features, swap=True)
         if o.implicit_features:
             rows, base = _with_implicit(swapped, rows, base, ratings, users, "item_id", "user_id")
-        items = _saved(half_step(rows, base, lam, o.scale_lam, o.nonneg, o.l1))
+        items = cut(half_step(rows, base, lam, o.scale_lam, o.nonneg, o.l1))
         for _ in range(o.social_sweeps if social is not None and o.lam_social else 1):
             rows, base, lam = _user_rows(o, ratings, items, mean, c, user_features, social if o.lam_social else None, users)
             if o.implicit_features:
                 rows, base = _with_implicit(o, rows, base, ratings, items, "user_id", "item_id")
-            users = _saved(half_step(rows, base, lam, o.scale_lam, o.nonneg, o.l1))
+            users = cut(half_step(rows, base, lam, o.scale_lam, o.nonneg, o.l1))
     if user_features is not None:
         c = _feature_map(users, user_features, "user_id", width_u, o.lam, o.w_user)
     if item_features is not None:

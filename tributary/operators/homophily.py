@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.columns import jaccard, sigmoid
+from ..functions.lineage import cut
 from .graph import neighbours
 
 
@@ -48,11 +49,12 @@ def network_homophily(undirected: DataFrame, s: DataFrame) -> DataFrame:
 def paper_scores(undirected: DataFrame, nodes: DataFrame, membership: DataFrame) -> DataFrame:
     """(node, s, delta, lph_score): delta is the mean |s - s'| over neighbours, lph_score = (h + sum of delta)/N - delta."""
     undirected = undirected.persist()
-    s = alignment(undirected, nodes, membership).persist()  # read four times below
+    s = cut(alignment(undirected, nodes, membership))  # read four times below
     h = network_homophily(undirected, s)
     pair = neighbours(undirected).join(s, "node").join(s.select(F.col("node").alias("nb"), F.col("s").alias("t")), "nb")
     delta = pair.groupBy("node").agg(F.avg(F.abs(F.col("s") - F.col("t"))).alias("delta"))
-    d = s.join(delta, "node", "left").withColumn("delta", F.coalesce("delta", F.lit(0.0))).persist()
+    d = s.join(delta, "node", "left").withColumn("delta", F.coalesce("delta", F.lit(0.0)))
+    d = cut(d)
     lam = d.agg(F.sum("delta").alias("total"), F.count("*").alias("n")).join(F.broadcast(h)).select(((F.col("h") + F.col("total")) / F.col("n")).alias("lam"))
     return d.join(F.broadcast(lam)).select("node", "s", "delta", (F.col("lam") - F.col("delta")).alias("lph_score"))
 
@@ -95,6 +97,7 @@ MODES = {
 def social_edges(edges: DataFrame, sets: DataFrame, intensity: DataFrame, mode: str = "uniform", beta: float = 0.5, gamma: float = 1.0, eligible: DataFrame | None = None) -> DataFrame:
     """(u, v, weight) with u < v: weights above 0, divided by their mean.  An unknown mode is a KeyError."""
     und = edges.where("src <> dst").select(F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v")).distinct()
+    sets, intensity = cut(sets), cut(intensity)  # a row per node, each joined to both ends
     if eligible is not None:
         for end in ("u", "v"):
             und = und.join(eligible.select(F.col("node").alias(end)).distinct(), end, "left_semi")

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import as_flag, as_number, days
-from ..operators import alpha, biases, cascades, centrality, communities, evaluation, features, graph, homophily, inference, reports, split
+from ..operators import alpha, attribution, biases, cascades, centrality, communities, evaluation, factorization, features, graph, homophily, inference, reports, split
 from ..sources import tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -693,3 +693,62 @@ def _(s, d):
     from ..streaming.cascades import windowed_counts
 
     return windowed_counts(tables.read(s, d, "events")).select(F.col("start").cast("timestamp_ntz").alias("start"), "item_id", "n", *_r("total"))
+
+
+# ---- factorisation, search, attribution: no SQL, tested by their optimality conditions -------------
+
+_SMALL = factorization.Options(k=8, lam=10.0, iterations=4)
+
+
+def _user_side(s: SparkSession, d: str) -> DataFrame:
+    """User features for side information: counts and means over the training fold."""
+    train, _ = _folds(s, d)
+    return train.groupBy("user_id").agg((F.count("*") / 100.0).alias("n"), (F.avg("item_id") / 1000.0).alias("m"), F.lit(1.0).alias("one"))
+
+
+@_register("cmf_metrics")
+def _(s, d):
+    train, test = _folds(s, d)
+    return evaluation.rating_metrics(factorization.fit(train, _SMALL).predict(test))
+
+
+@_register("cmf_side_info_metrics")
+def _(s, d):
+    train, test = _folds(s, d)
+    return evaluation.rating_metrics(factorization.fit(train, _SMALL, user_features=_user_side(s, d)).predict(test))
+
+
+@_register("cmf_cold_factors")
+def _(s, d):
+    train, _ = _folds(s, d)
+    side = _user_side(s, d)
+    return factorization.fit(train, factorization.Options(k=8, iterations=2), user_features=side).factors_cold(side)
+
+
+@_register("cmf_warm_factors")
+def _(s, d):
+    train, test = _folds(s, d)
+    return factorization.fit(train, factorization.Options(k=8, iterations=2)).factors_warm(test)
+
+
+@_register("cmf_implicit_factors")
+def _(s, d):
+    train, _ = _folds(s, d)
+    return factorization.fit(train, factorization.Options(k=8, lam=5.0, iterations=3, implicit=True, user_bias=False, item_bias=False)).users
+
+
+@_register("cmf_social_metrics")
+def _(s, d):
+    a = tables.adoptions(s, d).persist()
+    folds = split.temporal(a).persist()
+    train, test = folds.where("fold = 'train'"), folds.where("fold = 'test'")
+    ties = _social("uniform")(s, d)
+    model = factorization.fit(train, factorization.Options(k=4, lam=10.0, iterations=3, lam_social=0.1), social=ties)
+    return evaluation.rating_metrics(model.predict(split.warm(train, test)))
+
+
+@_register("surrogate_shap")
+def _(s, d):
+    f = _features(s, d).join(_predictions(s, d).groupBy(F.col("user_id").alias("node")).agg(F.avg("pred").alias("target")), "node").persist()
+    model, _ = attribution.surrogate(f, _COLS, "target", trees=5)
+    return attribution.shap_values(f, _COLS, model)
