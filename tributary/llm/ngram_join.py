@@ -7,18 +7,21 @@ least ``min(l, l')`` prefix shingles.  Each document lengthens its prefix while
 that asking for more shared shingles saves more verification than the longer prefix costs.
 
 Classes and components are the result, so groups of copies need no pairs: exact copies are one
-class; every prefix shingle first ties its documents to its smallest one (a star); after these links
-are verified, only pairs of different components that share enough prefix shingles are left, and all
-of these are verified too, so no link between components is lost.
+class; in turns, every document is tried against stars of its prefix shingles, and what links becomes
+one component; then all pairs of different components that share enough prefix shingles are verified,
+so no link between components is lost.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ._shared import Scratch, components
@@ -27,6 +30,9 @@ from ._text import blocks, mix, span_hashes, table, text_column, word_spans
 WORDS, PER_CENT = 5, 75
 SKETCH_BITS = 18
 _SEGMENTS = 64
+_TURNS = 6
+#: A shingle that the sketch counts this often above its noise is dealt to several tasks.
+_HOT = 50_000
 _LEVELS = np.array([1, 2, 3, 4, 6, 8, 12])
 _U = np.uint64
 _WORD = ~table(b" \t\n\x0b\x0c\r")
@@ -138,7 +144,7 @@ def _postings(docs: DataFrame, sketch: np.ndarray) -> DataFrame:
         seen: set[tuple[int, int]] = set()
         for batch in batches:
             for row, end, data, at in blocks(text_column(batch)):
-                tokens, nodes, sizes, needs, lens = [], [], [], [], []
+                tokens, nodes, metas, lens, salts = [], [], [], [], []
                 ids = batch.column("id").slice(row, end - row).to_pylist()
                 for i, found in zip(ids, shingles(data, at), strict=True):
                     # a copy's entries would say what its first copy's do
@@ -148,13 +154,14 @@ def _postings(docs: DataFrame, sketch: np.ndarray) -> DataFrame:
                     part, need = prefix(found, counts, noise)
                     tokens.append(part)
                     nodes.append(i)
-                    sizes.append(len(found))
-                    needs.append(need)
+                    metas.append((((len(found) << 28) + np.arange(1, len(part) + 1)) << 4) + need)
                     lens.append(len(part))
+                    heat = (counts[(part >> _U(64 - SKETCH_BITS)).astype(np.int64)].astype(np.int64) - noise) // _HOT
+                    salts.append(np.where(heat > 0, 1 + zlib.crc32(str(i).encode()) % (np.maximum(heat, 0) + 1), 0))
                 if tokens:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), *(pa.array(np.repeat(np.array(x, np.int64), lens).astype(k)) for x, k in ((nodes, np.int64), (sizes, np.int32), (needs, np.int32)))], ["token", "node", "n", "need"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.repeat(np.array(nodes, np.int64), lens)), pa.array(np.concatenate(metas)), pa.array(np.concatenate(salts).astype(np.int32))], ["token", "node", "meta", "salt"])
 
-    return docs.mapInArrow(run, "token long, node long, n int, need int")
+    return docs.mapInArrow(run, "token long, node long, meta long, salt int")
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,42 +184,111 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(keep)), batch.column("b").filter(pa.array(keep))], ["a", "b"])
 
 
+_MAP_WORDS = 1 << 17
+
+
+def _among(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The documents with these ids.
+
+    A bitmap of the ids' hashes, of fixed size (2**23 bits), drops most other documents before their
+    texts shuffle; where so many ids come that it is full, all texts shuffle.
+    """
+    word, bit = F.pmod(F.xxhash64("id"), F.lit(_MAP_WORDS)).cast("int"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(64)).cast("int")
+    bitmap = ids.groupBy(word.alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("bits"))
+    near = docs.where("id is not null").withColumn("word", word).join(F.broadcast(bitmap), "word")
+    near = near.where(F.call_function("shiftrightunsigned", F.col("bits"), bit).bitwiseAND(F.lit(1)) == 1).select("id", "text")
+    return near.join(ids, "id", "left_semi")
+
+
 def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (a, b) whose whole texts link."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = docs.where("id is not null").join(ids, "id", "left_semi")
+    texts = _among(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     left = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("left")), "a")
     both = left.join(texts.select(F.col("id").alias("b"), F.col("text").alias("right")), "b")
     return both.select("a", "b", "left", "right").mapInArrow(_verify, "a long, b long")
 
 
-_FIT = "100 * least({0}, {1}) >= 75 * greatest({0}, {1})"
+def _parts(meta: str, tail: str = "") -> dict:
+    """(n, pos, need) of a posting: the set's size, the shingle's place in its order, the matches to ask for."""
+    m = F.col(meta)
+    return {f"n{tail}": F.shiftright(m, 32), f"pos{tail}": F.shiftright(m, 4).bitwiseAND(F.lit((1 << 28) - 1)), f"need{tail}": m.bitwiseAND(F.lit(15))}
+
+
+def _could(na: str, pa_: str, da: str, nb: str, pb: str, db: str) -> str:
+    """Whether a shared shingle lies in both prefixes that count for this pair.
+
+    A link takes an overlap of t = 3/7 of both sizes, so the first n - t + l shingles of either set
+    share l, for the l both ask for; the sizes must allow a link at all.
+    """
+    return f"7 * ({pa_} - least({da}, {db})) <= 4 * {na} - 3 * {nb} and 7 * ({pb} - least({da}, {db})) <= 4 * {nb} - 3 * {na}"
 
 
-def star_pairs(entries: DataFrame) -> DataFrame:
-    """(node, rep) that share enough prefix shingles of which rep is the smallest document."""
-    near = entries.where(f"node <> rep.node and {_FIT.format('n', 'rep.n')}")
-    met = near.groupBy(F.col("node").alias("a"), F.col("rep.node").alias("b")).agg(F.count("*").alias("c"), F.min(F.least("need", "rep.need")).alias("need"))
-    return met.where("c >= need").select("a", "b")
+def _enough(met: DataFrame) -> DataFrame:
+    """Pairs (a, b) that share the matches asked for, and whose shared shingles so far plus all that follow
+    the last of them make the overlap a link takes."""
+    return met.where("c >= need and 7 * (c + least(na - la, nb - lb)) >= 3 * (na + nb)").select("a", "b")
 
 
-def cross_pairs(entries: DataFrame, labels: DataFrame) -> DataFrame:
-    """(a, b) of different components that share enough prefix shingles.
+def _meet(rows: DataFrame) -> DataFrame:
+    """Per pair: shared shingles, last places, sizes, matches to ask for."""
+    return rows.groupBy("a", "b").agg(F.count("*").alias("c"), F.max("posa").alias("la"), F.max("posb").alias("lb"), F.first("na").alias("na"), F.first("nb").alias("nb"), F.min(F.least("needa", "needb")).alias("need"))
 
-    Only shingles of several components matter; components are paired by shingle first, so a large
-    component's members meet only the few documents outside it, never each other.
+
+def star_pairs(near: DataFrame, tries: int = 2) -> DataFrame:
+    """(a, b): for each document its likeliest partners among its shingles' stars.
+
+    ``near(node, meta, star, star_meta)`` has a row per shingle and document; ``tries`` partners share
+    most shingles with the document.  Which pairs are tried here has no bearing on the result:
+    ``cross_pairs`` covers the rest.
     """
-    mine = entries.select("token", "node", "n", "need").join(labels.select("node", "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    near = near.where("node <> star").withColumns(_parts("meta", "a") | _parts("star_meta", "b")).where(_could("na", "posa", "needa", "nb", "posb", "needb"))
+    met = _meet(near.withColumn("a", F.col("node")).withColumn("b", F.col("star")))
+    met = met.where("7 * (c + least(na - la, nb - lb)) >= 3 * (na + nb)")
+    best = met.withColumn("r", F.row_number().over(W.partitionBy("a").orderBy(F.desc("c"), "b"))).where(F.col("r") <= tries)
+    return best.select("a", "b")
+
+
+def next_stars(mine: DataFrame, turn: int) -> DataFrame:
+    """Rows for ``star_pairs`` once components are known: a shingle's star is one of its documents, of its largest
+    component (then by a hash that changes with the turn); documents of that component are left out."""
+    key = F.least("size", F.lit(1 << 30)) * (1 << 32) + F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(1 << 32))
+    stars = mine.groupBy("token").agg(F.max_by("node", key).alias("star"), F.max_by("meta", key).alias("star_meta"), F.max_by("component", key).alias("other"))
+    return mine.join(stars, "token").where("component <> other")
+
+
+def labelled(entries: DataFrame, labels: DataFrame) -> DataFrame:
+    """Postings of shingles that stand in several components, with component and its size in documents."""
+    sizes = labels.groupBy("component").agg(F.count("*").alias("size"))
+    known = labels.join(sizes, "component").select("node", "component", "size")
+    mine = entries.join(known, "node", "left").select("token", "node", "meta", F.coalesce("component", "node").alias("component"), F.coalesce("size", F.lit(1)).alias("size"))
     mixed = mine.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
-    mine = mine.join(mixed, "token", "left_semi")
-    kinds = mine.groupBy("token", "component").agg(F.min("n").alias("small"), F.max("n").alias("large"))
+    return mine.join(mixed, "token", "left_semi")
+
+
+def crossings(mine: DataFrame) -> int:
+    """How many pairs of components meet in the part of the prefixes that counts for sets of one size, once for each shingle."""
+    near = mine.withColumns(_parts("meta")).where("7 * (pos - need) <= n")
+    each = near.groupBy("token", "component").agg(F.count("*").alias("n")).groupBy("token").agg(F.count("*").alias("m"))
+    return each.agg(F.sum(F.col("m") * (F.col("m") - 1) / 2)).first()[0] or 0
+
+
+def cross_pairs(mine: DataFrame) -> DataFrame:
+    """(a, b) of different components that share enough prefix shingles: all of them.
+
+    ``mine`` are the postings of shingles in several components; components are paired by shingle first (with bounds of
+    their members' places), so a large component's members meet only the few documents outside it,
+    never each other.
+    """
+    mine = mine.withColumns(_parts("meta"))
+    kinds = mine.groupBy("token", "component").agg(F.min("n").alias("small"), F.max("n").alias("large"), F.min("pos").alias("first"), F.max("need").alias("need"))
     x, y = kinds.alias("x"), kinds.alias("y")
-    two = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.component") < F.col("y.component")) & F.expr("100 * x.large >= 75 * y.small and 100 * y.large >= 75 * x.small"))
+    room = "7 * (x.first - least(x.need, y.need)) <= 4 * x.large - 3 * y.small and 7 * (y.first - least(x.need, y.need)) <= 4 * y.large - 3 * x.small"
+    two = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.component") < F.col("y.component")) & F.expr(room))
     two = two.select(F.col("x.token").alias("token"), F.col("x.component").alias("component"), F.col("y.component").alias("other"))
-    left = two.join(mine, ["token", "component"]).select("token", F.col("other").alias("component"), F.col("node").alias("a"), F.col("n").alias("na"), F.col("need").alias("da"))
-    both = left.join(mine, ["token", "component"]).where(_FIT.format("n", "na"))
-    met = both.groupBy("a", F.col("node").alias("b")).agg(F.count("*").alias("c"), F.min(F.least("need", "da")).alias("need"))
-    return met.where("c >= need").select("a", "b")
+    left = two.join(mine, ["token", "component"]).select("token", F.col("other").alias("component"), F.col("node").alias("a"), F.col("n").alias("na"), F.col("pos").alias("posa"), F.col("need").alias("needa"))
+    right = mine.select("token", "component", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("posb"), F.col("need").alias("needb")).alias("r")
+    both = left.alias("l").join(right, (F.col("l.token") == F.col("r.token")) & (F.col("l.component") == F.col("r.component")) & F.expr(_could("na", "posa", "needa", "nb", "posb", "needb")))
+    return _enough(_meet(both.select("a", "b", "na", "nb", "posa", "posb", "needa", "needb")))
 
 
 def join(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -229,24 +305,37 @@ def join(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     summaries = scratch.write(docs.mapInArrow(_summaries, "id long, n long, p long, q long, segment int, counts binary"), "summaries")
     rows = summaries.where("segment is null").select("id", "n", "p", "q")
     sketch = read_sketch(summaries)
-    entries = scratch.write(_postings(docs, sketch), "postings")
-    reps = entries.groupBy("token").agg(F.min(F.struct("node", "n", "need")).alias("rep"), F.count("*").alias("df")).where("df > 1").drop("df")
-    entries = scratch.write(entries.join(reps, "token"), "entries")
-    scratch.drop("postings")
+    together = W.partitionBy("token", "salt")
+    entries = _postings(docs, sketch).withColumn("s", F.min(F.struct("node", "meta")).over(together)).withColumn("df", F.count("*").over(together))
+    # a hot shingle's postings stay, since another salt's documents may hold it
+    entries = entries.where("df > 1 or salt > 0").select("token", "node", "meta", F.col("s.node").alias("star"), F.col("s.meta").alias("star_meta"))
+    entries = scratch.write(entries, "entries")
     scratch.release()
     classes = rows.where("n > 0 and id is not null").groupBy("n", "p", "q").agg(F.min("id").alias("b"))
-    copies = rows.join(classes, ["n", "p", "q"]).where("id <> b").select(F.col("id").alias("a"), "b")
-    tried = scratch.write(star_pairs(entries), "stars")
-    # copies are linked as they stand; the rest of the stars by their texts
-    links = scratch.write(copies.unionByName(verified(docs, tried.join(copies, ["a", "b"], "left_anti"))), "links")
-    scratch.release()
-    labels = components(scratch, links, "first")
-    more = scratch.write(cross_pairs(entries, labels), "cross")
+    copies = rows.join(classes, ["n", "p", "q"]).where("id <> b").select(F.col("id").alias("a"), "b").distinct()
+    links = [scratch.write(copies, "copies")]
+    joined = lambda: reduce(DataFrame.unionByName, links)
+    most = rows.count()
+    pairs = scratch.write(star_pairs(entries), "tried0")
+    before = None
+    for turn in range(1, _TURNS + 1):
+        links.append(scratch.write(verified(docs, pairs), f"links{turn}"))
+        scratch.release()
+        labels = components(scratch, joined(), f"labels{turn}-")
+        mine = scratch.write(labelled(entries, labels), f"mine{turn}")
+        left = crossings(mine)
+        # a further turn pays where many components still meet and the last one joined many
+        if turn == _TURNS or left <= most or (before is not None and left > 0.7 * before):
+            break
+        before = left
+        pairs = scratch.write(star_pairs(next_stars(mine, turn)), f"tried{turn}")
+        scratch.drop(f"mine{turn}")
+        scratch.release()
     scratch.drop("entries")
+    pairs = scratch.write(cross_pairs(mine), "cross")
+    scratch.drop(f"mine{turn}")
     scratch.release()
-    done = tried.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    more = more.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).join(done, ["a", "b"], "left_anti")
-    links = scratch.write(links.unionByName(verified(docs, more)), "all")
+    links.append(scratch.write(verified(docs, pairs), "rest"))
     scratch.release()
-    labels = components(scratch, links, "last")
+    labels = components(scratch, joined(), "last")
     return rows.join(labels.select(F.col("node").alias("id"), "component"), "id", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
