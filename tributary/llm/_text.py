@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 #: Odd multiplier of the positional hash; a fixed value.
 _BASE = 0x9E3779B97F4A7C15
 _U = np.uint64
@@ -64,7 +64,7 @@ _powers: dict[str, np.ndarray] = {}
 def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2**64."""
     if len(_powers.get("p", ())) < n + 1:
-        size = max(n + 1, 2 * BLOCK_BYTES)
+        size = max(n + 1, BLOCK_BYTES + 1)
         for name, base in (("p", _BASE), ("i", pow(_BASE, -1, 1 << 64))):
             steps = np.full(size, base, np.uint64)
             steps[0] = 1

@@ -361,7 +361,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, keep: list[str] | Non
         t = _tokenizer(name, pattern)
         for batch in batches:
             text = text_column(batch, "__text")
-            for row, end, _, _ in blocks(text):
+            for row, end, _, _ in blocks(text, 1 << 20):
                 ids, counts = t.encode_batch(text.slice(row, end - row).to_pylist())
                 data, sizes = t.decode_bytes(ids, counts)
                 at = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)

@@ -82,7 +82,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(gram[part])), pa.array(gram[part].astype(np.int64)), pa.array(n[part].astype(np.int64))], ["lang", "gram", "n"])
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", max_docs: int = 3000, max_langs: int = 64, max_cells: int = 8_000_000) -> PpmModel:
+def train(docs: DataFrame, id_col: str = "doc_id", max_docs: int = 2000, max_langs: int = 64, max_cells: int = 3_000_000) -> PpmModel:
     """Fit on ``docs(id_col, text, lang)``.
 
     The fit reads at most about ``max_docs`` documents of each language (whole texts, chosen by a
@@ -102,11 +102,13 @@ def train(docs: DataFrame, id_col: str = "doc_id", max_docs: int = 3000, max_lan
     return compile_model(counts, max_cells)
 
 
-def compile_model(counts: pa.Table, max_cells: int = 8_000_000) -> PpmModel:
+def compile_model(counts: pa.Table, max_cells: int = 3_000_000) -> PpmModel:
     """The table of exact code lengths from counts of (lang, 4-byte gram)."""
-    names = np.array(counts.column("lang").to_pylist(), dtype=object)
+    coded = counts.column("lang").combine_chunks().dictionary_encode()
+    coded = coded.combine_chunks() if isinstance(coded, pa.ChunkedArray) else coded
+    names, of = coded.dictionary.to_pylist(), coded.indices.to_numpy()
     gram, n = counts.column("gram").to_numpy().astype(np.int64), counts.column("n").to_numpy().astype(np.float64)
-    langs = sorted(set(names))
+    langs = sorted(names)
     per_byte = np.bincount(gram & 255, weights=n, minlength=256)
     seen = np.flatnonzero(per_byte)
     seen = np.sort(seen[np.argsort(-per_byte[seen], kind="stable")][:160])
@@ -128,7 +130,7 @@ def compile_model(counts: pa.Table, max_cells: int = 8_000_000) -> PpmModel:
     first = np.cumsum([0, *map(len, held)])
     bits = np.empty((first[-1], size, len(langs)), np.float32)
     for which, lang in enumerate(langs):
-        mine = names == lang
+        mine = of == names.index(lang)
         shorter = tail = None  # counts in the contexts one byte shorter, and what follows their escape
         for k in range(ORDER + 1):
             count = np.zeros((len(held[k]), size))

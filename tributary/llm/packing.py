@@ -180,7 +180,7 @@ def _closing_engine(library):
 class WordTokenizer:
     """A vocabulary of the ``tokenizers`` library; keeps the ids of words between white space seen before (bounded)."""
 
-    def __init__(self, path: str, memo: int = 300_000):
+    def __init__(self, path: str, memo: int = 200_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -293,7 +293,7 @@ def pack(docs: DataFrame, vocabulary_path: str, end_id: int = 1, plan: Plan = Pl
 
         for batch in batches:
             text = text_column(batch, "__text")
-            for row, end, _, _ in blocks(text):
+            for row, end, _, _ in blocks(text, 1 << 20):
                 part = batch.slice(row, end - row)
                 rows.append(pa.RecordBatch.from_arrays([part.column(c) for c in keep], keep) if keep else part)
                 ids, counts = t.encode_batch(text.slice(row, end - row).to_pylist())

@@ -88,7 +88,7 @@ def fit(rows: list[np.ndarray], y: np.ndarray, cost: float = 1.0, smooth: float
         counts[int(label)][x] += 1
     # share of the class's rows that hold the feature
     ratio = np.log(counts[1] / (np.sum(y == 1) + 2 * smooth)) - np.log(counts[0] / (np.sum(y == 0) + 2 * smooth))
-    held = [(x, (v := ratio[x]) / max(np.sqrt(v @ v), 1e-9)) for x in rows]
+    held = [(x, ((v := ratio[x]) / max(np.sqrt(v @ v), 1e-9)).astype(np.float32)) for x in rows]
     sign = np.where(y == 1, 1.0, -1.0)
     caps = np.where(y == 1, cost * len(y) / (2 * np.sum(y == 1)), cost * len(y) / (2 * np.sum(y == 0)))
     alpha, w, bias = np.zeros(len(y)), np.zeros(size), 0.0
@@ -126,7 +126,7 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column("label").slice(row, end - row), lists(feats, counts, pa.int32())], ["label", "features"])
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", max_rows: int = 12_000, **options) -> NbSvm:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", max_rows: int = 6_000, **options) -> NbSvm:
     """Fit on the documents that ``labels(id_col, label_col)`` marks 0 or 1.
 
     Reads at most about ``max_rows`` labelled ids (chosen by a hash of the id).  Ids with null or
