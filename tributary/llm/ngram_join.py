@@ -197,14 +197,17 @@ def _among(docs: DataFrame, ids: DataFrame) -> DataFrame:
     bitmap = ids.groupBy(word.alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("bits"))
     near = docs.where("id is not null").withColumn("word", word).join(F.broadcast(bitmap), "word")
     near = near.where(F.call_function("shiftrightunsigned", F.col("bits"), bit).bitwiseAND(F.lit(1)) == 1).select("id", "text")
-    return near.join(ids, "id", "left_semi")
+    return near.join(ids.hint("merge"), "id", "left_semi")
 
 
 def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose whole texts link."""
+    """The pairs (a, b) whose whole texts link.
+
+    Sort-merge joins at every size: what small inputs broadcast would not be small on large ones.
+    """
     texts = _among(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    left = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("left")), "a")
-    both = left.join(texts.select(F.col("id").alias("b"), F.col("text").alias("right")), "b")
+    left = pairs.hint("merge").join(texts.select(F.col("id").alias("a"), F.col("text").alias("left")), "a")
+    both = left.hint("merge").join(texts.select(F.col("id").alias("b"), F.col("text").alias("right")), "b")
     return both.select("a", "b", "left", "right").mapInArrow(_verify, "a long, b long")
 
 
