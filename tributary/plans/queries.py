@@ -522,26 +522,25 @@ _GAINS = _PICK | {
 }
 
 
-def _picked(s: SparkSession, d: str) -> DataFrame:
-    return alpha.grid(alpha.centers(_median(s, d))).where("net_idx = 50")
+def _grid(s: SparkSession, d: str) -> DataFrame:
+    return alpha.grid(alpha.centers(_median(s, d)))
 
 
 @_register("first_round_influence_gain", "SELECT model, net_idx::INT AS net_idx, src, dst, round(gain, 6) AS gain FROM gains", extra=_GAINS)
 def _(s, d):
-    return inference.first_gains(inference.edge_gains(cascades.influence_pairs(_cascades(s, d)), _picked(s, d))).select("model", "net_idx", "src", "dst", *_r("gain"))
+    return inference.first_gains(cascades.influence_pairs(_cascades(s, d)), _grid(s, d)).select("model", "net_idx", "src", "dst", *_r("gain"))
 
 
 @_register("inferred_edges")
 def _(s, d):
     budget = alpha.edge_budget(_nodes(s, d)).first()["budget"]
-    return inference.infer(_cascades(s, d), _picked(s, d), budget)
+    return inference.infer(_cascades(s, d), _grid(s, d), budget)
 
 
 @_register("edge_counts_by_alpha", "SELECT model, net_idx::INT AS net_idx, round(alpha, 6) AS alpha, coalesce(n, 0) AS edges FROM grid LEFT JOIN (SELECT model, net_idx, count(*) AS n FROM gains GROUP BY ALL) USING (model, net_idx)", extra=_GAINS)
 def _(s, d):
-    grid = alpha.grid(alpha.centers(_median(s, d)))
-    gains = inference.first_gains(inference.edge_gains(cascades.influence_pairs(_cascades(s, d)), grid.where("net_idx = 50")))
-    return inference.edge_counts(grid, gains).select("model", "net_idx", *_r("alpha"), "edges")
+    counts = inference.first_counts(cascades.influence_pairs(_cascades(s, d)), _grid(s, d))
+    return counts.select("model", "net_idx", *_r("alpha"), "edges")
 
 
 # ---- centrality ----------------------------------------------------------------------------------
