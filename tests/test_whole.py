@@ -24,3 +24,15 @@ def test_networks_of_every_rate(spark):
     nets = QUERIES["inferred_edges"](spark, FOLDER).groupBy("model", "net_idx").count().collect()
     grid = {(r["model"], r["net_idx"]) for r in QUERIES["edge_counts_by_alpha"](spark, FOLDER).where("edges > 0").collect()}
     assert {(r["model"], r["net_idx"]) for r in nets} == grid and len(grid) > 3
+
+
+@pytest.mark.parametrize("name", ["community_membership", "lph_scores", "topk_communities"])
+def test_every_position(spark, con, name):  # noqa: F811
+    assert " WHERE pos <= 10" in ORACLES[name]
+    same(spark, con, name, ORACLES[name].replace(" WHERE pos <= 10", ""))
+
+
+def test_no_member_is_lost(spark, tmp_path):
+    rows = [(i, i, f'{{"k": {7 * (i % 2)}}}', float(i), "click") for i in range(40)]
+    spark.createDataFrame(rows, "event_id long, user_id long, props string, value double, event_type string").selectExpr("*", "timestamp_seconds(event_id) as ts").write.parquet(str(tmp_path / "events.parquet"))
+    assert QUERIES["community_membership"](spark, str(tmp_path)).count() == 40

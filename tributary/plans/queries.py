@@ -130,7 +130,7 @@ def _trust(s: SparkSession, d: str) -> DataFrame:
 
 
 def _membership(s: SparkSession, d: str) -> DataFrame:
-    return _cascades(s, d).where("pos <= 10").select(F.col("user_id").alias("node"), (F.col("item_id") % 7).alias("community")).distinct()
+    return _cascades(s, d).select(F.col("user_id").alias("node"), (F.col("item_id") % 7).alias("community")).distinct()
 
 
 def _scores(s: SparkSession, d: str) -> DataFrame:
