@@ -3,7 +3,7 @@
 Base patterns name places by their look (assignments, access keys, hex runs).  Beside these, runs
 that could be base64 or hex are decoded, and reported only if what they hold parses: DER keys
 (nested lengths that fit exactly), OpenSSH key blobs (length-prefixed strings), and signed tokens
-(JSON header that names an algorithm).  Confirmed kinds: ``der``, ``ssh``, ``jwt``.
+(JSON header that names an algorithm).  Code wrapped over lines is joined first.  Confirmed kinds: ``der``, ``ssh``, ``jwt``.
 """
 
 from __future__ import annotations
@@ -29,7 +29,13 @@ _ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 _HEX = table(b"0123456789abcdef")
 _CODE = table(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-.")
 _JWT = re.compile(rb"[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]*")
-_B64 = re.compile(rb"[A-Za-z0-9+/]{40,}={0,2}|[A-Za-z0-9_-]{40,}={0,2}")
+#: A run of each alphabet is tried as a whole; a run that mixes them is not one value, but may hold one.
+_B64 = (re.compile(rb"[A-Za-z0-9+/]{40,}={0,2}"), re.compile(rb"[A-Za-z0-9_-]{40,}={0,2}"))
+#: Code at the end of a line, carried on at the starts of the next ones, through indents, quotes and the like.
+_WRAP = re.compile(rb"""(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+(?:(?:["'][ \t]{0,2}[+,\\]?|[,\\]|)[ \t]{0,2}\r?\n[ \t>#*|]*["']?[A-Za-z0-9+/_-]++)+={0,2}""")
+_PART = re.compile(rb"""(?:^|(?<=\n))[ \t>#*|]*["']?([A-Za-z0-9+/_-]+)""")
+#: Wrapped key blobs, which don't say their length at the start, are followed over so many characters.
+_FAR = 1 << 17
 _HEXRUN = re.compile(rb"(?:[0-9a-fA-F]{2}){32,}")
 _PEM = re.compile(rb"-----BEGIN ([A-Z0-9 ]+)-----([A-Za-z0-9+/=\s]+)-----END \1-----")
 #: The names with which SSH key blobs start.
@@ -118,8 +124,71 @@ def confirm(value: bytes) -> str | None:
     return "ssh" if is_ssh_key(value) else "der" if is_der_key(value) else None
 
 
-def find(text: bytes, base_hex: list[tuple[int, int]], rich: list[tuple[int, int]]) -> list[tuple[int, int, int, bool, str | None]]:
-    """(kind, start, end, base, confirmed) of a text, in bytes; ``rich`` are its long runs of code characters."""
+def _sizes(data: bytes) -> list[int]:
+    """Lengths that a key at the start of ``data`` can have by its own account, longest first."""
+    if data[:1] == b"\x30" and len(data) >= 6:
+        wide = data[1] & 0x7F if data[1] & 0x80 else 0
+        return [2 + wide + int.from_bytes(data[2 : 2 + wide], "big")] if 1 <= wide <= 4 else [2 + data[1]] if not wide else []
+    whole = data.startswith(b"openssh-key-v1\0")
+    if not whole and data[4 : 4 + int.from_bytes(data[:4], "big")] not in _SSH:
+        return []
+    at, parts, most, out = 15 if whole else 0, 0, 3, []
+    while at + 4 <= len(data):
+        if whole and parts == 3 and most == 3:  # behind cipher and derivation: the number of public keys, these, and the private part
+            most, at = 4 + int.from_bytes(data[at : at + 4], "big"), at + 4
+        at, parts = at + 4 + int.from_bytes(data[at : at + 4], "big"), parts + 1
+        if not whole or (parts == most and most > 3):
+            out.append(at)
+        if whole and parts == most > 3:
+            break
+    return out[::-1]
+
+
+def wrapped(text: bytes, start: int, stop: int) -> list[tuple[int, int, str]]:
+    """(start, end, kind) of keys in the code lines text[start:stop], joined from one line's start to another's end."""
+    parts = [(start + m.start(1), start + m.end(1)) for m in _PART.finditer(text[start:stop])]
+    code = b"".join(text[a:b] for a, b in parts)
+    at = [0]
+    for a, b in parts:
+        at.append(at[-1] + b - a)
+    ends = {x: k for k, x in enumerate(at)}
+    out, k = [], 0
+    while k < len(parts) - 1:
+        step = 1
+        for read, chars in ((decode64, lambda n: -(-n * 4 // 3)), (_unhex, lambda n: 2 * n)):
+            head = read(code[at[k] : at[k] + 32])
+            sizes = _sizes(head) if head and head[:1] == b"\x30" else []
+            if head and not sizes and (head.startswith(b"openssh-key-v1\0"[:12]) or head[4:8] in (b"ssh-", b"ecds")):
+                far = code[at[k] : at[k] + _FAR]
+                far = re.match(rb"(?:[0-9a-fA-F]{2})*", far)[0] if read is _unhex else far[: len(far) // 4 * 4 or None]
+                sizes = _sizes((read(far) or b"") + b"\0" * 3)
+            for size in sizes:
+                last = ends.get(at[k] + chars(size), 0)
+                if last <= k + 1:
+                    continue
+                body = code[at[k] : at[last]]
+                if read is decode64 and re.search(rb"[+/]", body) and re.search(rb"[_-]", body):
+                    continue
+                if (value := read(body)) and (kind := confirm(value)):
+                    b = parts[last - 1][1]
+                    out.append((parts[k][0], b + len(re.match(rb"={0,2}", text[b : b + 2])[0]), kind))
+                    step = last - k
+                    break
+            if step > 1:
+                break
+        k += step
+    return out
+
+
+def _unhex(run: bytes) -> bytes | None:
+    try:
+        return binascii.unhexlify(run)
+    except (binascii.Error, ValueError):
+        return None
+
+
+def find(text: bytes, base_hex: list[tuple[int, int]], rich: list[tuple[int, int]], lines: bool = False) -> list[tuple[int, int, int, bool, str | None]]:
+    """(kind, start, end, base, confirmed) of a text, in bytes; ``rich`` are its long runs of code characters; ``lines``: code may go on over lines."""
     out = []
     low = text.lower()
     seeds = []
@@ -153,13 +222,18 @@ def find(text: bytes, base_hex: list[tuple[int, int]], rich: list[tuple[int, int
         for m in _JWT.finditer(run):
             if is_signed_token(m[0]):
                 out.append((3, a + m.start(), a + m.end(), False, "jwt"))
-        for m in _B64.finditer(run):
+        for m in (m for p in _B64 for m in p.finditer(run)):
             value = decode64(m[0])
             if value and (kind := confirm(value)):
                 out.append((KINDS.index(kind), a + m.start(), a + m.end(), False, kind))
         for m in _HEXRUN.finditer(run):
             if kind := confirm(binascii.unhexlify(m[0])):
                 out.append((KINDS.index(kind), a + m.start(), a + m.end(), False, kind))
+    for m in _WRAP.finditer(text) if lines else ():
+        for a, b, kind in wrapped(text, m.start(), m.end()):
+            if not any(a < y and x < b for x, y in taken):
+                out = [x for x in out if x[3] or x[1] < a or x[2] > b]  # a line of it that looks like a key by itself
+                out.append((KINDS.index(kind), a, b, False, kind))
     return sorted(set(out), key=lambda x: (x[1], x[0], x[2]))
 
 
@@ -187,6 +261,9 @@ def scan_block(data: np.ndarray, at: np.ndarray) -> tuple[list[dict], np.ndarray
     for k in np.flatnonzero(e - s >= 40):
         row = int(np.searchsorted(at, s[k], "right")) - 1
         rich.setdefault(row, []).append((int(s[k] - at[row]), int(e[k] - at[row])))
+    near = e[e - s >= 16]  # words that end at most six bytes before the end of a line
+    near = near[(data[np.minimum(near[:, None] + np.arange(7), len(data) - 1)] == 10).any(1)]
+    lines = set((np.searchsorted(at, near - 1, "right") - 1).tolist())
     joined = data.tobytes()
     for low, seeds in ((joined.lower(), _SEEDS), (joined, (b"AKIA", b"-----BEGIN "))):
         for seed in seeds:
@@ -195,9 +272,9 @@ def scan_block(data: np.ndarray, at: np.ndarray) -> tuple[list[dict], np.ndarray
                 row = int(np.searchsorted(at, place, "right")) - 1
                 hot.add(row)
                 place = low.find(seed, int(at[row + 1]))
-    for row in sorted(hot | hexes.keys() | rich.keys()):
+    for row in sorted(hot | hexes.keys() | rich.keys() | lines):
         text = joined[at[row] : at[row + 1]]
-        found = find(text, hexes.get(row, []), rich.get(row, []))
+        found = find(text, hexes.get(row, []), rich.get(row, []), row in lines)
         if not found:
             continue
         chars = np.zeros(len(text) + 1, np.int64)
