@@ -5,6 +5,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -85,6 +87,44 @@ def boundary_intensity(frame: DataFrame) -> DataFrame:
     return frame.select("node", F.lit(0.0).alias("intensity"))
 
 
+def _network(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The scores of one network: rows of part 0 are nodes (a), of 1 edges (a, b), of 2 memberships (a in b)."""
+    part = {k: g[["a", "b"]].to_numpy() for k, g in pdf.groupby("part")}
+    node = np.unique(part[0][:, 0].astype(np.int64)).tolist() if 0 in part else []
+    at = {n: k for k, n in enumerate(node)}
+    has: list[set[int]] = [set() for _ in node]
+    near: list[list[int]] = [[] for _ in node]
+    for a, c in part.get(2, ()):
+        if a in at:
+            has[at[a]].add(c)
+    ends = np.array([(at[a], at[b]) for a, b in part.get(1, ()) if a in at and b in at], np.int64).reshape(-1, 2)
+    for a, b in ends:
+        near[a].append(b)
+        near[b].append(a)
+    s = np.array([len(has[k] & set().union(*(has[x] for x in near[k]))) for k in range(len(node))], np.int64)
+    mean = lambda x: sum(x) / len(x) if x else 0.0
+    lph = [mean([len(has[k] & has[x]) / max(len(has[k] | has[x]), 1) for x in near[k]]) for k in range(len(node))]
+    delta = np.array([mean([abs(int(s[k]) - int(s[x])) for x in near[k]]) for k in range(len(node))], float)
+    u, v = s[ends[:, 0]], s[ends[:, 1]]
+    mu = ((u + v) / 2.0).mean() if len(ends) else 0.0
+    y = ((u - mu) ** 2).sum()
+    h = ((u - mu) * (v - mu)).sum() / y if y else 0.0
+    out = pd.DataFrame({"node": node, "s": s, "delta": delta, "lph_score": (h + delta.sum()) / max(len(node), 1) - delta, "lph": lph})
+    out.insert(0, "net_idx", int(pdf["net_idx"].iloc[0]))
+    out.insert(0, "model", pdf["model"].iloc[0])
+    out["is_boundary"] = (out["lph_score"] <= out["lph_score"].quantile(0.2)).astype(int)
+    return out
+
+
+def network_scores(undirected: DataFrame, nodes: DataFrame, membership: DataFrame) -> DataFrame:
+    """(model, net_idx, node, s, delta, lph_score, lph, is_boundary): ``paper_scores``, ``jaccard_lph`` and ``boundary_flags`` of many networks, a task per network."""
+    key = [F.col("model"), F.col("net_idx")]
+    rows = nodes.select(*key, F.lit(0).alias("part"), F.col("node").cast("long").alias("a"), F.lit(0).cast("long").alias("b"))
+    rows = rows.unionByName(undirected.select(*key, F.lit(1).alias("part"), F.col("u").alias("a"), F.col("v").alias("b")))
+    rows = rows.unionByName(membership.select(*key, F.lit(2).alias("part"), F.col("node").alias("a"), F.col("community").cast("long").alias("b")))
+    return rows.groupBy("model", "net_idx").applyInPandas(_network, "model string, net_idx int, node long, s long, delta double, lph_score double, lph double, is_boundary int")
+
+
 #: Weight of an edge by mode from the communities' Jaccard and the larger boundary intensity of its ends.
 MODES = {
     "uniform": lambda j, b, beta, gamma: F.lit(1.0),

@@ -10,7 +10,7 @@ import argparse
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import alpha, attribution, cascades, centrality, communities, factorization, features, graph, homophily, inference, search, split
+from ..operators import alpha, attribution, cascades, centrality, communities, factorization, features, homophily, inference, search, split
 from ..sources import files, tables
 
 STEPS = ("cascade", "alpha", "inference", "communities", "centrality", "recommend", "search", "shap")
@@ -19,7 +19,7 @@ STEPS = ("cascade", "alpha", "inference", "communities", "centrality", "recommen
 class Run:
     """Tables under ``out``: a step writes its own and reads its predecessors'."""
 
-    def __init__(self, spark: SparkSession, folder: str, out: str, picks: tuple[int, ...] = (25, 50, 75), degree: float = 2.0):
+    def __init__(self, spark: SparkSession, folder: str, out: str, picks: tuple[int, ...] | None = None, degree: float = 2.0):
         self.spark, self.folder, self.out, self.picks, self.degree = spark, folder, out.rstrip("/"), picks, degree
 
     def put(self, df: DataFrame, name: str) -> DataFrame:
@@ -40,27 +40,27 @@ class Run:
         self.put(alpha.grid(alpha.centers(cascades.median_gap(self.get("cascades")))), "grid")
 
     def inference(self) -> None:
-        """Networks of the picked rates (all of ``picks`` in one job)."""
-        grid = self.get("grid").where(F.col("net_idx").isin(*self.picks))
+        """Networks of every rate, or of the rates in ``picks``, in one job."""
+        grid = self.get("grid")
+        if self.picks is not None:
+            grid = grid.where(F.col("net_idx").isin(*self.picks))
         budget = alpha.edge_budget(self.get("users"), self.degree).first()["budget"]
         edges = self.put(inference.infer(self.get("cascades"), grid, budget), "edges")
         self.put(inference.edge_counts(grid, edges), "edge_counts")
         nets = edges.select("model", "net_idx").distinct()
-        self.put(nets.join(self.get("users"), how="cross"), "nodes")  # users times the picked networks: the node tables themselves
+        self.put(nets.join(self.get("users"), how="cross"), "nodes")  # users times networks: the node tables themselves
 
     def communities(self, algorithm: str = "demon", symmetrise: str = "union") -> None:
         nodes, edges = self.get("nodes"), self.get("edges")
         und = edges.select("model", "net_idx", F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v")).distinct()
         member = self.put(communities.detect(nodes, und, algorithm), "membership")
-        parts = None
-        for r in edges.select("model", "net_idx").distinct().collect():  # the few picked networks
-            key = (F.col("model") == r["model"]) & (F.col("net_idx") == r["net_idx"])
-            e, n, m = graph.SYMMETRISE[symmetrise](edges.where(key)), nodes.where(key).select("node"), member.where(key).select("node", "community")
-            one = homophily.boundary_flags(homophily.paper_scores(e, n, m)).join(homophily.jaccard_lph(e, n, m), "node").withColumn("model", F.lit(r["model"])).withColumn("net_idx", F.lit(r["net_idx"]))
-            parts = one if parts is None else parts.unionByName(one)
-        if parts is not None:
-            lists = communities.membership_lists(nodes, member)
-            self.put(parts.join(lists, ["model", "net_idx", "node"], "left"), "scores")
+        if symmetrise == "intersection":
+            both = edges.where("src <> dst").select("model", "net_idx", "src", "dst").distinct()
+            und = both.select("model", "net_idx", F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v")).groupBy("model", "net_idx", "u", "v").count().where("count = 2").drop("count")
+        elif symmetrise != "union":
+            raise KeyError(symmetrise)
+        lists = communities.membership_lists(nodes, member)
+        self.put(homophily.network_scores(und, nodes, member).join(lists, ["model", "net_idx", "node"], "left"), "scores")
 
     def centrality(self) -> None:
         self.put(centrality.bundle(self.get("nodes"), self.get("edges"), centrality.softmax_beta(self.get("scores"))), "centrality")
