@@ -50,3 +50,10 @@ def test_steps_take_every_rate_and_network_scores(spark, tmp_path):
         got = one("scores").toPandas().sort_values("node")
         for c in ("node", "s", "delta", "lph_score", "lph"):
             assert got[c].tolist() == pytest.approx(want[c].tolist())
+
+
+def test_search_reaches_the_end(spark, tmp_path):
+    rows = [(i, i // 2 + i % 2, f'{{"k": {i // 2}}}', 1.0, "click") for i in range(26)]
+    spark.createDataFrame(rows, "event_id long, user_id long, props string, value double, event_type string").selectExpr("*", "timestamp_seconds(event_id) as ts").write.parquet(str(tmp_path / "events.parquet"))
+    got = QUERIES["bfs_distances"](spark, str(tmp_path)).collect()
+    assert sorted((r["node"], r["dist"]) for r in got) == [(i, i) for i in range(14)]

@@ -179,17 +179,18 @@ def path_metrics(nodes: DataFrame, edges: DataFrame, directed: bool = False) ->
     return left.groupBy(*KEY).cogroup(right.groupBy(*KEY)).applyInPandas(run, "model string, net_idx int, node long, betweenness double, closeness double, eccentricity long")
 
 
-def bfs(edges: DataFrame, sources: DataFrame, most: int = 50) -> DataFrame:
-    """(source, node, dist) along undirected ``edges(u, v)`` from ``sources(node)``: a join per level."""
+def bfs(edges: DataFrame, sources: DataFrame, most: int | None = None) -> DataFrame:
+    """(source, node, dist) along undirected ``edges(u, v)`` from ``sources(node)``: a join per level, until none is new or ``most``."""
     e = edges.select(F.col("u").alias("a"), F.col("v").alias("b")).unionByName(edges.select(F.col("v").alias("a"), F.col("u").alias("b")))
     seen = sources.select(F.col("node").alias("source"), "node", F.lit(0).alias("dist"))
-    front = seen
-    for level in range(1, most + 1):
+    front, level = seen, 0
+    while most is None or level < most:
+        level += 1
         nxt = front.join(e, front["node"] == e["a"]).select("source", F.col("b").alias("node")).distinct().join(seen.select("source", "node"), ["source", "node"], "left_anti")
         front = cut(nxt.withColumn("dist", F.lit(level)))
         if front.isEmpty():
             break
-        seen = seen.unionByName(front)
+        seen = cut(seen.unionByName(front)) if level % 10 == 0 else seen.unionByName(front)
     return seen
 
 

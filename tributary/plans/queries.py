@@ -567,7 +567,7 @@ _BFS = {"seen": """SELECT 0 AS dist, node FROM (SELECT min(node) AS node FROM no
 
 @_register("bfs_distances", "SELECT node, min(dist)::INT AS dist FROM seen GROUP BY node", recursive=True, extra=_BFS)
 def _(s, d):
-    return centrality.bfs(_und(s, d), _nodes(s, d).agg(F.min("node").alias("node")), most=6).select("node", "dist")
+    return centrality.bfs(_und(s, d), _nodes(s, d).agg(F.min("node").alias("node"))).select("node", "dist")
 
 
 @_register("hits")
