@@ -73,11 +73,15 @@ class Index:
         return best
 
 
-def sign_codes(vectors: DataFrame, id_col: str = "vec_id", col: str = "embedding", dims: int = 64) -> DataFrame:
+def sign_codes(vectors: DataFrame, id_col: str = "vec_id", col: str = "embedding", dims: int | None = None) -> DataFrame:
     """(id, code): a bit per dimension (1: not negative), in array<int> segments; null vectors are left out.
 
-    Missing or null components count as negative; components from ``dims`` on are left out.
+    Missing or null components count as negative.  Codes are as long as the longest vector, or ``dims``: then
+    components from there on are left out.
     """
+    if dims is None:
+        longest = vectors.where(F.col(id_col).isNotNull()).agg(F.max(F.size(col))).first()[0]
+        dims = max(longest or 0, 1)
     bit = lambda s, b: F.when(F.get(F.col(col), s * SEGMENT + b) >= 0, F.lit(1)).otherwise(F.lit(0))
     seg = lambda s: F.aggregate(F.sequence(F.lit(0), F.lit(SEGMENT - 1)), F.lit(0), lambda acc, b: acc * 2 + bit(s, b))
     code = F.transform(F.sequence(F.lit(0), F.lit(-(-dims // SEGMENT) - 1)), seg)
