@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from itertools import count
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,9 +15,11 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where it is unset (tests, one machine), a new local one."""
+    """The folder in ``spark.checkpoint.dir``; where it is unset, a new local one on one machine, and an error on a cluster."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         app = spark.sparkContext.applicationId
         path = _own.setdefault(app, "") or tempfile.mkdtemp(prefix="tributary-")
         _own[app] = path
@@ -51,7 +54,7 @@ class Scratch:
         self.spark._jvm.System.gc()
 
 
-def components(scratch: Scratch, edges: DataFrame, name: str = "cc", most: int = 60) -> DataFrame:
+def components(scratch: Scratch, edges: DataFrame, name: str = "cc") -> DataFrame:
     """(node, component) for all nodes of ``edges(a, b)``: the smallest node reachable.
 
     Alternating large-star and small-star rounds (Kiveris et al., 2014); each is two shuffles whose
@@ -62,7 +65,7 @@ def components(scratch: Scratch, edges: DataFrame, name: str = "cc", most: int =
     both = lambda e: e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
     cur = scratch.write(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{name}0")
     before = None
-    for k in range(1, most):
+    for k in count(1):
         # large star: every larger neighbour of u is tied to the smallest of u and its neighbours
         every = both(cur)
         low = every.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))

@@ -8,14 +8,17 @@ bound forms a block of its own.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 
 BLOCK_BYTES = 1 << 18
-#: Odd multiplier of the positional hash; a fixed value.
+#: Odd multiplier of the hash; a fixed value.
 _BASE = 0x9E3779B97F4A7C15
+_LONG = 64
 _U = np.uint64
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def text_column(batch: pa.RecordBatch, name: str = "text") -> pa.Array:
@@ -58,20 +61,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-_powers: dict[str, np.ndarray] = {}
-
-
-def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64."""
-    if len(_powers.get("p", ())) < n + 1:
-        size = max(n + 1, BLOCK_BYTES + 1)
-        for name, base in (("p", _BASE), ("i", pow(_BASE, -1, 1 << 64))):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _powers[name] = np.cumprod(steps, dtype=np.uint64)
-    return _powers["p"], _powers["i"]
-
-
 def word_spans(data: np.ndarray, at: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(starts, ends, words per row) of the maximal runs of word bytes; runs end at row borders."""
     n = len(data)
@@ -92,19 +81,27 @@ def word_spans(data: np.ndarray, at: np.ndarray, is_word: np.ndarray) -> tuple[n
 
 
 def span_hashes(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span's bytes, the same wherever the span stands."""
-    out = np.empty(len(s), np.uint64)
-    k = 0
-    while k < len(s):
-        end = max(k + 1, int(np.searchsorted(e, s[k] + BLOCK_BYTES, "right")))
-        lo, hi = s[k], e[end - 1]
-        power, inverse = _tables(int(hi - lo))
-        sums = np.zeros(hi - lo + 1, np.uint64)
-        np.cumsum((data[lo:hi].astype(np.uint64) + _U(1)) * power[: hi - lo], out=sums[1:])
-        a, b = s[k:end] - lo, e[k:end] - lo
-        out[k:end] = (sums[b] - sums[a]) * inverse[a]
-        k = end
-    return mix(out)
+    """A 64-bit hash of each span's bytes, the same wherever the span stands.
+
+    Eight bytes at a time are mixed in, so that no sum or polynomial of the bytes decides; spans of
+    more than ``_LONG`` bytes take BLAKE2b.
+    """
+    size = e - s
+    out = mix(size.astype(np.uint64) + _U(_BASE))
+    if not len(s):
+        return out
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    words = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    at, left, some = s, size, np.flatnonzero(size <= _LONG)
+    while len(some):
+        rest = left[some]
+        part = words[at[some]] & _MASK[np.minimum(rest, 8)]
+        out[some] = mix((out[some] ^ part) * _U(_BASE) + _U(1))
+        at, left = at + 8, left - 8
+        some = some[rest > 8]
+    for k in np.flatnonzero(size > _LONG).tolist():
+        out[k] = int.from_bytes(blake2b(data[s[k] : e[k]].tobytes(), digest_size=8).digest(), "little")
+    return out
 
 
 def row_of(counts: np.ndarray) -> np.ndarray:

@@ -6,15 +6,18 @@ rare first, by a sketch of shingle counts over all documents.  Its l-prefix hold
 least ``min(l, l')`` prefix shingles.  Each document lengthens its prefix while the sketch promises
 that asking for more shared shingles saves more verification than the longer prefix costs.
 
-Classes and components are the result, so groups of copies need no pairs: exact copies are one
-class; in turns, every document is tried against stars of its prefix shingles, and what links becomes
-one component; then all pairs of different components that share enough prefix shingles are verified,
-so no link between components is lost.
+Classes and components are the result, so groups of copies need no pairs: documents with one set are
+one node, named by a 64-bit print of the set; in turns, every node is tried against stars of its prefix
+shingles, and what links becomes one component; then all pairs of nodes in different components that
+share enough prefix shingles are verified, so no link between components is lost.
+
+Before texts are compared, a parity signature (bit h is set where an odd number of the set's shingles
+falls on h) bounds the symmetric difference of two sets from below: every bit in which two signatures
+differ needs a shingle that only one set holds.  Pairs that the bound rules out make no row.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from functools import reduce
 
@@ -30,6 +33,11 @@ from ._text import blocks, mix, span_hashes, table, text_column, word_spans
 WORDS, PER_CENT = 5, 75
 SKETCH_BITS = 18
 _SEGMENTS = 64
+#: Bits of the signature that rows carry into joins, and of the shortest whole signature.
+_SHORT = 512
+_S = [f"s{k}" for k in range(_SHORT // 64)]
+#: So many of a node's first shared prefix shingles tell whether a pair has met before.
+_FIRST = 8
 _TURNS = 6
 #: A shingle that the sketch counts this often above its noise is dealt to several tasks.
 _HOT = 50_000
@@ -65,10 +73,32 @@ def shingles(data: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def _prints(tokens: np.ndarray) -> tuple[int, int]:
-    """Two independent 64-bit sums that stand for a set."""
-    with np.errstate(over="ignore"):
-        return int(np.sum(mix(tokens)).view(np.int64)), int(np.sum(mix(tokens ^ _U(0xD6E8FEB86659FD93))).view(np.int64))
+def node_of(tokens: np.ndarray) -> int:
+    """A 64-bit print that stands for a set: two sums of its mixed hashes and its size, mixed."""
+    sums = np.array([np.sum(mix(tokens)), np.sum(mix(tokens ^ _U(0xD6E8FEB86659FD93)))], np.uint64)
+    return int(mix(mix(sums[:1] + _U(len(tokens))) ^ sums[1:]).view(np.int64)[0])
+
+
+def signature(tokens: np.ndarray) -> np.ndarray:
+    """The parity bits of a set as 64-bit words: two bits a shingle or more, ``_SHORT`` at least, a power of two.
+
+    Half as many bits are the two halves, one over the other (xor).
+    """
+    bits = max(_SHORT, 1 << max(0, 2 * len(tokens) - 1).bit_length())
+    odd = np.bincount((tokens & _U(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1
+    return np.packbits(odd, bitorder="little").view(np.int64)
+
+
+def folded(words: np.ndarray, size: int) -> np.ndarray:
+    while len(words) > size:
+        words = words[: len(words) // 2] ^ words[len(words) // 2 :]
+    return words
+
+
+def could_link(na: int, nb: int, a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether signatures allow a link: sets that link differ in a seventh of both sizes at most."""
+    size = min(len(a), len(b))
+    return 7 * int(np.bitwise_count((folded(a, size) ^ folded(b, size)).view(np.uint64)).sum()) <= na + nb
 
 
 def overlap_needed(n: int) -> int:
@@ -93,25 +123,25 @@ def prefix(tokens: np.ndarray, sketch: np.ndarray, noise: int) -> tuple[np.ndarr
 
 
 def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row per document (id, n, prints) and, at the end, the partition's counts of shingles in segments."""
-    names = ["id", "n", "p", "q", "segment", "counts"]
+    """A row per document (id, node, n, signatures) and, at the end, the partition's counts of shingles in segments."""
+    names = ["id", "n", "node", *_S, "sig", "segment", "counts"]
     sketch = np.zeros(1 << SKETCH_BITS, np.int64)
-    seen: set[tuple[int, int]] = set()
+    seen: set[int] = set()
     for batch in batches:
         for row, end, data, at in blocks(text_column(batch)):
             sets = shingles(data, at)
-            prints = []
-            for tokens in sets:
-                prints.append(_prints(tokens))
-                if prints[-1] not in seen:
-                    seen.add(prints[-1])
+            nodes, marks = [node_of(x) for x in sets], [signature(x) for x in sets]
+            for node, tokens in zip(nodes, sets, strict=True):
+                if node not in seen:
+                    seen.add(node)
                     np.add.at(sketch, (tokens >> _U(64 - SKETCH_BITS)).astype(np.int64), 1)
             n = end - row
-            yield pa.RecordBatch.from_arrays([batch.column("id").slice(row, n), pa.array([len(x) for x in sets], pa.int64()), pa.array([x[0] for x in prints], pa.int64()), pa.array([x[1] for x in prints], pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
+            short = np.stack([folded(x, len(_S)) for x in marks])
+            yield pa.RecordBatch.from_arrays([batch.column("id").slice(row, n), pa.array([len(x) for x in sets], pa.int64()), pa.array(nodes, pa.int64()), *(pa.array(short[:, k]) for k in range(len(_S))), pa.array([x.tobytes() for x in marks], pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
     parts = [x.astype("<u4").tobytes() for x in np.minimum(sketch, 0xFFFFFFFF).reshape(_SEGMENTS, -1)]
     if sketch.any():
         none = pa.nulls(_SEGMENTS, pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(range(_SEGMENTS), pa.int32()), pa.array(parts, pa.binary())], names)
+        yield pa.RecordBatch.from_arrays([*[none] * (3 + len(_S)), pa.nulls(_SEGMENTS, pa.binary()), pa.array(range(_SEGMENTS), pa.int32()), pa.array(parts, pa.binary())], names)
 
 
 def _add_counts(part: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,29 +165,35 @@ def read_sketch(summaries: DataFrame) -> np.ndarray:
     return np.minimum(sketch.reshape(-1), 0xFFFFFFFF).astype(np.uint32)
 
 
+def noise_of(counts: np.ndarray) -> int:
+    """What a counter holds of ordinary shingles: the middle, and four deviations of the middle half of the counters."""
+    middle = np.median(counts)
+    return int(middle + 6 * np.median(np.abs(counts - middle))) + 1
+
+
 def _postings(docs: DataFrame, sketch: np.ndarray) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(sketch)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = shared.value
-        noise = int(np.median(counts)) + 1
-        seen: set[tuple[int, int]] = set()
+        noise = noise_of(counts)
+        seen: set[int] = set()
         for batch in batches:
             for row, end, data, at in blocks(text_column(batch)):
                 tokens, nodes, metas, lens, salts = [], [], [], [], []
-                ids = batch.column("id").slice(row, end - row).to_pylist()
-                for i, found in zip(ids, shingles(data, at), strict=True):
+                ids = batch.column("id").slice(row, end - row)
+                for known, found in zip(ids.is_valid().to_pylist(), shingles(data, at), strict=True):
                     # a copy's entries would say what its first copy's do
-                    if not len(found) or i is None or (prints := _prints(found)) in seen:
+                    if not len(found) or not known or (node := node_of(found)) in seen:
                         continue
-                    seen.add(prints)
+                    seen.add(node)
                     part, need = prefix(found, counts, noise)
                     tokens.append(part)
-                    nodes.append(i)
+                    nodes.append(node)
                     metas.append((((len(found) << 28) + np.arange(1, len(part) + 1)) << 4) + need)
                     lens.append(len(part))
                     heat = (counts[(part >> _U(64 - SKETCH_BITS)).astype(np.int64)].astype(np.int64) - noise) // _HOT
-                    salts.append(np.where(heat > 0, 1 + zlib.crc32(str(i).encode()) % (np.maximum(heat, 0) + 1), 0))
+                    salts.append(np.where(heat > 0, 1 + (node & 0xFFFFFFFF) % (np.maximum(heat, 0) + 1), 0))
                 if tokens:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.repeat(np.array(nodes, np.int64), lens)), pa.array(np.concatenate(metas)), pa.array(np.concatenate(salts).astype(np.int32))], ["token", "node", "meta", "salt"])
 
@@ -187,8 +223,8 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _MAP_WORDS = 1 << 17
 
 
-def _among(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The documents with these ids.
+def _among(docs: DataFrame, ids: DataFrame, repeats: bool) -> DataFrame:
+    """The documents with these ids; of equal rows one, where ids repeat.
 
     A bitmap of the ids' hashes, of fixed size (2**23 bits), drops most other documents before their
     texts shuffle; where so many ids come that it is full, all texts shuffle.
@@ -197,18 +233,37 @@ def _among(docs: DataFrame, ids: DataFrame) -> DataFrame:
     bitmap = ids.groupBy(word.alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("bits"))
     near = docs.where("id is not null").withColumn("word", word).join(F.broadcast(bitmap), "word")
     near = near.where(F.call_function("shiftrightunsigned", F.col("bits"), bit).bitwiseAND(F.lit(1)) == 1).select("id", "text")
-    return near.join(ids.hint("merge"), "id", "left_semi")
+    found = near.join(ids.hint("merge"), "id", "left_semi")
+    return found.groupBy("id", F.xxhash64("text").alias("h")).agg(F.first("text").alias("text")).drop("h") if repeats else found
+
+
+def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        a, b = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("na", "nb"))
+        x, y = batch.column("siga"), batch.column("sigb")
+        keep = pa.array([could_link(int(a[k]), int(b[k]), np.frombuffer(x[k].as_py(), np.int64), np.frombuffer(y[k].as_py(), np.int64)) for k in range(batch.num_rows)], pa.bool_())
+        yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], ["a", "b"])
+
 
+def near(forms: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose whole signatures allow a link."""
+    side = lambda c: forms.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("sig").alias(f"sig{c}"))
+    both = pairs.hint("merge").join(side("a"), "a").hint("merge").join(side("b"), "b")
+    return both.select("a", "b", "na", "nb", "siga", "sigb").mapInArrow(_near, "a long, b long")
 
-def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose whole texts link.
+
+def verified(docs: DataFrame, forms: DataFrame, pairs: DataFrame, repeats: bool) -> DataFrame:
+    """The pairs (a, b) of nodes whose whole texts link.
 
     Sort-merge joins at every size: what small inputs broadcast would not be small on large ones.
     """
-    texts = _among(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    left = pairs.hint("merge").join(texts.select(F.col("id").alias("a"), F.col("text").alias("left")), "a")
-    both = left.hint("merge").join(texts.select(F.col("id").alias("b"), F.col("text").alias("right")), "b")
-    return both.select("a", "b", "left", "right").mapInArrow(_verify, "a long, b long")
+    named = lambda c: forms.select(F.col("node").alias(c), F.col("id").alias(f"id{c}"))
+    pairs = pairs.hint("merge").join(named("a"), "a").hint("merge").join(named("b"), "b")
+    texts = _among(docs, pairs.select(F.explode(F.array("ida", "idb")).alias("id")).distinct(), repeats)
+    left = pairs.hint("merge").join(texts.select(F.col("id").alias("ida"), F.col("text").alias("left")), "ida")
+    both = left.hint("merge").join(texts.select(F.col("id").alias("idb"), F.col("text").alias("right")), "idb")
+    out = both.select("a", "b", "left", "right").mapInArrow(_verify, "a long, b long")
+    return out.distinct() if repeats else out
 
 
 def _parts(meta: str, tail: str = "") -> dict:
@@ -226,12 +281,6 @@ def _could(na: str, pa_: str, da: str, nb: str, pb: str, db: str) -> str:
     return f"7 * ({pa_} - least({da}, {db})) <= 4 * {na} - 3 * {nb} and 7 * ({pb} - least({da}, {db})) <= 4 * {nb} - 3 * {na}"
 
 
-def _enough(met: DataFrame) -> DataFrame:
-    """Pairs (a, b) that share the matches asked for, and whose shared shingles so far plus all that follow
-    the last of them make the overlap a link takes."""
-    return met.where("c >= need and 7 * (c + least(na - la, nb - lb)) >= 3 * (na + nb)").select("a", "b")
-
-
 def _meet(rows: DataFrame) -> DataFrame:
     """Per pair: shared shingles, last places, sizes, matches to ask for."""
     return rows.groupBy("a", "b").agg(F.count("*").alias("c"), F.max("posa").alias("la"), F.max("posb").alias("lb"), F.first("na").alias("na"), F.first("nb").alias("nb"), F.min(F.least("needa", "needb")).alias("need"))
@@ -260,7 +309,7 @@ def next_stars(mine: DataFrame, turn: int) -> DataFrame:
 
 
 def labelled(entries: DataFrame, labels: DataFrame) -> DataFrame:
-    """Postings of shingles that stand in several components, with component and its size in documents."""
+    """Postings of shingles that stand in several components, with component and its size in nodes."""
     sizes = labels.groupBy("component").agg(F.count("*").alias("size"))
     known = labels.join(sizes, "component").select("node", "component", "size")
     mine = entries.join(known, "node", "left").select("token", "node", "meta", F.coalesce("component", "node").alias("component"), F.coalesce("size", F.lit(1)).alias("size"))
@@ -275,23 +324,65 @@ def crossings(mine: DataFrame) -> int:
     return each.agg(F.sum(F.col("m") * (F.col("m") - 1) / 2)).first()[0] or 0
 
 
-def cross_pairs(mine: DataFrame) -> DataFrame:
-    """(a, b) of different components that share enough prefix shingles: all of them.
+def meetings(scratch: Scratch, mine: DataFrame, forms: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(a row per node and list of nodes that it shares shingles with, a row per list and component).
+
+    Shingles with one and the same list are one.  ``x`` names the list, ``pos`` is the first of its
+    shingles' places, ``first`` the node's first ``_FIRST`` lists in the global order, ``many`` how
+    many of the node's component stand in the list; the second table has bounds of their sizes,
+    places and matches to ask for.
+    """
+    mark = F.xxhash64("node")
+    lists = mine.groupBy("token").agg(F.sum(mark.bitwiseAND(F.lit(0xFFFFFFFF))).alias("lo"), F.sum(F.shiftrightunsigned(mark, 32)).alias("hi"), F.count("*").alias("k"))
+    named = mine.join(lists.select("token", F.xxhash64("lo", "hi", "k").alias("x")), "token").withColumns(_parts("meta"))
+    rows = scratch.write(named.groupBy("node", "x").agg(F.min("pos").alias("pos"), F.first("n").alias("n"), F.first("need").alias("need"), F.first("component").alias("component")), "lists")
+    first = rows.groupBy("node").agg(F.slice(F.array_sort(F.collect_list(F.struct("pos", "x"))), 1, _FIRST).alias("first")).select("node", F.col("first.x").alias("first"))
+    kinds = scratch.write(rows.groupBy("x", "component").agg(F.count("*").alias("many"), F.min("n").alias("small"), F.max("n").alias("large"), F.min("pos").alias("early"), F.max("need").alias("most")), "kinds")
+    met = rows.hint("merge").join(kinds.select("x", "component", "many"), ["x", "component"]).join(first, "node").join(forms.select("node", *_S), "node")
+    return scratch.write(met, "met"), kinds
+
+
+def _differ(x: str, y: str) -> str:
+    return " + ".join(f"bit_count({x}.{s} ^ {y}.{s})" for s in _S)
 
-    ``mine`` are the postings of shingles in several components; components are paired by shingle first (with bounds of
-    their members' places), so a large component's members meet only the few documents outside it,
-    never each other.
+
+def _new(x: str, y: str) -> str:
+    """Whether two nodes that meet in a list could link by their signatures, and have not met in an earlier list.
+
+    Lists have one order for all nodes, so where the places of one common list allow a link, those
+    of the first one do.
     """
-    mine = mine.withColumns(_parts("meta"))
-    kinds = mine.groupBy("token", "component").agg(F.min("n").alias("small"), F.max("n").alias("large"), F.min("pos").alias("first"), F.max("need").alias("need"))
-    x, y = kinds.alias("x"), kinds.alias("y")
-    room = "7 * (x.first - least(x.need, y.need)) <= 4 * x.large - 3 * y.small and 7 * (y.first - least(x.need, y.need)) <= 4 * y.large - 3 * x.small"
-    two = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.component") < F.col("y.component")) & F.expr(room))
-    two = two.select(F.col("x.token").alias("token"), F.col("x.component").alias("component"), F.col("y.component").alias("other"))
-    left = two.join(mine, ["token", "component"]).select("token", F.col("other").alias("component"), F.col("node").alias("a"), F.col("n").alias("na"), F.col("pos").alias("posa"), F.col("need").alias("needa"))
-    right = mine.select("token", "component", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("posb"), F.col("need").alias("needb")).alias("r")
-    both = left.alias("l").join(right, (F.col("l.token") == F.col("r.token")) & (F.col("l.component") == F.col("r.component")) & F.expr(_could("na", "posa", "needa", "nb", "posb", "needb")))
-    return _enough(_meet(both.select("a", "b", "na", "nb", "posa", "posb", "needa", "needb")))
+    return f"7 * ({_differ(x, y)}) <= {x}.n + {y}.n and coalesce(get(array_intersect({x}.first, {y}.first), 0) = {x}.x, true)"
+
+
+def cross_pairs(met: DataFrame, kinds: DataFrame) -> DataFrame:
+    """(a, b, need) of different components that meet in a list of ``meetings`` and could link: all of them.
+
+    Nodes that stand alone for their component meet each other; components with several are
+    paired first (with bounds of their members' places), so a large component's members meet only
+    the few nodes outside it, never each other.
+    """
+    one = met.where("many = 1")
+    room = _could("p.n", "p.pos", "p.need", "q.n", "q.pos", "q.need")
+    pair = [F.col("p.node").alias("a"), F.col("q.node").alias("b"), F.least("p.need", "q.need").alias("need")]
+    alone = one.alias("p").join(one.alias("q"), F.expr(f"p.x = q.x and p.node < q.node and {room} and {_new('p', 'q')}")).select(*pair)
+    wide = "7 * (u.early - least(u.most, v.most)) <= 4 * u.large - 3 * v.small and 7 * (v.early - least(u.most, v.most)) <= 4 * v.large - 3 * u.small"
+    # the side with more members is u
+    two = kinds.where("many > 1").alias("u").join(kinds.alias("v"), F.expr(f"u.x = v.x and struct(u.many, u.component) > struct(v.many, v.component) and {wide}"))
+    two = two.select(F.col("u.x").alias("x"), F.col("u.component").alias("other"), F.col("v.component").alias("component"))
+    fewer = met.join(two, ["x", "component"]).select("x", F.col("other").alias("component"), "node", "n", "pos", "need", "first", *_S)
+    mixed = fewer.alias("p").join(met.where("many > 1").alias("q"), F.expr(f"p.x = q.x and p.component = q.component and {room} and {_new('p', 'q')}")).select(*pair)
+    return alone.unionByName(mixed).groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("need").alias("need"))
+
+
+def matched(mine: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) that share as many prefix shingles as both ask for."""
+    more = pairs.where("need > 1")
+    used = more.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    own = mine.join(used.hint("merge"), "node", "left_semi").groupBy("node").agg(F.collect_list("token").alias("tokens"))
+    side = lambda c: own.select(F.col("node").alias(c), F.col("tokens").alias(f"t{c}"))
+    both = more.hint("merge").join(side("a"), "a").hint("merge").join(side("b"), "b")
+    return pairs.where("need = 1").select("a", "b").unionByName(both.where(F.size(F.array_intersect("ta", "tb")) >= F.col("need")).select("a", "b"))
 
 
 def join(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -299,30 +390,35 @@ def join(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
     Two documents link when their sets' Jaccard similarity is 0.75 or more; component_id is the
     smallest id reachable by links, the own id without any.  Null and empty texts, and texts of
-    white space, have no shingles and link with nothing.  Rows with one id are one node; a null id
-    links with nothing and has a null component.  An empty table gives no row.
+    white space, have no shingles and link with nothing.  Rows with one id are one document, whose
+    texts all link; a null id links with nothing and has a null component.  An empty table gives no row.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("id"), "text")
-    summaries = scratch.write(docs.mapInArrow(_summaries, "id long, n long, p long, q long, segment int, counts binary"), "summaries")
-    rows = summaries.where("segment is null").select("id", "n", "p", "q")
+    fields = ", ".join(f"{s} long" for s in _S)
+    summaries = scratch.write(docs.mapInArrow(_summaries, f"id long, n long, node long, {fields}, sig binary, segment int, counts binary"), "summaries")
+    rows = summaries.where("segment is null").select("id", "n", "node")
+    some = summaries.where("segment is null and n > 0 and id is not null")
+    forms = scratch.write(some.groupBy("node").agg(F.min("id").alias("id"), F.first("n").alias("n"), *[F.first(s).alias(s) for s in _S], F.first("sig").alias("sig")), "forms")
     sketch = read_sketch(summaries)
     together = W.partitionBy("token", "salt")
-    entries = _postings(docs, sketch).withColumn("s", F.min(F.struct("node", "meta")).over(together)).withColumn("df", F.count("*").over(together))
-    # a hot shingle's postings stay, since another salt's documents may hold it
-    entries = entries.where("df > 1 or salt > 0").select("token", "node", "meta", F.col("s.node").alias("star"), F.col("s.meta").alias("star_meta"))
-    entries = scratch.write(entries, "entries")
+    entries = _postings(docs, sketch).withColumn("s", F.min(F.struct("node", "meta")).over(together)).withColumn("top", F.max("node").over(together))
+    # a hot shingle's postings stay, since another salt's documents may hold it; copies in several partitions have equal ones
+    entries = entries.where("s.node <> top or salt > 0").select("token", "salt", "node", "meta", F.col("s.node").alias("star"), F.col("s.meta").alias("star_meta")).distinct()
+    entries = scratch.write(entries.drop("salt"), "entries")
     scratch.release()
-    classes = rows.where("n > 0 and id is not null").groupBy("n", "p", "q").agg(F.min("id").alias("b"))
-    copies = rows.join(classes, ["n", "p", "q"]).where("id <> b").select(F.col("id").alias("a"), "b").distinct()
-    links = [scratch.write(copies, "copies")]
+    # an id with several texts ties their nodes
+    tied = some.groupBy("id").agg(F.min("node").alias("b"), F.count("*").alias("k")).where("k > 1").select("id", "b")
+    links = [scratch.write(some.join(tied, "id").select(F.col("node").alias("a"), "b").where("a <> b").distinct(), "tied")]
+    repeats = not tied.isEmpty()
     joined = lambda: reduce(DataFrame.unionByName, links)
     most = rows.count()
-    pairs = scratch.write(star_pairs(entries), "tried0")
+    pairs = scratch.write(near(forms, star_pairs(entries)), "tried0")
     before = None
     for turn in range(1, _TURNS + 1):
-        links.append(scratch.write(verified(docs, pairs), f"links{turn}"))
+        links.append(scratch.write(verified(docs, forms, pairs, repeats), f"links{turn}"))
+        scratch.drop(f"tried{turn - 1}")
         scratch.release()
         labels = components(scratch, joined(), f"labels{turn}-")
         mine = scratch.write(labelled(entries, labels), f"mine{turn}")
@@ -331,14 +427,21 @@ def join(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
         if turn == _TURNS or left <= most or (before is not None and left > 0.7 * before):
             break
         before = left
-        pairs = scratch.write(star_pairs(next_stars(mine, turn)), f"tried{turn}")
+        pairs = scratch.write(near(forms, star_pairs(next_stars(mine, turn))), f"tried{turn}")
         scratch.drop(f"mine{turn}")
         scratch.release()
     scratch.drop("entries")
-    pairs = scratch.write(cross_pairs(mine), "cross")
-    scratch.drop(f"mine{turn}")
     scratch.release()
-    links.append(scratch.write(verified(docs, pairs), "rest"))
+    pairs = scratch.write(cross_pairs(*meetings(scratch, mine, forms)), "cross")
+    scratch.drop("lists", "kinds", "met")
+    pairs = scratch.write(near(forms, matched(mine, pairs)), "close")
+    scratch.drop(f"mine{turn}", "cross")
+    scratch.release()
+    links.append(scratch.write(verified(docs, forms, pairs, repeats), "rest"))
+    scratch.drop("close")
     scratch.release()
-    labels = components(scratch, joined(), "last")
-    return rows.join(labels.select(F.col("node").alias("id"), "component"), "id", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
+    labels = scratch.write(components(scratch, joined(), "last"), "components")
+    # joined as tables, so that a class with many copies can be split between tasks
+    placed = scratch.write(rows.hint("merge").join(labels, "node", "left").select("id", "n", F.when(F.col("n") > 0, F.coalesce("component", "node")).alias("component")), "placed")
+    heads = scratch.write(placed.where("component is not null").groupBy("component").agg(F.min("id").alias("head")), "heads")
+    return placed.hint("merge").join(heads, "component", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("head", "id")).alias("component_id"))
