@@ -12,6 +12,7 @@ import base64
 import binascii
 import json
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +29,7 @@ _SEEDS = (b"passw", b"secret", b"token", b"api")
 _ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 _HEX = table(b"0123456789abcdef")
 _CODE = table(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-.")
-_JWT = re.compile(rb"[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]*")
+_SEGMENT = re.compile(rb"[A-Za-z0-9_-]+")
 #: A run of each alphabet is tried as a whole; a run that mixes them is not one value, but may hold one.
 _B64 = (re.compile(rb"[A-Za-z0-9+/]{40,}={0,2}"), re.compile(rb"[A-Za-z0-9_-]{40,}={0,2}"))
 #: Code at the end of a line, carried on at the starts of the next ones, through indents, quotes and the like.
@@ -37,7 +38,7 @@ _PART = re.compile(rb"""(?:^|(?<=\n))[ \t>#*|]*["']?([A-Za-z0-9+/_-]+)""")
 #: Wrapped key blobs, which don't say their length at the start, are followed over so many characters.
 _FAR = 1 << 17
 _HEXRUN = re.compile(rb"(?:[0-9a-fA-F]{2}){32,}")
-_PEM = re.compile(rb"-----BEGIN ([A-Z0-9 ]+)-----([A-Za-z0-9+/=\s]+)-----END \1-----")
+_PEM = re.compile(rb"-----BEGIN ([A-Z0-9 ]++)-----([A-Za-z0-9+/=\s]++)-----END \1-----")
 #: The names with which SSH key blobs start.
 _SSH = (b"ssh-rsa", b"ssh-dss", b"ssh-ed25519", b"ecdsa-sha2-nistp256", b"ecdsa-sha2-nistp384", b"ecdsa-sha2-nistp521")
 SPAN = "array<struct<kind:string,start:long,stop:long,base:boolean,confirmed:string>>"
@@ -109,14 +110,35 @@ def is_ssh_key(data: bytes) -> bool:
     return len(parts) >= 2 and parts[0] in _SSH
 
 
+def _json(part: bytes) -> object:
+    try:
+        return json.loads(decode64(part) or b"")
+    except (ValueError, RecursionError):
+        return None
+
+
 def is_signed_token(run: bytes) -> bool:
     """Three dotted parts, the first a JSON object with an algorithm, the second a JSON object."""
     head, body, _ = run.split(b".", 2)
-    try:
-        head, body = (json.loads(decode64(x) or b"") for x in (head, body))
-    except (ValueError, RecursionError):
-        return False
-    return isinstance(head, dict) and isinstance(head.get("alg"), str) and isinstance(body, dict)
+    head = _json(head)
+    return isinstance(head, dict) and isinstance(head.get("alg"), str) and isinstance(_json(body), dict)
+
+
+def signed_tokens(run: bytes) -> list[tuple[int, int]]:
+    """(start, end) of the signed tokens in a run, from the left, without overlap; every part is decoded once as a header at most."""
+    if run.count(b".") < 2:
+        return []
+    parts = [m.span() for m in _SEGMENT.finditer(run)]
+    out, done = [], 0
+    for k, (a, b) in enumerate(parts[:-1]):
+        c, d = parts[k + 1]
+        if a < done or b - a < 8 or d - c < 2 or c != b + 1 or run[b : b + 1] != b"." or run[d : d + 1] != b".":
+            continue
+        end = parts[k + 2][1] if k + 2 < len(parts) and parts[k + 2][0] == d + 1 else d + 1
+        if is_signed_token(run[a:end]):
+            out.append((a, end))
+            done = end
+    return out
 
 
 def confirm(value: bytes) -> str | None:
@@ -216,12 +238,10 @@ def find(text: bytes, base_hex: list[tuple[int, int]], rich: list[tuple[int, int
             out.append((KINDS.index(kind), m.start(), m.end(), False, kind))
             taken.append((m.start(), m.end()))
     for a, b in rich:
-        if any(a < y and x < b for x, y in taken):
+        if _meets(taken, a, b):
             continue
         run = text[a:b]
-        for m in _JWT.finditer(run):
-            if is_signed_token(m[0]):
-                out.append((3, a + m.start(), a + m.end(), False, "jwt"))
+        out += [(3, a + x, a + y, False, "jwt") for x, y in signed_tokens(run)]
         for m in (m for p in _B64 for m in p.finditer(run)):
             value = decode64(m[0])
             if value and (kind := confirm(value)):
@@ -229,14 +249,20 @@ def find(text: bytes, base_hex: list[tuple[int, int]], rich: list[tuple[int, int
         for m in _HEXRUN.finditer(run):
             if kind := confirm(binascii.unhexlify(m[0])):
                 out.append((KINDS.index(kind), a + m.start(), a + m.end(), False, kind))
-    for m in _WRAP.finditer(text) if lines else ():
-        for a, b, kind in wrapped(text, m.start(), m.end()):
-            if not any(a < y and x < b for x, y in taken):
-                out = [x for x in out if x[3] or x[1] < a or x[2] > b]  # a line of it that looks like a key by itself
-                out.append((KINDS.index(kind), a, b, False, kind))
+    whole = [(a, b, kind) for m in (_WRAP.finditer(text) if lines else ()) for a, b, kind in wrapped(text, m.start(), m.end()) if not _meets(taken, a, b)]
+    if whole:  # one of their lines may look like a key by itself
+        starts = [a for a, _, _ in whole]
+        inside = lambda x: (k := bisect_right(starts, x[1]) - 1) >= 0 and x[2] <= whole[k][1]
+        out = [x for x in out if x[3] or not inside(x)] + [(KINDS.index(kind), a, b, False, kind) for a, b, kind in whole]
     return sorted(set(out), key=lambda x: (x[1], x[0], x[2]))
 
 
+def _meets(spans: list[tuple[int, int]], a: int, b: int) -> bool:
+    """Whether any of the spans, which are in order and apart, has a place in a to b."""
+    k = bisect_left(spans, (b,)) - 1
+    return k >= 0 and spans[k][1] > a
+
+
 def _inner(value: bytes) -> str | None:
     if value.count(b".") == 2 and is_signed_token(value):
         return "jwt"
