@@ -47,6 +47,8 @@ NOTICES = (
     Notice("this is free and unencumbered software released into the public domain", "unlicense", 5),
     Notice("proprietary and confidential", "proprietary", 2),
 )
+#: Windows of so many bytes are remembered.
+_SHORT = 1024
 #: Phrases whose exact places form the base result.
 BASE = ("cc by", "general public license", "all rights reserved")
 
@@ -74,25 +76,54 @@ class Scanner:
             for at, piece in pieces(phrase, n.edits):
                 self.seeds.setdefault(piece, []).append((k, at))
         # word borders are part of the match: notices start and end where words do
-        self.pattern = [regex.compile(rb"(?be)(?<![^ ])(?:%s){e<=%d}(?![^ ])" % (regex.escape(p), n.edits)) for n, p in self.notices]
+        fuzzy = [rb"(?<= )(?:%s){e<=%d}(?= )" % (regex.escape(p), n.edits) for n, p in self.notices]
+        self.leftmost = [regex.compile(x) for x in fuzzy]
+        self.best = [regex.compile(b"(?be)" + x) for x in fuzzy]
         self.memo: OrderedDict[tuple[int, bytes], list[tuple[int, int, int]]] = OrderedDict()
         self.limit = memo
 
+    def _fuzzy(self, k: int, window: bytes, lo: int, hi: int) -> list[tuple[int, int, int]]:
+        """Matches of notice k in window[lo:hi], from the left: a match is found, then the best one that stands where it does.
+
+        Each step looks at the leftmost match and ``edits`` characters beyond it, so that a long
+        window with many matches is read once.  Searches take the blanks on both sides along, since
+        the library allows no insertion where a search starts.
+        """
+        edits = self.notices[k][0].edits
+        found = []
+        while hi > lo and (m := self.leftmost[k].search(window, lo - 1, hi + 1)):
+            end = window.find(b" ", min(hi, m.end() + edits), hi)
+            end = hi if end < 0 else end
+            top = self.best[k].search(window, m.start() - 1, end + 1)
+            if not top or top.end() <= top.start():
+                break
+            if top.start() - 1 > m.start():  # what the best one leaves on its left
+                found += [(x.start(), x.end(), sum(x.fuzzy_counts)) for x in [self.best[k].search(window, m.start() - 1, top.start())] if x]
+            found.append((*top.span(), sum(top.fuzzy_counts)))
+            lo = top.end() + 1
+        return found
+
     def _verify(self, k: int, window: bytes) -> list[tuple[int, int, int]]:
-        """(start, end, edits) of the matches of notice k in a window, the best of those that overlap."""
+        """(start, end, edits) of the matches of notice k in a window: every exact place, and fuzzy ones between these."""
         key = (k, window)
-        if key not in self.memo:
-            found, todo = [], [(0, len(window))]
-            while todo:  # the best match first, then what stands on either side of it
-                lo, hi = todo.pop()
-                m = self.pattern[k].search(window, lo, hi) if hi > lo else None
-                if m and m.end() > m.start():
-                    found.append((*m.span(), sum(m.fuzzy_counts)))
-                    todo += [(lo, m.start() - 1), (m.end() + 1, hi)]
-            self.memo[key] = found = sorted(found)
+        if (known := self.memo.get(key)) is not None:
+            return known
+        phrase, found, lo = self.notices[k][1], [], 1
+        padded = b" %s " % window
+        at = padded.find(b" %s " % phrase) + 1
+        while at:
+            end = at + len(phrase)
+            found += self._fuzzy(k, padded, lo, at - 1)
+            found.append((at, end, 0))
+            lo = end + 1
+            at = padded.find(b" %s " % phrase, end) + 1
+        found += self._fuzzy(k, padded, lo, len(padded) - 1)
+        found = [(a - 1, b - 1, edits) for a, b, edits in found]
+        if len(window) <= _SHORT:
+            self.memo[key] = found
             if len(self.memo) > self.limit:
                 self.memo.popitem(last=False)
-        return self.memo[key]
+        return found
 
     def scan(self, text: bytes) -> list[tuple[int, int, int, int]]:
         """(notice, start, end, edits) in a text of words with single blanks around each."""
