@@ -138,7 +138,7 @@ def test_bpe_equals_the_library(reference):
     ids, counts = own.encode_batch(texts)
     at = np.concatenate([[0], np.cumsum(counts)])
     assert [ids[at[i] : at[i + 1]].tolist() for i in range(len(texts))] == [lib.encode_ordinary(t) for t in texts]
-    data, sizes = own.decode_bytes(ids, counts)
+    data, sizes = own.decode(ids, counts)
     assert data.tobytes() == "".join(texts).encode() and sizes.sum() == len(data)
 
 

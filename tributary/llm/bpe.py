@@ -7,7 +7,12 @@ the bytes read descend from it.  These places lie no further back than the longe
 begins a token: that suffix is the deterministic state of the reading side (built on first use),
 its length the lookahead, and the transducer's register holds the end tokens of the places since
 the last token emitted.  Tokens are emitted as they settle, checked once the register has grown by
-``horizon`` places, and at a piece's end.
+``horizon`` places, and at a piece's end.  The suffix is shorter than the longest token; how many
+places its ways take to meet depends on the vocabulary (the tests measure it for the one in use), and
+until they meet the register grows by a token and a place for each byte.
+
+Whether two tokens may stand side by side is read off their joins in reverse, as in published work on
+byte pair encoding as a rewriting of tokenisations (Berglund and van der Merwe, 2023).
 """
 
 from __future__ import annotations
@@ -167,8 +172,12 @@ class Utf8Machine:
     Malformed sequences give U+FFFD once for each maximal part, as the standard recommends.
     """
 
-    def __init__(self) -> None:
-        self.due, self.low, self.high, self.code = 0, 0x80, 0xBF, 0
+    def __init__(self, state: tuple[int, int, int, int] = (0, 0x80, 0xBF, 0)) -> None:
+        self.due, self.low, self.high, self.code = state
+
+    @property
+    def state(self) -> tuple[int, int, int, int]:
+        return (self.due, self.low, self.high, self.code) if self.due else (0, 0x80, 0xBF, 0)
 
     def feed(self, data: bytes) -> str:
         if not self.due and data.isascii():
@@ -221,6 +230,14 @@ class Tokenizer:
         self.starts = np.concatenate([[0], np.cumsum(self.sizes)[:-1]])
         self.bytes = np.frombuffer(b"".join(tokens), np.uint8)
         self.tokens = tokens
+        self.whole = np.array([t.isascii() or self._is_whole(t) for t in tokens])
+        self.steps: dict[tuple, tuple] = {}
+        self.most_steps = 200_000
+
+    @staticmethod
+    def _is_whole(token: bytes) -> bool:
+        machine = Utf8Machine()
+        return machine.feed(token).encode() == token and not machine.due
 
     def _encode(self, stretches: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, ids per stretch)."""
@@ -255,13 +272,45 @@ class Tokenizer:
             counts.append(len(got))
         return self.memo.gather(parts, counts)
 
-    def decode_bytes(self, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(bytes, bytes per text)."""
-        sizes = self.sizes[ids]
-        out = self.bytes[_ragged(self.starts[ids], sizes)]
+    def decode(self, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(UTF-8 of the texts, bytes per text): the ids of each text run through the UTF-8 machine.
+
+        From its first state the machine returns to it over a token of whole characters, and gives
+        that token's bytes; such runs are gathered at once.  Tokens that begin or end inside a
+        character step the machine, by transitions kept once met; what is open where a whole token
+        or the text's end comes is malformed, and gives U+FFFD.
+        """
+        starts, sizes, source = self.starts[ids], self.sizes[ids], self.bytes
+        odd = np.flatnonzero(~self.whole[ids])
+        if len(odd):
+            row = np.searchsorted(np.cumsum(counts), odd, "right").tolist()
+            extra, begin, length = bytearray(), [], []
+            state, places = Utf8Machine().state, odd.tolist()
+            for k, place in enumerate(places):
+                given, state = self._step(state, int(ids[place]))
+                begin.append(len(source) + len(extra))
+                extra += given
+                if state[0] and (k + 1 == len(places) or places[k + 1] != place + 1 or row[k + 1] != row[k]):
+                    extra += "\ufffd".encode()
+                    state = Utf8Machine().state
+                length.append(len(source) + len(extra) - begin[-1])
+            starts[odd], sizes[odd] = begin, length
+            source = np.concatenate([source, np.frombuffer(bytes(extra), np.uint8)])
         ends = np.concatenate([[0], np.cumsum(sizes)])
-        at = np.concatenate([[0], np.cumsum(counts)])
-        return out, ends[at[1:]] - ends[at[:-1]]
+        at = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
+        return source[_ragged(starts, sizes)], ends[at[1:]] - ends[at[:-1]]
+
+    def _step(self, state: tuple[int, int, int, int], token: int) -> tuple[bytes, tuple[int, int, int, int]]:
+        """(UTF-8 given, next state) of the machine over one token."""
+        key = (state, token)
+        known = self.steps.get(key)
+        if known is None:
+            machine = Utf8Machine(state)
+            known = machine.feed(self.tokens[token]).encode(), machine.state
+            if len(self.steps) >= self.most_steps:
+                self.steps.clear()
+            self.steps[key] = known
+        return known
 
     def stream(self, ids: Iterable[int]) -> Iterator[str]:
         """Text of a stream of ids, each part as soon as its characters are whole."""
@@ -344,7 +393,7 @@ def ship(df: DataFrame, path: str) -> str:
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, keep: list[str] | None = None) -> DataFrame:
-    """Adds ids (array of int) and decoded (binary: the ids' bytes) to the columns ``keep`` of ``docs``.
+    """Adds ids (array of int) and decoded (binary: UTF-8 of the ids' text) to the columns ``keep`` of ``docs``.
 
     Whole texts, no special tokens.  A null or empty text has no ids and decodes to no bytes.
     Columns of ``docs`` named like an added one are replaced.
@@ -363,7 +412,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, keep: list[str] | Non
             text = text_column(batch, "__text")
             for row, end, _, _ in blocks(text, 1 << 20):
                 ids, counts = t.encode_batch(text.slice(row, end - row).to_pylist())
-                data, sizes = t.decode_bytes(ids, counts)
+                data, sizes = t.decode(ids, counts)
                 at = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
                 decoded = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(data))])
                 part = batch.slice(row, end - row)
