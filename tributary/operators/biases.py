@@ -7,6 +7,8 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.lineage import written
+
 _TINY = math.sqrt(2.220446049250313e-16)
 
 
@@ -25,15 +27,16 @@ def one_sided(ratings: DataFrame, by: str, mean: float, lam: float = 10.0) -> Da
 def two_sided(ratings: DataFrame, mean: float, lam_user: float = 10.0, lam_item: float = 10.0, passes: int = 5) -> tuple[DataFrame, DataFrame]:
     """((user_id, user_bias), (item_id, item_bias)): alternating passes, items first.
 
-    Each pass is one shuffle join and one aggregation per side; partial sums combine before the shuffle.
+    Each pass reads the ratings twice, joined with one side's biases (a table of known size, broadcast
+    only where that is small), and sums them; partial sums combine before the shuffle.
     """
-    r = ratings.where("rating is not null").select("user_id", "item_id", (F.col("rating") - mean).alias("x")).persist()
+    r = written(ratings.where("rating is not null").select("user_id", "item_id", (F.col("rating") - mean).alias("x")))
     users: DataFrame | None = None
     items = None
     for _ in range(passes):
         left = r.withColumn("user_bias", F.lit(0.0)) if users is None else r.join(users, "user_id")
-        items = left.groupBy("item_id").agg((F.sum(F.col("x") - F.col("user_bias")) / (F.count("*") + lam_item)).alias("item_bias"))
-        users = r.join(items, "item_id").groupBy("user_id").agg((F.sum(F.col("x") - F.col("item_bias")) / (F.count("*") + lam_user)).alias("user_bias"))
+        items = written(left.groupBy("item_id").agg((F.sum(F.col("x") - F.col("user_bias")) / (F.count("*") + lam_item)).alias("item_bias")))
+        users = written(r.join(items, "item_id").groupBy("user_id").agg((F.sum(F.col("x") - F.col("item_bias")) / (F.count("*") + lam_user)).alias("user_bias")))
     return users, items
 
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.lineage import written
+
 _KEYS = ("ts", "user_id", "item_id")
 
 
@@ -27,8 +29,10 @@ def _nth(df: DataFrame, primary: Column, order: list[str], n: int, total: int):
 def temporal(ratings: DataFrame, test: float = 0.2) -> DataFrame:
     """Adds fold: ``train`` for the earliest floor(n*(1-test)) rows by (ts, user, item), ``test`` for the rest.
 
-    One global cut.  The boundary row is found by its order, then rows are compared with it.
+    One global cut.  The boundary row is found by its order, then rows are compared with it; the rows
+    are read several times, so they are written once first.
     """
+    ratings = written(ratings)
     n = ratings.count()
     cut = int(n * (1 - test))
     if cut <= 0:
@@ -44,6 +48,7 @@ def random(ratings: DataFrame, test: float = 0.2, seed: int = 42) -> DataFrame:
 
     Repeated (user, item) rows are told apart by nothing else and share a fold.
     """
+    ratings = written(ratings)
     n = ratings.count()
     cut = int(n * (1 - test))
     key = F.md5(F.concat_ws("-", F.col("user_id").cast("string"), F.col("item_id").cast("string"), F.lit(str(seed))))

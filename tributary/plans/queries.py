@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.columns import as_flag, as_number, days
@@ -32,7 +33,7 @@ _CTE = {
     "padoptions": "SELECT user_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS item_id, min(ts) AS ts FROM events WHERE event_type = 'purchase' GROUP BY ALL",
     "pcascades": "SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY ts, user_id) AS pos, user_id FROM padoptions QUALIFY count(*) OVER (PARTITION BY item_id) >= 2",
     "trust": "SELECT DISTINCT src, dst FROM (SELECT user_id AS src, lead(user_id) OVER (PARTITION BY item_id ORDER BY pos) AS dst FROM pcascades) WHERE dst IS NOT NULL AND src <> dst",
-    "membership": "SELECT DISTINCT user_id AS node, item_id % 7 AS community FROM cascades WHERE pos <= 10",
+    "membership": "SELECT node, community FROM (SELECT user_id AS node, item_id % 7 AS community, count(*) AS n FROM cascades GROUP BY ALL) QUALIFY n * count(*) OVER (PARTITION BY node) >= sum(n) OVER (PARTITION BY node)",
     "sets": "SELECT node, list_sort(coalesce(c, []::BIGINT[])) AS communities FROM nodes LEFT JOIN (SELECT node, list(community) AS c FROM membership GROUP BY node) USING (node)",
     "pairj": """SELECT n.node, n.nb, CASE WHEN len(list_distinct(list_concat(a.communities, b.communities))) = 0 THEN 0.0
         ELSE len(list_intersect(a.communities, b.communities)) / len(list_distinct(list_concat(a.communities, b.communities))) END AS j
@@ -130,7 +131,10 @@ def _trust(s: SparkSession, d: str) -> DataFrame:
 
 
 def _membership(s: SparkSession, d: str) -> DataFrame:
-    return _cascades(s, d).select(F.col("user_id").alias("node"), (F.col("item_id") % 7).alias("community")).distinct()
+    """Stand-in for detected communities: of ``item_id % 7``, those in which a node has as many adoptions as in its average one."""
+    each = _cascades(s, d).groupBy(F.col("user_id").alias("node"), (F.col("item_id") % 7).alias("community")).agg(F.count("*").alias("n"))
+    own = W.partitionBy("node")
+    return each.withColumns({"of": F.count("*").over(own), "all": F.sum("n").over(own)}).where("n * of >= all").select("node", "community")
 
 
 def _scores(s: SparkSession, d: str) -> DataFrame:
@@ -142,7 +146,7 @@ def _flags(s: SparkSession, d: str) -> DataFrame:
 
 
 def _folds(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    folds = split.temporal(tables.ratings(s, d).persist()).persist()
+    folds = split.temporal(tables.ratings(s, d))
     return folds.where("fold = 'train'"), folds.where("fold = 'test'")
 
 
@@ -464,9 +468,9 @@ def _(s, d):
     return _scored(s, d)[0].groupBy("user_id").agg(F.count("*").alias("n"))
 
 
-@_register("metric_deltas", "SELECT trial, round(mae - rmse, 6) AS rmse_delta, round((rmse - mae) / rmse * 100.0, 6) AS rmse_improvement_pct FROM trials")
+@_register("metric_deltas", "SELECT trial, mae - rmse AS rmse_delta, (rmse - mae) / rmse * 100.0 AS rmse_improvement_pct FROM trials")
 def _(s, d):
-    return evaluation.deltas(tables.trials(s, d).drop("rmse_delta"), "rmse", "mae", "rmse").select("trial", *_r("rmse_delta", "rmse_improvement_pct"))
+    return evaluation.deltas(tables.trials(s, d).drop("rmse_delta"), "rmse", "mae", "rmse").select("trial", "rmse_delta", "rmse_improvement_pct")
 
 
 @_register("sanity_predicate", "SELECT trial, rmse <= 10 AS reasonable FROM trials")
@@ -514,11 +518,10 @@ for _name, _expr in (
 
 # ---- inference -----------------------------------------------------------------------------------
 
-_PICK = {"picked": "SELECT * FROM grid WHERE net_idx = 50"}
 _LOGP = "CASE model WHEN 'exponential' THEN ln(alpha) - alpha * gap WHEN 'powerlaw' THEN CASE WHEN gap >= 1 THEN ln(alpha - 1.0) - alpha * ln(gap) END ELSE ln(alpha) + ln(gap) - alpha * gap * gap / 2.0 END - ln(1e-8)"
-_GAINS = _PICK | {
+_GAINS = {
     "pairs": "SELECT a.item_id, a.user_id AS src, b.user_id AS dst, b.t_days - a.t_days AS gap FROM cascades a JOIN cascades b ON a.item_id = b.item_id AND a.t_days < b.t_days",
-    "gains": f"SELECT model, net_idx, src, dst, sum(w) AS gain FROM (SELECT model, net_idx, src, dst, {_LOGP} AS w FROM pairs, picked) WHERE w > 0 GROUP BY ALL",
+    "gains": f"SELECT model, net_idx, src, dst, sum(w) AS gain FROM (SELECT model, net_idx, src, dst, {_LOGP} AS w FROM pairs, grid) WHERE w > 0 GROUP BY ALL",
 }
 
 
@@ -526,9 +529,10 @@ def _grid(s: SparkSession, d: str) -> DataFrame:
     return alpha.grid(alpha.centers(_median(s, d)))
 
 
-@_register("first_round_influence_gain", "SELECT model, net_idx::INT AS net_idx, src, dst, round(gain, 6) AS gain FROM gains", extra=_GAINS)
+@_register("first_round_influence_gain", "SELECT model, net_idx::INT AS net_idx, dst, count(*) AS n_sources, round(sum(gain), 4) AS total_gain, round(max(gain), 4) AS best_gain FROM gains GROUP BY ALL", extra=_GAINS)
 def _(s, d):
-    return inference.first_gains(cascades.influence_pairs(_cascades(s, d)), _grid(s, d)).select("model", "net_idx", "src", "dst", *_r("gain"))
+    gains = inference.first_gains(cascades.influence_pairs(_cascades(s, d)), _grid(s, d))
+    return gains.groupBy("model", "net_idx", "dst").agg(F.count("*").alias("n_sources"), F.round(F.sum("gain"), 4).alias("total_gain"), F.round(F.max("gain"), 4).alias("best_gain"))
 
 
 @_register("inferred_edges")
@@ -562,7 +566,7 @@ def _(s, d):
     return centrality.pagerank(_keyed(_nodes(s, d)), _keyed(_edges(s, d)), steps=3).select("node", *_r("pagerank"))
 
 
-_BFS = {"seen": """SELECT 0 AS dist, node FROM (SELECT min(node) AS node FROM nodes) UNION SELECT s.dist + 1, n.nb FROM seen s JOIN nbs n ON n.node = s.node WHERE s.dist < 6"""}
+_BFS = {"seen": """SELECT 0 AS dist, node FROM (SELECT min(node) AS node FROM nodes) UNION SELECT s.dist + 1, n.nb FROM seen s JOIN nbs n ON n.node = s.node WHERE s.dist < (SELECT count(*) FROM nodes)"""}
 
 
 @_register("bfs_distances", "SELECT node, min(dist)::INT AS dist FROM seen GROUP BY node", recursive=True, extra=_BFS)
@@ -738,8 +742,7 @@ def _(s, d):
 
 @_register("cmf_social_metrics")
 def _(s, d):
-    a = tables.adoptions(s, d).persist()
-    folds = split.temporal(a).persist()
+    folds = split.temporal(tables.adoptions(s, d))
     train, test = folds.where("fold = 'train'"), folds.where("fold = 'test'")
     ties = _social("uniform")(s, d)
     model = factorization.fit(train, factorization.Options(k=4, lam=10.0, iterations=3, lam_social=0.1), social=ties)
