@@ -87,7 +87,7 @@ def _sql(body: str, recursive: bool = False, extra: dict[str, str] | None = None
             if n not in need and re.search(rf"\b(?:FROM|JOIN|,)\s+{n}\b", text):
                 need.add(n)
                 todo.append(known[n])
-    parts = [f"{n} AS MATERIALIZED ({known[n]})" if n not in (extra or {}) else f"{n} AS ({known[n]})" for n in names if n in need]
+    parts = [f"{n} AS {'' if recursive and n in (extra or {}) else 'MATERIALIZED '}({known[n]})" for n in names if n in need]
     return (f"WITH {'RECURSIVE ' if recursive else ''}" + ",\n".join(parts) + "\n" if parts else "") + body
 
 
@@ -555,7 +555,7 @@ def _keyed(t: DataFrame) -> DataFrame:
 
 
 _PR = {"size": "SELECT count(*) AS n FROM nodes", "outd": "SELECT src AS node, count(*) AS k FROM edges GROUP BY src", "r0": "SELECT node, 1.0 / n AS x FROM nodes, size"}
-for _k in range(1, 4):
+for _k in range(1, 21):
     _PR[f"l{_k}"] = f"SELECT coalesce(sum(x) FILTER (k IS NULL), 0.0) AS lost FROM r{_k - 1} LEFT JOIN outd USING (node)"
     _PR[f"g{_k}"] = f"SELECT e.dst AS node, sum(r.x / o.k) AS p FROM edges e JOIN r{_k - 1} r ON r.node = e.src JOIN outd o ON o.node = e.src GROUP BY e.dst"
     _PR[f"r{_k}"] = f"SELECT q.node, 0.15 / n + 0.85 * (coalesce(p, 0.0) + lost / n) AS x FROM nodes q LEFT JOIN g{_k} USING (node), size, l{_k}"
@@ -574,30 +574,68 @@ def _(s, d):
     return centrality.bfs(_und(s, d), _nodes(s, d).agg(F.min("node").alias("node"))).select("node", "dist")
 
 
-@_register("hits")
+_SCALED = "SELECT node, CASE WHEN t > 0 THEN x / sqrt(t) ELSE x END AS x FROM {0}, (SELECT sum(x * x) AS t FROM {0})"
+_HITS = {"size": _PR["size"], "hub0": "SELECT node, 1.0 / sqrt(n) AS x FROM nodes, size"}
+for _k in range(1, 21):
+    for _name, _from, _to, _last in (("auth", "src", "dst", f"hub{_k - 1}"), ("hub", "dst", "src", f"auth{_k}")):
+        _HITS[f"{_name}raw{_k}"] = f"SELECT q.node, coalesce(sum(h.x), 0.0) AS x FROM nodes q LEFT JOIN edges e ON e.{_to} = q.node LEFT JOIN {_last} h ON h.node = e.{_from} GROUP BY q.node"
+        _HITS[f"{_name}{_k}"] = _SCALED.format(f"{_name}raw{_k}")
+
+
+@_register("hits", "SELECT 'bound' AS model, 0::INT AS net_idx, node, round(h.x, 6) AS hub_score, round(a.x, 6) AS auth_score FROM hub20 h JOIN auth20 a USING (node)", extra=_HITS)
 def _(s, d):
-    return centrality.hits(_keyed(_nodes(s, d)), _keyed(_edges(s, d)))
+    return centrality.hits(_keyed(_nodes(s, d)), _keyed(_edges(s, d))).select("model", "net_idx", "node", *_r("hub_score", "auth_score"))
+
 
+_EIGEN = {"size": _PR["size"], "v0": "SELECT node, 1.0 / sqrt(n) AS x FROM nodes, size"}
+for _k in range(1, 101):
+    _EIGEN[f"vraw{_k}"] = f"SELECT q.node, q.x + coalesce(sum(p.x), 0.0) AS x FROM v{_k - 1} q LEFT JOIN nbs e ON e.node = q.node LEFT JOIN v{_k - 1} p ON p.node = e.nb GROUP BY q.node, q.x"
+    _EIGEN[f"v{_k}"] = _SCALED.format(f"vraw{_k}")
 
-@_register("eigenvector")
+
+@_register("eigenvector", "SELECT 'bound' AS model, 0::INT AS net_idx, node, round(x, 6) AS eigenvector FROM v100", extra=_EIGEN)
 def _(s, d):
-    return centrality.eigenvector(_keyed(_nodes(s, d)), _keyed(_edges(s, d)))
+    return centrality.eigenvector(_keyed(_nodes(s, d)), _keyed(_edges(s, d))).select("model", "net_idx", "node", *_r("eigenvector"))
 
 
-@_register("pagerank")
+@_register("pagerank", "SELECT 'bound' AS model, 0::INT AS net_idx, node, round(x, 6) AS pagerank FROM r20", extra=_PR)
 def _(s, d):
-    return centrality.pagerank(_keyed(_nodes(s, d)), _keyed(_edges(s, d)))
+    return centrality.pagerank(_keyed(_nodes(s, d)), _keyed(_edges(s, d))).select("model", "net_idx", "node", *_r("pagerank"))
 
 
-@_register("path_metrics")
+#: Shortest paths between all nodes: a node lies on a share of s's paths to t where its distances add up.
+_PATHS = {
+    "walk": "SELECT node AS s, node AS v, 0 AS d FROM nodes UNION SELECT w.s, n.nb, w.d + 1 FROM walk w JOIN nbs n ON n.node = w.v WHERE w.d < (SELECT count(*) FROM nodes)",
+    "far": "SELECT s, v, min(d) AS d FROM walk GROUP BY s, v",
+}
+_PATHS |= {
+    "ways": "SELECT node AS s, node AS v, 0 AS d, 1.0::DOUBLE AS x FROM nodes UNION ALL SELECT w.s, n.nb, w.d + 1, sum(w.x) FROM ways w JOIN nbs n ON n.node = w.v JOIN far f ON f.s = w.s AND f.v = n.nb AND f.d = w.d + 1 GROUP BY w.s, n.nb, w.d",
+    "share": "SELECT a.v AS node, sum(a.x * b.x / c.x) / 2.0 AS b FROM ways a JOIN ways b ON b.s = a.v JOIN ways c ON c.s = a.s AND c.v = b.v AND c.d = a.d + b.d WHERE a.v <> a.s AND a.v <> b.v GROUP BY a.v",
+    "reach": "SELECT s AS node, max(d) AS ecc, sum(d) AS total, count(*) - 1 AS k FROM far GROUP BY s",
+}
+
+
+@_register("path_metrics", """SELECT 'bound' AS model, 0::INT AS net_idx, node, round(coalesce(b, 0.0), 6) AS betweenness, round(CASE WHEN total > 0 THEN (k / total) * (k / (SELECT count(*) - 1 FROM nodes)) ELSE 0.0 END, 6) AS closeness, ecc::BIGINT AS eccentricity
+    FROM reach LEFT JOIN share USING (node)""", recursive=True, extra=_PATHS)
 def _(s, d):
-    return centrality.path_metrics(_keyed(_nodes(s, d)), _keyed(_edges(s, d)))
+    return centrality.path_metrics(_keyed(_nodes(s, d)), _keyed(_edges(s, d))).select("model", "net_idx", "node", *_r("betweenness", "closeness"), "eccentricity")
+
+
+#: The map contracts by 0.85 a step: 140 steps leave less than 1e-9 of the first distance.
+_LPH = {
+    "size": _PR["size"],
+    "outs": "SELECT node, greatest(coalesce(k, 0), 1) AS k FROM nodes LEFT JOIN (SELECT src AS node, count(*) AS k FROM edges GROUP BY src) USING (node)",
+    "soft": "SELECT node, 0.15 * exp(lph_score - top) / sum(exp(lph_score - top)) OVER () AS beta FROM scores, (SELECT max(lph_score) AS top FROM scores)",
+    "y0": "SELECT node, beta / k AS x FROM soft JOIN outs USING (node)",
+}
+for _k in range(1, 141):
+    _LPH[f"y{_k}"] = f"SELECT b.node, (any_value(b.beta) + 0.85 * coalesce(sum(y.x), 0.0)) / any_value(o.k) AS x FROM soft b JOIN outs o USING (node) LEFT JOIN edges e ON e.src = b.node LEFT JOIN y{_k - 1} y ON y.node = e.dst GROUP BY b.node"
 
 
-@_register("pagerank_lph")
+@_register("pagerank_lph", "SELECT 'bound' AS model, 0::INT AS net_idx, node, round(x / sum(x) OVER (), 6) AS pagerank_lph FROM y140", extra=_LPH)
 def _(s, d):
     beta = centrality.softmax_beta(_keyed(_scores(s, d)))
-    return centrality.pagerank_beta(_keyed(_nodes(s, d)), _keyed(_edges(s, d)), beta)
+    return centrality.pagerank_beta(_keyed(_nodes(s, d)), _keyed(_edges(s, d)), beta).select("model", "net_idx", "node", *_r("pagerank_lph"))
 
 
 @_register("communities_demon")
