@@ -4,7 +4,8 @@ A code is cut into segments of 16 bits, each with an index from its values to co
 in every one of m segments, all codes within m*(r+1)-1 bits have been met (pigeonhole); the radius
 grows until each query's k-th verified distance lies within this bound.  Codes are dealt to shards
 and the query set to blocks, both of bounded size; a task searches one block in one shard's index,
-and the shards' best are merged.
+and the shards' best are merged.  The first shard is searched before the others, whose radii then
+need not grow beyond its k-th distance.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from ._shared import Scratch
 
 SEGMENT = 16
 SHARD, BLOCK = 1 << 14, 1 << 12
+#: Partitions of a search at most; a partition may hold several pairs of a shard and a block, one after the other.
+_PARTS = 1 << 14
 
 
 @cache
@@ -38,8 +41,8 @@ class Index:
         self.order = [np.argsort(codes[:, s], kind="stable") for s in range(codes.shape[1])]
         self.starts = [np.searchsorted(codes[o, s], np.arange((1 << SEGMENT) + 1)) for s, o in enumerate(self.order)]
 
-    def search(self, queries: np.ndarray, ids: list[np.ndarray], k: int) -> list[list[tuple[int, int]]]:
-        """For each query the k best (distance, id)."""
+    def search(self, queries: np.ndarray, ids: list[np.ndarray], k: int, most: np.ndarray) -> list[list[tuple[int, int]]]:
+        """For each query the k best (distance, id) of those at most ``most`` away."""
         m = self.codes.shape[1]
         best: list[list[tuple[int, int]]] = [[] for _ in queries]
         seen = [np.zeros(len(self.codes), bool) for _ in queries]
@@ -67,10 +70,10 @@ class Index:
                 found = [(int(d), int(i)) for c, d in zip(met.tolist(), far.tolist(), strict=True) for i in ids[c]]
                 best[q] = sorted(best[q] + found)[:k]
             covered = m * (radius + 1) - 1
-            active = [q for q in active if len(best[q]) < k or best[q][-1][0] > covered]
+            active = [q for q in active if covered < most[q] and (len(best[q]) < k or best[q][-1][0] > covered)]
             if not active:
                 break
-        return best
+        return [[x for x in found if x[0] <= most[q]] for q, found in enumerate(best)]
 
 
 def sign_codes(vectors: DataFrame, id_col: str = "vec_id", col: str = "embedding", dims: int | None = None) -> DataFrame:
@@ -93,7 +96,7 @@ def _search(codes: pa.Table, queries: pa.Table, k: int) -> pa.Table:
     rows: list[tuple[list[int], int, int]] = []
     if len(codes) and len(queries):
         asked = unpack(queries)
-        found = Index(unpack(codes)).search(asked, [np.array(x) for x in codes.column("ids").to_pylist()], k)
+        found = Index(unpack(codes)).search(asked, [np.array(x) for x in codes.column("ids").to_pylist()], k, queries.column("most").to_numpy())
         rows = [(q, i, d) for q, best in zip(asked.tolist(), found, strict=True) for d, i in best]
     return pa.table({"query": pa.array([r[0] for r in rows], pa.list_(pa.int32())), "id": pa.array([r[1] for r in rows], pa.int64()), "distance": pa.array([r[2] for r in rows], pa.int32())})
 
@@ -114,9 +117,21 @@ def topk(codes: DataFrame, queries: DataFrame, k: int = 10, shard: int = SHARD,
     kept = scratch.write(kept, "codes")
     asked = scratch.write(queries.select("code").distinct(), "asked")
     shards, blocks = max(1, -(-kept.count() // shard)), max(1, -(-asked.count() // block))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = kept.select("code", "ids", F.pmod(F.xxhash64("code"), F.lit(shards)).cast("int").alias("shard"), every(blocks).alias("block"))
-    right = asked.select("code", every(shards).alias("shard"), F.pmod(F.xxhash64("code"), F.lit(blocks)).cast("int").alias("block"))
-    found = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInArrow(lambda a, b: _search(a, b, k), "query array<int>, id long, distance int")
+    kept = kept.select("code", "ids", F.pmod(F.xxhash64("code"), F.lit(shards)).cast("int").alias("shard"))
+    asked = asked.select("code", F.pmod(F.xxhash64("code"), F.lit(blocks)).cast("int").alias("block"))
+    parts = min(shards * blocks, _PARTS)
+
+    def among(low: int, high: int, asked: DataFrame) -> DataFrame:
+        """What shards low to high (exclusive) have for ``asked(code, block, most)``."""
+        left = kept.where(F.col("shard").between(low, high - 1)).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).repartition(parts, "shard", "block")
+        right = asked.withColumn("shard", F.explode(F.sequence(F.lit(low), F.lit(high - 1)))).repartition(parts, "shard", "block")
+        return left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInArrow(lambda a, b: _search(a, b, k), "query array<int>, id long, distance int")
+
+    far = F.lit(1 << 30)
+    found = scratch.write(among(0, 1, asked.withColumn("most", far)), "first")
+    if shards > 1:
+        edge = found.groupBy(F.col("query").alias("code")).agg(F.when(F.count("*") >= k, F.max("distance")).otherwise(far).alias("edge"))
+        bounded = asked.join(edge, "code", "left").select("code", "block", F.coalesce("edge", far).alias("most"))
+        found = found.unionByName(among(1, shards, bounded))
     found = found.withColumn("rank", F.row_number().over(W.partitionBy("query").orderBy("distance", "id"))).where(F.col("rank") <= k)
     return queries.select(F.col("id").alias("query_id"), F.col("code").alias("query")).distinct().join(found, "query").select("query_id", "rank", "id", "distance")
