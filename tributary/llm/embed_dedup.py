@@ -47,13 +47,9 @@ def tile_links(a: np.ndarray, b: np.ndarray, threshold: float, same: bool, step:
         if same:
             maybe[np.arange(hi - lo), np.arange(lo, hi)] = False
         r, c = np.nonzero(maybe)
-        if len(r) * 8 > maybe.size:
-            cos = xa[lo:hi] @ xb.T
-            r, c = np.nonzero(maybe & (cos >= threshold))
-        else:
-            hit = np.concatenate([np.zeros(0, bool), *((xa[lo + r[k : k + 65536]] * xb[c[k : k + 65536]]).sum(1) >= threshold for k in range(0, len(r), 65536))])
-            r, c = r[hit], c[hit]
-        yield lo, r, c
+        # one formula for every pair, the same for (a, b) and (b, a), so that links are symmetric at the threshold
+        hit = np.concatenate([np.zeros(0, bool), *((xa[lo + r[k : k + 65536]] * xb[c[k : k + 65536]]).sum(1) >= threshold for k in range(0, len(r), 65536))])
+        yield lo, r[hit], c[hit]
 
 
 def _tile_pair(table: pa.Table, threshold: float) -> pa.Table:
