@@ -207,7 +207,7 @@ def test_cuts_are_optimal():
             for i in range(j):
                 n = int(cuts[j] - cuts[i])
                 if n <= 128:
-                    best[j] = min(best[j], best[i] + (0 if n >= 64 and n & (n - 1) == 0 else 128 - n) + pen[j] + 1.0)
+                    best[j] = min(best[j], best[i] + (0 if n & (n - 1) == 0 else 128 - n) + pen[j] + 1.0)
         chosen, cost = packing.best_cuts(cuts, pen, plan)
         assert cost == pytest.approx(best[-1]) and chosen[0] == 0 and chosen[-1] == m
 

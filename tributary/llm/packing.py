@@ -58,7 +58,7 @@ def best_cuts(cuts: np.ndarray, penalty: np.ndarray, plan: Plan = Plan()) -> tup
     size, n = plan.size, len(cuts)
     exact: dict[int, list[int]] = {}  # candidates at a power of two before a cut
     power = 1 << (size.bit_length() - 1)
-    while power >= 64:
+    while power:
         at = np.searchsorted(cuts, cuts - power)
         for j in np.flatnonzero(cuts[at] == cuts - power).tolist():
             exact.setdefault(j, []).append(int(at[j]))
