@@ -82,16 +82,17 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(gram[part])), pa.array(gram[part].astype(np.int64)), pa.array(n[part].astype(np.int64))], ["lang", "gram", "n"])
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", max_docs: int = 2000, max_langs: int = 64, max_cells: int = 3_000_000) -> PpmModel:
+def train(docs: DataFrame, id_col: str = "doc_id", max_docs: int = 2000, max_cells: int = 3_000_000) -> PpmModel:
     """Fit on ``docs(id_col, text, lang)``.
 
     The fit reads at most about ``max_docs`` documents of each language (whole texts, chosen by a
-    hash of the id) and the ``max_langs`` most frequent languages.  ``max_cells`` bounds the
-    table of code lengths: contexts seen less often go first.  Rows without lang or text are left
-    out; without any row the model has no language.
+    hash of the id); every language that occurs is learned.  ``max_cells`` bounds the table of code
+    lengths: contexts seen less often go first, by their share of their language, so that a rare
+    language keeps as much as a frequent one.  Rows without lang or text are left out; without any
+    row the model has no language.
     """
     rows = docs.select(id_col, "text", "lang").where("lang is not null and text is not null and length(text) > 0")
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()
+    sizes = rows.groupBy("lang").count().orderBy("lang").collect()
     if not sizes:
         return PpmModel([], np.zeros(256, np.int64), np.zeros(1, np.int32), np.zeros((1, 0), np.float32))
     share = F.pmod(F.xxhash64(F.col(id_col), F.lit("langid")), F.lit(1_000_003)) / 1_000_003
@@ -111,19 +112,20 @@ def compile_model(counts: pa.Table, max_cells: int = 3_000_000) -> PpmModel:
     langs = sorted(names)
     per_byte = np.bincount(gram & 255, weights=n, minlength=256)
     seen = np.flatnonzero(per_byte)
-    seen = np.sort(seen[np.argsort(-per_byte[seen], kind="stable")][:160])
     size = len(seen) + 1
     codes = np.full(256, size - 1, np.int64)
     codes[seen] = np.arange(len(seen))
     part = [codes[(gram >> (8 * k)) & 255] for k in range(ORDER + 1)]  # the byte itself, then those before it
     keys = [np.zeros_like(gram), part[1], part[2] * size + part[1], (part[3] * size + part[2]) * size + part[1]]
+    total = np.bincount(of, weights=n)
+    fair = n * (total.max(initial=1.0) / np.maximum(total, 1.0))[of]
     # contexts held, by order; all of orders 0 and 1
     least = 2
     while True:
         held = [np.zeros(1, np.int64), np.arange(size)]
         for k in (2, 3):
             key, inverse = np.unique(keys[k], return_inverse=True)
-            held.append(key[np.bincount(inverse, weights=n) >= least])
+            held.append(key[np.bincount(inverse, weights=fair) >= least])
         if sum(map(len, held)) * size * len(langs) <= max_cells:
             break
         least *= 2
