@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from . import bpe, embed_dedup, hamming_topk, langid, license_scan, ngram_join, packing, quality, secrets, sharding
 
-SHARD_LIMIT = 64 << 20
+#: Bytes a shard may hold, and the share of all bytes that is enough where the table is small.
+SHARD_LIMIT, SHARDS = 64 << 20, 40
 
 
 def vocabulary(name: str) -> str:
@@ -80,7 +81,8 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _documents(spark, sf_dir).select("doc_id", "text")
-    return sharding.shard(rows, limit=SHARD_LIMIT).select("doc_id", "shard", "depth", "shard_bytes")
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return sharding.shard(rows, limit=max(1, min(SHARD_LIMIT, total // SHARDS))).select("doc_id", "shard", "depth", "shard_bytes")
 
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,11 +100,12 @@ ORACLES = {
     "op9_sharding": f"""
 WITH rows AS (SELECT doc_id, coalesce(octet_length(encode(text)), 0) AS n,
                      ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS h FROM documents),
-     sums AS (SELECT d, h >> (60 - d)::INT AS prefix, sum(n)::BIGINT AS bytes FROM rows, range(0, 25) t(d) GROUP BY ALL),
-     fit AS (SELECT doc_id, min(d) AS depth FROM rows, range(0, 25) t(d)
-             JOIN sums USING (d) WHERE sums.prefix = rows.h >> (60 - d)::INT AND sums.bytes <= {SHARD_LIMIT} GROUP BY doc_id, h)
-SELECT f.doc_id, CASE WHEN depth = 0 THEN '' ELSE right(lpad(bin(r.h >> (60 - depth)::INT), 60, '0'), depth::INT) END AS shard,
+     most AS (SELECT greatest(1, least({SHARD_LIMIT}, sum(n) // {SHARDS})) AS bytes FROM rows),
+     sums AS (SELECT d, h >> (60 - d)::INT AS prefix, sum(n)::BIGINT AS bytes FROM rows, range(0, 61) t(d) GROUP BY ALL),
+     fit AS (SELECT doc_id, h, coalesce(min(d) FILTER (sums.bytes <= most.bytes), 60) AS depth FROM rows, most, range(0, 61) t(d)
+             JOIN sums USING (d) WHERE sums.prefix = rows.h >> (60 - d)::INT GROUP BY doc_id, h)
+SELECT f.doc_id, CASE WHEN depth = 0 THEN '' ELSE right(lpad(bin(f.h >> (60 - depth)::INT), 60, '0'), depth::INT) END AS shard,
        depth::INT AS depth, s.bytes AS shard_bytes
-FROM fit f JOIN rows r USING (doc_id) JOIN sums s ON s.d = f.depth AND s.prefix = r.h >> (60 - f.depth)::INT
+FROM fit f JOIN sums s ON s.d = f.depth AND s.prefix = f.h >> (60 - f.depth)::INT
 """,
 }

@@ -62,19 +62,21 @@ def shard(rows: DataFrame, key: str = "doc_id", text: str = "text", limit: int =
     scratch = Scratch(rows.sparkSession)
     keep = [c for c in rows.columns if c not in ("shard", "depth", "shard_bytes")]
     hashed = rows.select(*keep, key_hash(key).alias("__h"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("__n"))
-    sizes = scratch.write(hashed.groupBy(F.col("__h").alias("h")).agg(F.sum("__n").alias("bytes")), "sizes")
+    sizes = scratch.write(hashed.groupBy(F.col("__h").alias("h")).agg(F.sum("__n").alias("bytes"), F.count("*").alias("rows")), "sizes")
     leaves = directory(scratch, sizes, limit)
     depths = [r["depth"] for r in leaves.select("depth").distinct().collect()]  # at most 61
     tagged = None
     at = F.explode(F.array([F.struct(F.lit(d).alias("depth"), (F.shiftright("h", BITS - d) if d else F.lit(0).cast("long")).alias("prefix")) for d in sorted(depths)] or [F.struct(F.lit(0).alias("depth"), F.lit(0).cast("long").alias("prefix"))]))
-    tagged = sizes.select("h", at.alias("at")).select("h", "at.*").join(leaves, ["depth", "prefix"]).select(F.col("h").alias("__h"), "depth", "prefix", F.col("bytes").alias("__whole"))
+    tagged = sizes.select("h", "rows", at.alias("at")).select("h", "rows", "at.*").join(leaves, ["depth", "prefix"])
+    whole = (F.col("bytes") <= limit) | ((F.col("depth") == BITS) & (F.col("rows") == 1))
+    tagged = tagged.select(F.col("h").alias("__h"), "depth", "prefix", F.col("bytes").alias("__whole"), whole.alias("__fits"))
     tagged = scratch.write(tagged, "tagged")
     out = hashed.join(tagged, "__h")
     name = F.when(F.col("depth") == 0, F.lit("")).otherwise(F.substring(F.lpad(F.bin("prefix"), BITS, "0"), BITS + 1 - F.col("depth"), F.col("depth")))
-    fits = out.where(F.col("__whole") <= limit).select(*keep, name.alias("shard"), "depth", F.col("__whole").alias("shard_bytes"))
+    fits = out.where("__fits").select(*keep, name.alias("shard"), "depth", F.col("__whole").alias("shard_bytes"))
     # one key above the limit: greedy cuts would need all its rows in one task, so first they are dealt
     # by chance into strips of half a limit, and a strip is cut where a running sum crosses the limit
-    over = out.where(F.col("__whole") > limit).withColumn("__strip", F.floor(F.rand(7) * F.ceil(F.col("__whole") * 2 / limit)).cast("long"))
+    over = out.where("not __fits").withColumn("__strip", F.floor(F.rand(7) * F.ceil(F.col("__whole") * 2 / limit)).cast("long"))
     over = scratch.write(over, "over")
     running = F.sum("__n").over(W.partitionBy("__h", "__strip").orderBy(F.col("__n"), *[F.col(c) for c in keep if c == text]).rowsBetween(W.unboundedPreceding, -1))
     cut = over.withColumn("__part", F.when(F.col("__n") > limit // 2, -1 - F.monotonically_increasing_id()).otherwise(F.floor(F.coalesce(running, F.lit(0)) * 2 / limit)))
