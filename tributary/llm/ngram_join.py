@@ -39,6 +39,8 @@ _S = [f"s{k}" for k in range(_SHORT // 64)]
 #: So many of a node's first shared prefix shingles tell whether a pair has met before.
 _FIRST = 8
 _TURNS = 6
+#: Meetings of components for each row that the last step takes on rather than have another turn.
+_MEET = 32
 #: A shingle that the sketch counts this often above its noise is dealt to several tasks.
 _HOT = 50_000
 _LEVELS = np.array([1, 2, 3, 4, 6, 8, 12])
@@ -237,28 +239,29 @@ def _among(docs: DataFrame, ids: DataFrame, repeats: bool) -> DataFrame:
     return found.groupBy("id", F.xxhash64("text").alias("h")).agg(F.first("text").alias("text")).drop("h") if repeats else found
 
 
+_PAIR = ["a", "b", "ida", "idb"]
+
+
 def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         a, b = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("na", "nb"))
         x, y = batch.column("siga"), batch.column("sigb")
         keep = pa.array([could_link(int(a[k]), int(b[k]), np.frombuffer(x[k].as_py(), np.int64), np.frombuffer(y[k].as_py(), np.int64)) for k in range(batch.num_rows)], pa.bool_())
-        yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], ["a", "b"])
+        yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in _PAIR], _PAIR)
 
 
 def near(forms: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose whole signatures allow a link."""
-    side = lambda c: forms.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("sig").alias(f"sig{c}"))
-    both = pairs.hint("merge").join(side("a"), "a").hint("merge").join(side("b"), "b")
-    return both.select("a", "b", "na", "nb", "siga", "sigb").mapInArrow(_near, "a long, b long")
+    """The pairs (a, b) whose whole signatures allow a link, with the ids of a document of each."""
+    side = lambda c: forms.select(F.col("node").alias(c), *[F.col(x).alias(f"{x}{c}") for x in ("id", "n", "sig")])
+    both = pairs.select("a", "b").hint("merge").join(side("a"), "a").hint("merge").join(side("b"), "b")
+    return both.select(*_PAIR, "na", "nb", "siga", "sigb").mapInArrow(_near, "a long, b long, ida long, idb long")
 
 
-def verified(docs: DataFrame, forms: DataFrame, pairs: DataFrame, repeats: bool) -> DataFrame:
+def verified(docs: DataFrame, pairs: DataFrame, repeats: bool) -> DataFrame:
     """The pairs (a, b) of nodes whose whole texts link.
 
     Sort-merge joins at every size: what small inputs broadcast would not be small on large ones.
     """
-    named = lambda c: forms.select(F.col("node").alias(c), F.col("id").alias(f"id{c}"))
-    pairs = pairs.hint("merge").join(named("a"), "a").hint("merge").join(named("b"), "b")
     texts = _among(docs, pairs.select(F.explode(F.array("ida", "idb")).alias("id")).distinct(), repeats)
     left = pairs.hint("merge").join(texts.select(F.col("id").alias("ida"), F.col("text").alias("left")), "ida")
     both = left.hint("merge").join(texts.select(F.col("id").alias("idb"), F.col("text").alias("right")), "idb")
@@ -417,14 +420,14 @@ def join(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     pairs = scratch.write(near(forms, star_pairs(entries)), "tried0")
     before = None
     for turn in range(1, _TURNS + 1):
-        links.append(scratch.write(verified(docs, forms, pairs, repeats), f"links{turn}"))
+        links.append(scratch.write(verified(docs, pairs, repeats), f"links{turn}"))
         scratch.drop(f"tried{turn - 1}")
         scratch.release()
         labels = components(scratch, joined(), f"labels{turn}-")
         mine = scratch.write(labelled(entries, labels), f"mine{turn}")
         left = crossings(mine)
         # a further turn pays where many components still meet and the last one joined many
-        if turn == _TURNS or left <= most or (before is not None and left > 0.7 * before):
+        if turn == _TURNS or left <= _MEET * most or (before is not None and left > 0.7 * before):
             break
         before = left
         pairs = scratch.write(near(forms, star_pairs(next_stars(mine, turn))), f"tried{turn}")
@@ -437,7 +440,7 @@ def join(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     pairs = scratch.write(near(forms, matched(mine, pairs)), "close")
     scratch.drop(f"mine{turn}", "cross")
     scratch.release()
-    links.append(scratch.write(verified(docs, forms, pairs, repeats), "rest"))
+    links.append(scratch.write(verified(docs, pairs, repeats), "rest"))
     scratch.drop("close")
     scratch.release()
     labels = scratch.write(components(scratch, joined(), "last"), "components")
