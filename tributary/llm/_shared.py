@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
 from itertools import count
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,18 +56,29 @@ class Scratch:
         self.spark._jvm.System.gc()
 
 
+def give_back() -> None:
+    """Returns freed memory of this process to the system, after large tables came to the driver."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # a C library without it
+        pass
+
+
 def components(scratch: Scratch, edges: DataFrame, name: str = "cc") -> DataFrame:
     """(node, component) for all nodes of ``edges(a, b)``: the smallest node reachable.
 
     Alternating large-star and small-star rounds (Kiveris et al., 2014); each is two shuffles whose
     aggregations combine before they shuffle, so a hub's rows do not meet in one task.  Rounds stop
-    when the edge set no longer changes; a round's result is a written table.  An input without
-    edges gives an empty table.
+    once every node has one edge to a smaller node that has none itself; a round's result is a
+    written table.  An input without edges gives an empty table.
     """
     both = lambda e: e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
     cur = scratch.write(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{name}0")
-    before = None
     for k in count(1):
+        ends = F.explode(F.array(F.struct(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("top")), F.struct(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("top"))))
+        if cur.select(ends.alias("e")).select("e.*").groupBy("node").agg(F.sum("up").alias("up"), F.max("top").alias("top")).where("up > 1 or up = 1 and top = 1").isEmpty():
+            break
         # large star: every larger neighbour of u is tied to the smallest of u and its neighbours
         every = both(cur)
         low = every.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -74,12 +87,5 @@ def components(scratch: Scratch, edges: DataFrame, name: str = "cc") -> DataFram
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
         cur = scratch.write(small, f"{name}{k}")
-        if k > 1:
-            scratch.drop(f"{name}{k - 1}")
-        else:
-            scratch.drop(f"{name}0")
-        state = cur.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("a", "b")), F.lit(0))).first()
-        if tuple(state) == before:
-            break
-        before = tuple(state)
+        scratch.drop(f"{name}{k - 1}")
     return cur.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(cur.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

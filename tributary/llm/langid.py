@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._shared import give_back
 from ._text import blocks, raw, table, text_column
 
 ORDER = 3
@@ -100,7 +101,10 @@ def train(docs: DataFrame, id_col: str = "doc_id", max_docs: int = 2000, max_cel
     for r in sizes:
         keep = keep | ((F.col("lang") == r["lang"]) & (share < float(max_docs) / r["count"]))
     counts = rows.where(keep).select("lang", "text").mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
-    return compile_model(counts, max_cells)
+    model = compile_model(counts, max_cells)
+    del counts
+    give_back()
+    return model
 
 
 def compile_model(counts: pa.Table, max_cells: int = 3_000_000) -> PpmModel:

@@ -415,7 +415,7 @@ def join(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     tied = some.groupBy("id").agg(F.min("node").alias("b"), F.count("*").alias("k")).where("k > 1").select("id", "b")
     links = [scratch.write(some.join(tied, "id").select(F.col("node").alias("a"), "b").where("a <> b").distinct(), "tied")]
     repeats = not tied.isEmpty()
-    joined = lambda: reduce(DataFrame.unionByName, links)
+    joined = lambda: reduce(DataFrame.unionByName, links)  # noqa: E731  the components so far, and what is new
     most = rows.count()
     pairs = scratch.write(near(forms, star_pairs(entries)), "tried0")
     before = None
@@ -424,6 +424,7 @@ def join(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
         scratch.drop(f"tried{turn - 1}")
         scratch.release()
         labels = components(scratch, joined(), f"labels{turn}-")
+        links = [labels.select(F.col("node").alias("a"), F.col("component").alias("b"))]
         mine = scratch.write(labelled(entries, labels), f"mine{turn}")
         left = crossings(mine)
         # a further turn pays where many components still meet and the last one joined many

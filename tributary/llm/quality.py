@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._shared import give_back
 from ._text import blocks, lists, mix, row_of, span_hashes, table, text_column, word_spans
 
 BITS = 18
@@ -141,7 +142,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col:
     y = got.column("label").to_numpy().astype(np.int64) if len(got) else np.zeros(0, np.int64)
     found = [x.values.to_numpy() for x in got.column("features").combine_chunks()] if len(got) else []
     order = np.argsort([zlib.crc32(x.tobytes()) for x in found], kind="stable").astype(int)  # whatever order rows arrive in
-    return fit([found[i] for i in order], y[order], **options)
+    model = fit([found[i] for i in order], y[order], **options)
+    del got, found
+    give_back()
+    return model
 
 
 def score(docs: DataFrame, trained: NbSvm, keep: list[str] | None = None) -> DataFrame:
