@@ -56,13 +56,21 @@ def best_cuts(cuts: np.ndarray, penalty: np.ndarray, plan: Plan = Plan()) -> tup
     most ``plan.size`` apart.
     """
     size, n = plan.size, len(cuts)
-    exact: dict[int, list[int]] = {}  # candidates at a power of two before a cut
+    # candidates at a power of two before a cut, in order of the cuts
+    index = np.full(int(cuts[-1] - cuts[0]) + 1, -1, np.int32)
+    index[cuts - cuts[0]] = np.arange(n)
+    ends, begins = [], []
     power = 1 << (size.bit_length() - 1)
     while power:
-        at = np.searchsorted(cuts, cuts - power)
-        for j in np.flatnonzero(cuts[at] == cuts - power).tolist():
-            exact.setdefault(j, []).append(int(at[j]))
+        far = cuts - cuts[0] - power
+        late = np.flatnonzero(far >= 0)
+        at = index[far[late]]
+        ends.append(late[at >= 0])
+        begins.append(at[at >= 0])
         power >>= 1
+    order = np.argsort(np.concatenate(ends), kind="stable")
+    begin = np.concatenate(begins)[order].tolist()
+    until = np.searchsorted(np.concatenate(ends)[order], np.arange(n), "right").tolist()
     place, cost = cuts.tolist(), penalty.tolist()
     best, came = [0.0] * n, [0] * n
     queue: deque[tuple[float, int, int]] = deque([(0.0 + place[0], place[0], 0)])
@@ -72,9 +80,10 @@ def best_cuts(cuts: np.ndarray, penalty: np.ndarray, plan: Plan = Plan()) -> tup
             queue.popleft()
         low, _, i = queue[0]
         value = low + size - p
-        for k in exact.get(j, ()):
-            if best[k] < value:
-                value, i = best[k], k
+        if until[j] > until[j - 1]:
+            for k in begin[until[j - 1] : until[j]]:
+                if best[k] < value:
+                    value, i = best[k], k
         value += cost[j] + plan.window
         best[j], came[j] = value, i
         key = value + p
@@ -207,19 +216,27 @@ class WordTokenizer:
         A word of Latin letters and then marks is two matches of the vocabulary's pattern; the faster
         engine takes these, each match with a closing byte in place of the vocabulary's word end.
         """
-        plain, closed, other = [], [], []
+        plain, closed, matches, other = [], [], [], []
+        match = _PLAIN.fullmatch if self.fast else lambda _: None
         for k, word in enumerate(words):
-            m = _PLAIN.fullmatch(word) if self.fast else None
+            m = match(word)
             if m is None:
                 other.append(k)
                 continue
+            cut = m.end(1)
             plain.append(k)
-            closed.append(f"{m[1].lower()}\0{m[2]}\0" if m[2] else f"{m[1].lower()}\0")
-        ids = np.array(self.fast.encode_ordinary("".join(closed)) if closed else [], np.int32)
+            if cut == len(word):
+                closed.append(word)
+                matches.append(1)
+            else:
+                closed.append(f"{word[:cut]}\0{word[cut:]}")
+                matches.append(2)
+        # letters of these words are lower-cased one by one, and marks have no case
+        ids = np.array(self.fast.encode_ordinary("\0".join(closed).lower() + "\0") if closed else [], np.int32)
         more, sizes = self._library([words[k] for k in other])
         if plain:
             done = np.cumsum(self.closes[ids])  # matches closed so far
-            per = np.cumsum([x.count("\0") for x in closed])
+            per = np.cumsum(matches)
             ends = np.searchsorted(done, per) + 1
             sizes = np.concatenate([np.diff(ends, prepend=0), sizes])
         ids = np.concatenate([ids, np.array(more, np.int32)])
