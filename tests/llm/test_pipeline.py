@@ -2,8 +2,6 @@
 
 import re
 
-import pytest
-
 import corpus_pipeline
 from tests.llm.test_llm import _brute_join, _check_packing
 from tributary.llm import packing
@@ -43,6 +41,9 @@ def test_stages(spark, tmp_path):
 
 
 def test_run(spark):
-    assert corpus_pipeline.run(spark, SF).count() > 0
-    with pytest.raises(AttributeError):
-        corpus_pipeline.missing  # noqa: B018
+    rows = corpus_pipeline.run(spark, SF).toPandas()
+    docs = rows.groupby("doc_id")
+    assert (docs.length.sum() == docs.doc_tokens.first()).all() and (rows.length > 0).all()
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    kept = {i: (n, c) for i, (n, c) in _brute_join({i: texts[i] for i in docs.groups}).items()}
+    assert set(docs.groups) <= set(texts) and all(i == c for i, (_, c) in kept.items())

@@ -189,7 +189,7 @@ def _closing_engine(library):
 class WordTokenizer:
     """A vocabulary of the ``tokenizers`` library; keeps the ids of words between white space seen before (bounded)."""
 
-    def __init__(self, path: str, memo: int = 200_000):
+    def __init__(self, path: str, memo: int = 400_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
