@@ -34,7 +34,7 @@ WORDS, PER_CENT = 5, 75
 SKETCH_BITS = 18
 _SEGMENTS = 64
 #: Bits of the signature that rows carry into joins, and of the shortest whole signature.
-_SHORT = 512
+_SHORT, _LEAST = 512, 2048
 _S = [f"s{k}" for k in range(_SHORT // 64)]
 #: So many of a node's first shared prefix shingles tell whether a pair has met before.
 _FIRST = 8
@@ -82,11 +82,11 @@ def node_of(tokens: np.ndarray) -> int:
 
 
 def signature(tokens: np.ndarray) -> np.ndarray:
-    """The parity bits of a set as 64-bit words: two bits a shingle or more, ``_SHORT`` at least, a power of two.
+    """The parity bits of a set as 64-bit words: two bits a shingle or more, ``_LEAST`` at least, a power of two.
 
     Half as many bits are the two halves, one over the other (xor).
     """
-    bits = max(_SHORT, 1 << max(0, 2 * len(tokens) - 1).bit_length())
+    bits = max(_LEAST, 1 << max(0, 2 * len(tokens) - 1).bit_length())
     odd = np.bincount((tokens & _U(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1
     return np.packbits(odd, bitorder="little").view(np.int64)
 
