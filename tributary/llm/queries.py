@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embed_dedup, hamming_topk, langid, license_scan, ngram_join, packing, quality, secrets, sharding
+from . import bpe, conversation_trie, embed_dedup, hamming_topk, langid, license_scan, ngram_join, packing, quality, secrets, sharding, token_alignment, toxicity
+from ._shared import Scratch
 
 #: Bytes a shard may hold, and the share of all bytes that is enough where the table is small.
 SHARD_LIMIT, SHARDS = 64 << 20, 40
@@ -93,7 +94,23 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", kind("assign"), kind("access"), kind("hex"), F.sha2(text(base), 256).alias("base_sha256"), text(F.col("secrets")).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_license_scan, op3_byte_bpe, op4_packing, op5_embedding_dedup, op6_ngram_join, op7_hamming_topk, op8_quality, op9_sharding, op10_secret_scan)}
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir).select("doc_id", "text", (_crc() % 4 == 2).alias("held_out"))
+    model = toxicity.train(docs.where("not held_out"), spark.read.parquet(f"{sf_dir}/labels.parquet").where(_crc() % 4 != 2), corpus=docs)
+    return toxicity.score(docs, model, keep=["doc_id", "held_out"])
+
+
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark)
+    turns = conversation_trie.ordered(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return conversation_trie.trie(*conversation_trie.with_shared_heads(turns, scratch), scratch)
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.align(_documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"), keep=["doc_id"])
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_license_scan, op3_byte_bpe, op4_packing, op5_embedding_dedup, op6_ngram_join, op7_hamming_topk, op8_quality, op9_sharding, op10_secret_scan, op11_toxicity, op12_conversation_trie, op13_token_alignment)}
 
 #: The rest is tested against brute force: their methods, models or whole-table cost are beyond SQL.
 ORACLES = {
@@ -107,5 +124,25 @@ WITH rows AS (SELECT doc_id, coalesce(octet_length(encode(text)), 0) AS n,
 SELECT f.doc_id, CASE WHEN depth = 0 THEN '' ELSE right(lpad(bin(f.h >> (60 - depth)::INT), 60, '0'), depth::INT) END AS shard,
        depth::INT AS depth, s.bytes AS shard_bytes
 FROM fit f JOIN sums s ON s.d = f.depth AND s.prefix = f.h >> (60 - f.depth)::INT
+""",
+    # paths are compared turn by turn and subtrees summed from all their nodes; CRC-32 bit by bit
+    "op12_conversation_trie": """
+WITH turns AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS r,
+                      {'role': coalesce(role, ''), 'text': coalesce(text, '')} AS t FROM conversations WHERE conv_id IS NOT NULL),
+     convs AS (SELECT c, c - c % 5 AS base, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(c::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+                 lambda s, x: list_reduce([xor(s, x), 0, 0, 0, 0, 0, 0, 0, 0], lambda a, b: xor(a >> 1, 3988292384::BIGINT * (a & 1)))), 4294967295::BIGINT) % 9 AS h
+               FROM turns GROUP BY c),
+     built AS (SELECT convs.c, r, t FROM convs JOIN turns ON turns.c = base AND r <= h
+               UNION ALL SELECT convs.c, 100 + r, t FROM convs JOIN turns ON turns.c = convs.c AND r > h),
+     paths AS (SELECT c, coalesce(list(t ORDER BY r) FILTER (t IS NOT NULL), []) AS p FROM convs LEFT JOIN built USING (c) GROUP BY c),
+     members AS (SELECT c, d, p[1:d] AS p, d = len(p) AS ends FROM paths, unnest(range(0, len(p) + 1)) u(d)),
+     nodes AS (SELECT d, p, min(c) AS c, count(*) AS n, coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (ends), '') AS ended,
+                      CASE WHEN d > 0 THEN octet_length(encode(p[d].text)) ELSE 0 END AS bytes FROM members GROUP BY d, p),
+     children AS (SELECT p[1:d - 1] AS p, count(*) AS n FROM nodes WHERE d > 0 GROUP BY ALL),
+     under AS (SELECT nodes.p[1:a] AS p, sum((nodes.n - 1) * bytes) AS saved, count(*) FILTER (children.n IS NULL) AS leaves
+               FROM nodes LEFT JOIN children ON children.p = nodes.p, unnest(range(0, d + 1)) u(a) GROUP BY ALL)
+SELECT x.c AS conv_id, x.d AS depth, up.c AS parent_conv_id, x.n AS n_convs, coalesce(children.n, 0) AS n_children, leaves::BIGINT AS n_leaves,
+       saved::BIGINT AS saved_tokens, sha256(x.ended) AS ends_sha256
+FROM nodes x JOIN under ON under.p = x.p LEFT JOIN children ON children.p = x.p LEFT JOIN nodes up ON x.d > 0 AND up.d = x.d - 1 AND up.p = x.p[1:x.d - 1]
 """,
 }
