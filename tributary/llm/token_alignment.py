@@ -27,11 +27,13 @@ from pyspark.sql import functions as F
 from ._shared import Scratch
 from ._text import lists, row_of, text_column
 
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 #: A worker remembers the groups of short stretches, up to so many bytes of them (estimated) twice.
-_MEMO_BYTES, _SHORT = 48 << 20, 64
+_MEMO_BYTES, _SHORT = 32 << 20, 64
+#: Longer stretches are tokenized by themselves.
+_LONG = 1000
 #: A stretch starts at white space that follows something else, so that neither tokenizer joins tokens across its start.
-_STRETCH = re.compile(r"[ \n\t\r]\s*\S*(?:[^\S \n\t\r]\s*\S*)*")
+_STRETCH = re.compile(r"[ \n\t]\s*\S*(?:[^\S \n\t]\s*\S*)*")
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -57,12 +59,15 @@ class Aligner:
         self.a_bytes = {i: p.encode() if p in special else bytes(spelled[c] for c in p) for p, i in self.a.get_vocab().items()}
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        self.a_size = np.array([len(self.a_bytes.get(i, b"")) for i in range(max(self.a_bytes) + 1)])
+        self.b_size = np.array([len(x) for x in self.b_bytes])
+        self.a_text, self.b_text = ([str(i) for i in range(len(x))] for x in (self.a_size, self.b_size))
         self.space = self.b.piece_to_id("▁")
         with open(a_path, encoding="utf-8") as f:
             split = json.load(f).get("pre_tokenizer") or {}
         # texts may be cut into stretches if A splits at white space first and no piece of B reaches over such a cut
         plain = split.get("type") == "ByteLevel" and split.get("use_regex") and not split.get("add_prefix_space")
-        self.cuts = bool(plain) and not any(re.search("[^▁\\s][▁\\s]|▁[\\s]", p) for p in pieces)
+        self.cuts = bool(plain) and not any(re.search(r"[^▁\s][▁\n\t]|▁[\n\t]", p) for p in pieces)
         self.young: dict[str, tuple] = {}
         self.old: dict[str, tuple] = {}
         self.held = 0
@@ -89,11 +94,36 @@ class Aligner:
                 ai, bj = i, j
         return (len(a), len(b), ";".join(out), tuple(out), True)
 
-    def _encode(self, parts: list[str]) -> list[tuple]:
-        a = [e.ids for e in self.a.encode_batch_fast(parts, add_special_tokens=False)]
+    def _encode_one(self, part: str) -> tuple:
         # B adds a space in front: it takes the place of the stretch's own, or is dropped again
-        b = self.b.encode([p[1:] if p[0] == " " else p for p in parts])
-        return [self._groups(p.encode(), x, [self.space] if p == " " else y if p[0] == " " else y[1:]) for p, x, y in zip(parts, a, b, strict=True)]
+        b = [self.space] if part == " " else self.b.encode(part[1:]) if part[0] == " " else self.b.encode(part)[1:]
+        return self._groups(part.encode(), self.a.encode(part, add_special_tokens=False).ids, b)
+
+    def _encode(self, parts: list[str]) -> list[tuple]:
+        """Stretches one after the other are tokenized as one text, since no token reaches over their starts."""
+        text = "".join(parts)
+        raw = text.encode()
+        a = self.a.encode(text, add_special_tokens=False).ids
+        b = self.b.encode(text[1:]) if text[0] == " " else self.b.encode(text)[1:]
+        if b"".join([self.a_bytes[i] for i in a]) != raw or b"".join([self.b_bytes[i] for i in b]) != raw:
+            return [self._encode_one(p) for p in parts]
+        a_end, b_end = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])
+        ends = np.cumsum([len(p) for p in parts] if text.isascii() else [len(p.encode()) for p in parts])
+        common = np.intersect1d(a_end, b_end, assume_unique=True)
+        last = np.searchsorted(common, ends)
+        if common[-1] < ends[-1] or not (common[np.minimum(last, len(common) - 1)] == ends).all():
+            return [self._encode_one(p) for p in parts]
+        a_to, b_to = np.searchsorted(a_end, common, "right").tolist(), np.searchsorted(b_end, common, "right").tolist()
+        a_text, b_text, names, i, j = [self.a_text[x] for x in a], [self.b_text[x] for x in b], [], 0, 0
+        for x, y in zip(a_to, b_to, strict=True):
+            names.append(f"{a_text[i] if x == i + 1 else ','.join(a_text[i:x])}|{b_text[j] if y == j + 1 else ','.join(b_text[j:y])}")
+            i, j = x, y
+        out, k, i, j = [], 0, 0, 0
+        for to in (last + 1).tolist():
+            x, y = a_to[to - 1], b_to[to - 1]
+            out.append((x - i, y - j, ";".join(names[k:to]), tuple(names[k:to]), True))
+            k, i, j = to, x, y
+        return out
 
     def groups(self, parts: list[str]) -> list[tuple]:
         """What ``_groups`` says of each of the distinct stretches, remembered where they are short."""
@@ -106,11 +136,15 @@ class Aligner:
             else:
                 self._remember(p, hit)
             out[p] = hit
-        for k in range(0, len(missing), 4096):
-            some = missing[k : k + 4096]
-            for p, got in zip(some, self._encode(some), strict=True):
-                out[p] = got
-                self._remember(p, got)
+        apart = [p for p in missing if len(p) > _LONG or p[-1].isspace()]
+        joined = [p for p in missing if len(p) <= _LONG and not p[-1].isspace()]
+        for p in apart:
+            out[p] = self._encode_one(p)
+        for k in range(0, len(joined), 1024):
+            some = joined[k : k + 1024]
+            out.update(zip(some, self._encode(some), strict=True))
+        for p in missing:
+            self._remember(p, out[p])
         return [out[p] for p in parts]
 
     def _remember(self, part: str, got: tuple) -> None:
@@ -138,26 +172,42 @@ class _Block:
         self.tools, self.keep, self.bytes = tools, keep, 0
         self.local: dict[str, int] = {}
         self.known: list[tuple] = []
+        self.names: list[str] = []
+        self.bad = False
+        self.waiting: list[list[str]] = []
+        self.new: dict[str, None] = {}
         self.docs: list[np.ndarray] = []
         self.digests: list[str] = []
         self.rows: list[pa.RecordBatch] = []
 
     def add(self, text: str) -> None:
         parts = self.tools.stretches(text) if text else []
-        new = [p for p in dict.fromkeys(parts) if p not in self.local]
+        self.waiting.append(parts)
+        self.new.update(dict.fromkeys(p for p in parts if p not in self.local))
+        if len(self.new) > 4096:
+            self.settle()
+        self.bytes += len(text)
+
+    def settle(self) -> None:
+        """Takes up the documents that wait for their stretches' groups."""
+        new = list(self.new)
         for p, got in zip(new, self.tools.groups(new), strict=True):
             self.local[p] = len(self.known)
+            self.bad |= not got[4]
             self.known.append(got)
-        ids = np.fromiter(map(self.local.__getitem__, parts), np.int64, len(parts))
-        if not all(self.known[i][4] for i in set(ids.tolist())):
-            ids = ids[:0]
-        self.docs.append(ids)
-        known = self.known
-        self.digests.append(sha256(";".join([known[i][2] for i in ids.tolist()]).encode()).hexdigest() if len(ids) else "")
-        self.bytes += len(text)
+            self.names.append(got[2])
+        place, names = self.local.__getitem__, self.names
+        for parts in self.waiting:
+            ids = list(map(place, parts))
+            if self.bad and not all(self.known[i][4] for i in ids):
+                ids = []
+            self.docs.append(np.array(ids, np.int64))
+            self.digests.append(sha256(";".join([names[i] for i in ids]).encode()).hexdigest() if ids else "")
+        self.waiting, self.new = [], {}
 
     def end(self) -> pa.RecordBatch:
         """A row per document, and a last one with the dictionary; commonest groups first."""
+        self.settle()
         words: dict[str, int] = {}
         own = [np.array([words.setdefault(g, len(words)) for g in k[3]], np.int64) for k in self.known]
         size = np.array([len(x) for x in own], np.int64)
