@@ -1,9 +1,9 @@
 """Collective matrix factorisation by alternating least squares over DataFrames.
 
-Factors are tables (id, f array<double>).  A half-step joins ratings with the other side's factors,
-sorts them by entity and streams them through one solver: it adds each entity's normal equations
-row by row and solves them in double precision, so memory is one k x k system whatever an entity's
-number of ratings.  Side information, social ties and implicit data only add terms to these systems.
+Factors are tables (id, f array<double>).  Ratings are dealt once to blocks of entities
+(``operators.blocks``); a half-step sends the other side's factors to the blocks that need them and
+solves each entity's normal equations in double precision.  Side information, social ties and
+implicit data only add terms to these systems.
 
 Objective: 1/2 w_main sum W (x - mean - b_u - b_i - a.b)^2 + 1/2 w_user |U - A C|^2
 + 1/2 w_item |I - B D|^2 + 1/2 lam (all squares) + lam_social sum w_uv |a_u - a_v|^2.
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.lineage import cut
-from . import biases
+from . import biases, blocks
 from .evaluation import top_n as best_of
 
 
@@ -69,44 +69,15 @@ def solve(gram: np.ndarray, rhs: np.ndarray, nonneg: bool = False, l1: float = 0
     return x
 
 
-#: What a row adds to its entity's system: gram += wg f f', rhs += wr f, diagonal += dg.
-ROW = "id long, wg double, wr double, dg double, f array<double>"
+#: What a row of side information or a tie adds to its entity's system: rhs += wr f, diagonal += dg.
+ROW = "id long, wr double, dg double, f array<double>"
 
 
-def half_step(rows: DataFrame, base: np.ndarray, lam: np.ndarray, scale_lam: bool = False, nonneg: bool = False, l1: float = 0.0) -> DataFrame:
-    """(id, f) that solve the entities' systems: ``base`` plus their rows plus diag(lam)."""
-
-    def finish(i, gram, rhs, diag, n):
-        g = base + gram + np.diag(lam * (max(n, 1) if scale_lam else 1.0) + diag)
-        return i, solve(g, rhs, nonneg, l1)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        size = len(lam)
-        now, gram, rhs, diag, n = None, None, None, 0.0, 0
-        for pdf in batches:
-            out: list[tuple] = []
-            if not len(pdf):
-                continue
-            ids = pdf["id"].to_numpy()
-            f = np.stack(pdf["f"].to_numpy())
-            wg, wr, dg = (pdf[c].to_numpy() for c in ("wg", "wr", "dg"))
-            starts = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
-            for a, b in zip(starts, np.r_[starts[1:], len(ids)], strict=True):
-                if ids[a] != now:
-                    if now is not None:
-                        out.append(finish(now, gram, rhs, diag, n))
-                    now, gram, rhs, diag, n = ids[a], np.zeros((size, size)), np.zeros(size), 0.0, 0
-                part = f[a:b]
-                gram += (part * wg[a:b, None]).T @ part
-                rhs += wr[a:b] @ part
-                diag += dg[a:b].sum()
-                n += int(np.count_nonzero(wg[a:b]))
-            yield pd.DataFrame({"id": [x[0] for x in out], "f": [x[1] for x in out]})
-        if now is not None:
-            i, x = finish(now, gram, rhs, diag, n)
-            yield pd.DataFrame({"id": [i], "f": [x]})
-
-    return rows.repartition("id").sortWithinPartitions("id").mapInPandas(run, "id long, f array<double>")
+def extras_of(rows: DataFrame) -> DataFrame:
+    """(id, f): each entity's rows summed, f holding the right side and then the diagonal."""
+    parts = rows.select("id", F.posexplode(F.concat(F.transform("f", lambda x: x * F.col("wr")), F.array("dg"))))
+    summed = parts.groupBy("id", "pos").agg(F.sum("col").alias("v")).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", "v"))).alias("e"))
+    return summed.select("id", F.transform("e", lambda x: x["v"]).alias("f"))
 
 
 def outer_sum(left: DataFrame, right_cols: str | None = None) -> tuple[np.ndarray, np.ndarray | None, int]:
@@ -203,8 +174,10 @@ class Model:
 
     def factors_warm(self, ratings: DataFrame, features: DataFrame | None = None) -> DataFrame:
         """(id, f) of users from their ratings (and features): one half-step on the new rows."""
-        rows, base, lam = _user_rows(self.options, ratings, self.items, self.mean, self.C, features)
-        return half_step(rows, base, lam, self.options.scale_lam, self.options.nonneg, self.options.l1)
+        dealt = blocks.deal(ratings, "user_id", "item_id", self.options.weight_col)
+        out = cut(_update(self.options, dealt, self.items, self.mean, self.C, features))
+        dealt.drop()
+        return out
 
     def with_users(self, factors: DataFrame) -> Model:
         return replace(self, users=factors)
@@ -216,31 +189,31 @@ class Model:
         return known.select("user_id", "item_id", "rating", F.lit(False).alias("imputed")).unionByName(rest.select("user_id", "item_id", F.col("pred").alias("rating"), F.lit(True).alias("imputed")))
 
 
-def _rating_rows(o: Options, ratings: DataFrame, other: DataFrame, key: str, other_key: str, mean: float, skip: int, pad: int, other_bias: int, own_bias: int) -> DataFrame:
-    """Rows of one side's systems from ratings and the other side's factors."""
-    n = o.k + o.k_main
-    w = F.coalesce(F.col(o.weight_col).cast("double"), F.lit(1.0)) if o.weight_col else F.lit(1.0)
-    j = ratings.where("rating is not null").join(other.select(F.col("id").alias(other_key), F.col("f").alias("g")), other_key)
-    head = F.array_repeat(F.lit(0.0), pad)
-    f = F.concat(head, F.slice("g", skip + 1, n), F.array(F.lit(1.0)) if own_bias else F.array().cast("array<double>"))
-    if o.implicit:
-        c = F.log1p(F.col("rating") * o.alpha) if o.log_transform else F.col("rating") * o.alpha
-        return j.select(F.col(key).cast("long").alias("id"), (c * w * o.w_main).alias("wg"), ((1.0 + c) * w * o.w_main).alias("wr"), F.lit(0.0).alias("dg"), f.alias("f"))
-    x = F.col("rating") - mean - (F.element_at("g", -1) if other_bias else F.lit(0.0))
-    wg = F.lit(0.0) if o.missing_as_zero else w * o.w_main
-    return j.select(F.col(key).cast("long").alias("id"), wg.alias("wg"), (x * w * o.w_main).alias("wr"), F.lit(0.0).alias("dg"), f.alias("f"))
-
-
-def _base(o: Options, other: DataFrame, skip: int, pad: int, own_bias: int) -> np.ndarray:
-    """What every system holds: the other side's gram for implicit data and missing-as-zero."""
-    n = o.k + o.k_main
-    size = pad + n + own_bias
-    base = np.zeros((size, size))
+def _side(o: Options, mean: float) -> blocks.Side:
+    ub, ib = bool(o.user_bias and not o.implicit), bool(o.item_bias and not o.implicit)
+    kind = "implicit" if o.implicit else "zero" if o.missing_as_zero else "rating"
+    return blocks.Side(o.k + o.k_main, o.k_item, o.k_user, ub, ib, kind, mean, o.w_main, o.alpha, o.log_transform, o.w_implicit if o.implicit_features else 0.0)
+
+
+def _base(o: Options, other: DataFrame) -> tuple[np.ndarray, np.ndarray, int | None]:
+    """(gram, right side, entities) that every system holds: those of all cells, for implicit data, missing-as-zero and implicit features."""
+    side = _side(o, 0.0)
+    base, rhs = np.zeros((side.size, side.size)), np.zeros(side.size)
+    if not (o.implicit or o.missing_as_zero or o.implicit_features):
+        return base, rhs, None
+    bias = F.element_at("f", -1) if side.other_bias else F.lit(0.0)
+    cells = other.select(F.concat(F.slice("f", side.skip + 1, side.width), F.array(F.lit(1.0)) if side.own_bias else F.array().cast("array<double>")).alias("f"), F.array(bias).alias("b"))
+    gram, cross, n = outer_sum(cells, "b")
+    if not n:
+        return base, rhs, 0
     if o.implicit or o.missing_as_zero:
-        cut = other.select(F.concat(F.slice("f", skip + 1, n), F.array(F.lit(1.0)) if own_bias else F.array().cast("array<double>")).alias("f"))
-        gram, _, _ = outer_sum(cut)
-        base[pad:, pad:] = o.w_main * gram
-    return base
+        base[side.pad :, side.pad :] += o.w_main * gram
+    if o.missing_as_zero and not o.implicit:
+        rhs[side.pad :] -= o.w_main * cross[:, 0]  # an empty cell's target is zero less the other side's bias
+    if o.implicit_features:
+        at = slice(side.pad, side.pad + side.width)
+        base[at, at] += o.w_implicit * gram[: side.width, : side.width]
+    return base, rhs, n if o.missing_as_zero and not o.implicit else None
 
 
 def _feature_rows(features: DataFrame, key: str, c: np.ndarray, weight: float, tail: int) -> DataFrame:
@@ -250,30 +223,30 @@ def _feature_rows(features: DataFrame, key: str, c: np.ndarray, weight: float, t
         for pdf in batches:
             if len(pdf):
                 f = weight * np.stack(pdf["u"].to_numpy()) @ c
-                yield pd.DataFrame({"id": pdf["id"], "wg": 0.0, "wr": 1.0, "dg": 0.0, "f": list(np.pad(f, ((0, 0), (0, tail))))})
+                yield pd.DataFrame({"id": pdf["id"], "wr": 1.0, "dg": 0.0, "f": list(np.pad(f, ((0, 0), (0, tail))))})
 
     return vectors(features, key).mapInPandas(run, ROW)
 
 
-def _user_rows(o: Options, ratings: DataFrame, items: DataFrame, mean: float, c: np.ndarray | None, features: DataFrame | None, social: DataFrame | None = None, users: DataFrame | None = None, *, swap: bool = False):
-    """(rows, base, lam) of the users' systems (of the items', if the options and tables are swapped)."""
-    ub, ib = int(o.user_bias and not o.implicit), int(o.item_bias and not o.implicit)
-    key, other_key = ("item_id", "user_id") if swap else ("user_id", "item_id")
-    rows = _rating_rows(o, ratings, items, key, other_key, mean, o.k_item, o.k_user, ib, ub)
-    base = _base(o, items, o.k_item, o.k_user, ub)
-    size = o.k_user + o.k + o.k_main + ub
+def _update(o: Options, dealt: blocks.Dealt, items: DataFrame, mean: float, c: np.ndarray | None, features: DataFrame | None, key: str = "user_id", social: DataFrame | None = None, users: DataFrame | None = None) -> DataFrame:
+    """(id, f) of the users (of the items, if the options and tables are swapped): one half-step."""
+    side = _side(o, mean)
+    base, rhs, everyone = _base(o, items)
+    rows = None
     if features is not None and c is not None:
         n = c.shape[1]
         base[:n, :n] += o.w_user * c.T @ c
-        rows = rows.unionByName(_feature_rows(features, key, c, o.w_user, o.k_main + ub))
+        rows = _feature_rows(features, key, c, o.w_user, side.size - n)
     if social is not None and users is not None:
         both = social.select(F.explode(F.array(F.struct(F.col("u").alias("id"), F.col("v").alias("other"), "weight"), F.struct(F.col("v").alias("id"), F.col("u").alias("other"), "weight"))).alias("e")).select("e.*")
         tied = both.join(users.select(F.col("id").alias("other"), F.col("f").alias("g")), "other")
         # ties bind the shared and main factors, not the users' own part nor the bias
-        free = o.k_user
-        f = F.concat(F.array_repeat(F.lit(0.0), free), F.slice("g", free + 1, o.k + o.k_main), F.array_repeat(F.lit(0.0), ub))
-        rows = rows.unionByName(tied.select("id", F.lit(0.0).alias("wg"), (2.0 * o.lam_social * F.col("weight")).alias("wr"), (2.0 * o.lam_social * F.col("weight")).alias("dg"), f.alias("f")))
-    return rows, base, np.full(size, o.lam)
+        f = F.concat(F.array_repeat(F.lit(0.0), side.pad), F.slice("g", side.pad + 1, side.width), F.array_repeat(F.lit(0.0), int(side.own_bias)))
+        weight = 2.0 * o.lam_social * F.col("weight")
+        ties = tied.select("id", weight.alias("wr"), weight.alias("dg"), f.alias("f"))
+        rows = ties if rows is None else rows.unionByName(ties)
+    minimise = lambda g, r: solve(g, r, o.nonneg, o.l1)
+    return blocks.half_step(dealt, items, side, np.full(side.size, o.lam), base, rhs, extras_of(rows) if rows is not None else None, o.scale_lam, everyone, minimise)
 
 
 def _feature_map(factors: DataFrame, features: DataFrame, key: str, width: int, lam: float, weight: float) -> np.ndarray:
@@ -303,20 +276,17 @@ def fit(ratings: DataFrame, options: Options = Options(), user_features: DataFra
     items = start(its.distinct(), width_i + o.k_main + ib, o.seed + 1, positive=o.nonneg)
     swapped = replace(o, k_user=o.k_item, k_item=o.k_user, w_user=o.w_item, w_item=o.w_user, user_bias=o.item_bias, item_bias=o.user_bias)
     c = d = None
+    by_user, by_item = blocks.deal(ratings, "user_id", "item_id", o.weight_col), blocks.deal(ratings, "item_id", "user_id", o.weight_col)
     for _ in range(o.iterations):
         if user_features is not None:
             c = _feature_map(users, user_features, "user_id", width_u, o.lam, o.w_user)
         if item_features is not None:
             d = _feature_map(items, item_features, "item_id", width_i, o.lam, o.w_item)
-        rows, base, lam = _user_rows(swapped, ratings, users, mean, d, item_features, swap=True)
-        if o.implicit_features:
-            rows, base = _with_implicit(swapped, rows, base, ratings, users, "item_id", "user_id")
-        items = cut(half_step(rows, base, lam, o.scale_lam, o.nonneg, o.l1))
+        items = cut(_update(swapped, by_item, users, mean, d, item_features, "item_id"))
         for _ in range(o.social_sweeps if social is not None and o.lam_social else 1):
-            rows, base, lam = _user_rows(o, ratings, items, mean, c, user_features, social if o.lam_social else None, users)
-            if o.implicit_features:
-                rows, base = _with_implicit(o, rows, base, ratings, items, "user_id", "item_id")
-            users = cut(half_step(rows, base, lam, o.scale_lam, o.nonneg, o.l1))
+            users = cut(_update(o, by_user, items, mean, c, user_features, "user_id", social if o.lam_social else None, users))
+    by_user.drop()
+    by_item.drop()
     if user_features is not None:
         c = _feature_map(users, user_features, "user_id", width_u, o.lam, o.w_user)
     if item_features is not None:
@@ -324,20 +294,6 @@ def fit(ratings: DataFrame, options: Options = Options(), user_features: DataFra
     return Model(o, mean, users, items, c, d)
 
 
-def _with_implicit(o: Options, rows: DataFrame, base: np.ndarray, ratings: DataFrame, other: DataFrame, key: str, other_key: str):
-    """Adds w_implicit |1[x seen] - a.b'|^2 over all pairs, b' the implicit factors the other side's shared ones stand for."""
-    n = o.k + o.k_main
-    ub = int(o.user_bias and not o.implicit)
-    gram, _, _ = outer_sum(other.select(F.slice("f", o.k_item + 1, n).alias("f")))
-    base = base.copy()
-    at = slice(o.k_user, o.k_user + n)
-    base[at, at] += o.w_implicit * gram
-    pad = F.array_repeat(F.lit(0.0), o.k_user)
-    j = ratings.where("rating is not null").join(other.select(F.col("id").alias(other_key), F.col("f").alias("g")), other_key)
-    seen = j.select(F.col(key).cast("long").alias("id"), F.lit(0.0).alias("wg"), F.lit(o.w_implicit).alias("wr"), F.lit(0.0).alias("dg"), F.concat(pad, F.slice("g", o.k_item + 1, n), F.array_repeat(F.lit(0.0), ub)).alias("f"))
-    return rows.unionByName(seen), base
-
-
 def fit_offsets(ratings: DataFrame, user_features: DataFrame, item_features: DataFrame | None = None, options: Options = Options()) -> tuple[Model, np.ndarray, np.ndarray | None]:
     """X ~ (A + U C)(B + I D)': fit X alone, then regress the factors on the features; (model, C, D) predicts new entities from features."""
     model = fit(ratings, options)
