@@ -37,3 +37,19 @@ def dropped(spark: SparkSession, path: str) -> None:
     """Deletes a table's files once nothing reads them."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
+class Tables:
+    """Written tables of one computation, to be dropped together when its result stands."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.root, self.n = spark, f"{shared_folder(spark).rstrip('/')}/tables-{uuid.uuid4().hex}", 0
+
+    def write(self, df: DataFrame) -> DataFrame:
+        self.n += 1
+        path = f"{self.root}/{self.n}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self) -> None:
+        dropped(self.spark, self.root)

@@ -1,18 +1,18 @@
-"""Centrality of all networks at once: PageRank by joins keyed by network, the rest by a task per network.
+"""Centrality of all networks at once: PageRank and path metrics by joins keyed by network, spectral scores by a task per network.
 
 ``nodes(model, net_idx, node)`` and ``edges(model, net_idx, src, dst)``.
 """
 
 from __future__ import annotations
 
-from collections import deque
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.lineage import cut
+from ..functions.lineage import Tables, cut
 
 KEY = ["model", "net_idx"]
 
@@ -123,60 +123,61 @@ def softmax_beta(scores: DataFrame, alpha: float = 0.85) -> DataFrame:
     return e.join(e.groupBy(*KEY).agg(F.sum("e").alias("t")), KEY).select(*KEY, "node", ((1.0 - alpha) * F.col("e") / F.col("t")).alias("beta"))
 
 
-def _paths(nodes: list[int], pairs: np.ndarray, directed: bool) -> pd.DataFrame:
-    """Betweenness (Brandes), closeness and eccentricity of one network."""
-    at = {v: i for i, v in enumerate(sorted(nodes))}
-    n = len(at)
-    near: list[set[int]] = [set() for _ in range(n)]
-    for a, b in pairs:
-        if a in at and b in at and a != b:
-            near[at[a]].add(at[b])
-            if not directed:
-                near[at[b]].add(at[a])
-    adj = [sorted(x) for x in near]
-    between, close, ecc = np.zeros(n), np.zeros(n), np.zeros(n, np.int64)
-    for s in range(n):
-        dist, sigma, came, order = [-1] * n, [0.0] * n, [[] for _ in range(n)], []
-        dist[s], sigma[s] = 0, 1.0
-        todo = deque([s])
-        while todo:
-            v = todo.popleft()
-            order.append(v)
-            for w in adj[v]:
-                if dist[w] < 0:
-                    dist[w] = dist[v] + 1
-                    todo.append(w)
-                if dist[w] == dist[v] + 1:
-                    sigma[w] += sigma[v]
-                    came[w].append(v)
-        total, reach = sum(dist[v] for v in order), len(order) - 1
-        close[s] = (reach / total) * (reach / (n - 1)) if total and n > 1 else 0.0
-        ecc[s] = dist[order[-1]]
-        part = [0.0] * n
-        for w in reversed(order):
-            for v in came[w]:
-                part[v] += sigma[v] / sigma[w] * (1.0 + part[w])
-            if w != s:
-                between[w] += part[w]
-    return pd.DataFrame({"node": sorted(nodes), "betweenness": between if directed else between / 2.0, "closeness": close, "eccentricity": ecc})
-
-
-def path_metrics(nodes: DataFrame, edges: DataFrame, directed: bool = False) -> DataFrame:
-    """(model, net_idx, node, betweenness, closeness, eccentricity): all-sources searches, a task per network.
-
-    Closeness is scaled by the reachable share (Wasserman-Faust), 0 if isolated; the networks this is
-    made for have up to about 10^4 nodes.
-    """
-    left = nodes.select(*KEY, "node")
-    right = edges.select(*KEY, "src", "dst")
-
-    def run(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        out = _paths(sorted(set(a["node"])), b[["src", "dst"]].to_numpy(), directed) if len(a) else pd.DataFrame({"node": [], "betweenness": [], "closeness": [], "eccentricity": []})
-        out.insert(0, "net_idx", key[1])
-        out.insert(0, "model", key[0])
-        return out
+def path_metrics(nodes: DataFrame, edges: DataFrame, directed: bool = False, batch_rows: int = 50_000_000) -> DataFrame:
+    """(model, net_idx, node, betweenness, closeness, eccentricity) of all networks by joins.
 
-    return left.groupBy(*KEY).cogroup(right.groupBy(*KEY)).applyInPandas(run, "model string, net_idx int, node long, betweenness double, closeness double, eccentricity long")
+    Searches run from batches of sources, so many that (source, node) pairs stay below about
+    ``batch_rows``.  Forward, a level's (source, node, sigma) rows go along the edges, sums of sigma
+    meet by (source, node), and nodes of earlier levels drop out; backward, each level hands its
+    dependencies to the one before.  Closeness is scaled by the reachable share (Wasserman-Faust), 0
+    if isolated; eccentricity is the farthest reachable node's distance.
+    """
+    spark = nodes.sparkSession
+    n = cut(nodes.select(*KEY, "node").distinct())
+    e = edges.where("src <> dst").select(*KEY, F.col("src").alias("v"), F.col("dst").alias("w"))
+    e = e if directed else e.unionByName(e.select(*KEY, F.col("w").alias("v"), F.col("v").alias("w")))
+    known = lambda t, c: t.join(n.select(*KEY, F.col("node").alias(c)), [*KEY, c], "left_semi")
+    e = cut(known(known(e.distinct(), "v"), "w").select(*KEY, "v", "w"))
+    size = cut(n.groupBy(*KEY).agg(F.count("*").alias("size")))
+    pairs = size.agg(F.sum(F.col("size").cast("double") * F.col("size"))).first()[0] or 0.0
+    batches = max(1, int(-(-pairs // batch_rows)))
+    spots, parts = [*KEY, "source"], []
+    for k in range(batches):
+        tables = Tables(spark)
+        mine = n.where(F.pmod(F.xxhash64(*KEY, "node"), F.lit(batches)) == k)
+        levels = [tables.write(mine.select(*KEY, F.col("node").alias("source"), F.col("node").alias("v"), F.lit(1.0).alias("sigma")))]
+        while True:
+            reached = levels[-1].join(e, [*KEY, "v"]).groupBy(*spots, F.col("w").alias("v")).agg(F.sum("sigma").alias("sigma"))
+            for old in levels if directed else levels[-2:]:  # along undirected edges, only the last two levels can come up again
+                reached = reached.join(old.select(*spots, "v"), [*spots, "v"], "left_anti")
+            new = tables.write(reached)
+            if new.isEmpty():
+                break
+            levels.append(new)
+        near = None
+        for d, level in enumerate(levels):
+            at = level.groupBy(*spots).agg(F.count("*").alias("n"), F.lit(d).alias("far"))
+            near = at if near is None else near.unionByName(at)
+        source = near.groupBy(*spots).agg(F.sum(F.col("n") * F.col("far")).alias("total"), (F.sum("n") - 1).alias("reach"), F.max("far").alias("far"))
+        between, below = None, None
+        for d in range(len(levels) - 1, 0, -1):
+            here = levels[d].withColumn("part", F.lit(0.0)) if below is None else levels[d].join(below, [*spots, "v"], "left").na.fill(0.0, ["part"])
+            here = tables.write(here)
+            share = here.groupBy(*KEY, F.col("v").alias("node")).agg(F.sum("part").alias("part"))
+            between = share if between is None else between.unionByName(share)
+            if d > 1:
+                back = here.select(*spots, F.col("v").alias("w"), ((1.0 + F.col("part")) / F.col("sigma")).alias("gain")).join(e, [*KEY, "w"])
+                below = back.join(levels[d - 1], [*spots, "v"]).groupBy(*spots, "v").agg(F.sum(F.col("sigma") * F.col("gain")).alias("part"))
+        out = source.select(*KEY, F.col("source").alias("node"), F.lit(0.0).alias("part"), "total", "reach", "far")
+        if between is not None:
+            none = F.lit(None).cast("long")
+            out = out.unionByName(between.select(*KEY, "node", "part", none.alias("total"), none.alias("reach"), F.lit(None).cast("int").alias("far")))
+        parts.append(cut(out))
+        tables.drop()
+    every = reduce(DataFrame.unionByName, parts)
+    sums = every.groupBy(*KEY, "node").agg(F.sum("part").alias("b"), F.max("total").alias("total"), F.max("reach").alias("reach"), F.max("far").alias("far")).join(size, KEY)
+    near_share = F.when((F.col("total") > 0) & (F.col("size") > 1), F.col("reach") / F.col("total") * (F.col("reach") / (F.col("size") - 1))).otherwise(0.0)
+    return sums.select(*KEY, "node", (F.col("b") if directed else F.col("b") / 2.0).alias("betweenness"), near_share.alias("closeness"), F.col("far").cast("long").alias("eccentricity"))
 
 
 def bfs(edges: DataFrame, sources: DataFrame, most: int | None = None) -> DataFrame:
