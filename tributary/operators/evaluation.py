@@ -16,15 +16,6 @@ def rating_metrics(predictions: DataFrame, by: list[str] | None = None) -> DataF
     return rows.groupBy(*by).agg(*agg) if by else rows.agg(*agg)
 
 
-def candidates(users: DataFrame, items: DataFrame, train: DataFrame) -> DataFrame:
-    """(user_id, item_id): every item for every user of the query set, without those the user has in train.
-
-    The query set times the catalogue is what ranking asks for; the catalogue (ids alone) is dealt in
-    blocks next to the users, and a user's own items are removed by a hash anti join.
-    """
-    return users.select("user_id").distinct().join(items.select("item_id").distinct(), how="cross").join(train.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti")
-
-
 def ranked(scored: DataFrame) -> DataFrame:
     """Adds rank from 1 by (score descending, item)."""
     return scored.withColumn("rank", F.row_number().over(W.partitionBy("user_id").orderBy(F.col("score").desc_nulls_last(), "item_id")))
@@ -49,11 +40,14 @@ def ranking_by_user(scored: DataFrame, test: DataFrame, k: int = 10, threshold:
     return j.select("user_id", (F.col("hits") / k).alias("precision_at_k"), (F.col("hits") / F.col("n")).alias("recall_at_k"), (F.coalesce("dcg", F.lit(0.0)) / ideal).alias("ndcg_at_k"), F.coalesce(1.0 / F.col("first"), F.lit(0.0)).alias("rr"))
 
 
-def ranking_metrics(scored: DataFrame, test: DataFrame, k: int = 10, threshold: float | None = None) -> DataFrame:
+def ranking_means(by_user: DataFrame) -> DataFrame:
     """One row: means over users (0 without any)."""
-    u = ranking_by_user(scored, test, k, threshold)
     mean = lambda c, n: F.coalesce(F.avg(c), F.lit(0.0)).alias(n)
-    return u.agg(mean("precision_at_k", "precision_at_k"), mean("recall_at_k", "recall_at_k"), mean("ndcg_at_k", "ndcg_at_k"), mean("rr", "mrr"), F.count("*").alias("n_users"))
+    return by_user.agg(mean("precision_at_k", "precision_at_k"), mean("recall_at_k", "recall_at_k"), mean("ndcg_at_k", "ndcg_at_k"), mean("rr", "mrr"), F.count("*").alias("n_users"))
+
+
+def ranking_metrics(scored: DataFrame, test: DataFrame, k: int = 10, threshold: float | None = None) -> DataFrame:
+    return ranking_means(ranking_by_user(scored, test, k, threshold))
 
 
 def top_n(scored: DataFrame, n: int = 10, include: DataFrame | None = None, exclude: DataFrame | None = None) -> DataFrame:

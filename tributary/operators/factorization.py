@@ -20,8 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.lineage import cut
-from . import biases, blocks
-from .evaluation import top_n as best_of
+from . import biases, blocks, topn
 
 
 @dataclass(frozen=True)
@@ -148,8 +147,23 @@ class Model:
         return j.withColumn("pred", pred).drop("__u", "__i")
 
     def top_n(self, users: DataFrame, n: int = 10, include: DataFrame | None = None, exclude: DataFrame | None = None) -> DataFrame:
-        pairs = users.select(F.col("user_id")).distinct().join(self.items.select(F.col("id").alias("item_id")), how="cross")
-        return best_of(self.predict(pairs).withColumnRenamed("pred", "score"), n, include, exclude)
+        """(user_id, item_id, score, rank) of the n best items; items restricted to ``include(item_id)`` or without ``exclude``, not both."""
+        if include is not None and exclude is not None:
+            raise ValueError("give include or exclude, not both")
+        (u0, n_f, ub), (i0, _, ib) = self._sides()
+        items = self.items
+        if include is not None:
+            items = items.join(include.select(F.col("item_id").alias("id")).distinct(), "id", "left_semi")
+        if exclude is not None:
+            items = items.join(exclude.select(F.col("item_id").alias("id")).distinct(), "id", "left_anti")
+        items = items.select("id", F.concat(F.slice("f", i0 + 1, n_f), F.array(F.element_at("f", -1) if ib else F.lit(0.0))).alias("f"))
+        asked = users.select(F.col("user_id").cast("long").alias("user_id")).distinct().join(self.users.select(F.col("id").alias("user_id"), F.col("f").alias("g")), "user_id", "left")
+        own = F.concat(F.slice("g", u0 + 1, n_f), F.array(F.lit(1.0)))
+        unseen = F.concat(F.array_repeat(F.lit(0.0), n_f), F.array(F.lit(1.0))) if ub or ib else F.lit(None).cast("array<double>")
+        bias = F.coalesce(F.element_at("g", -1), F.lit(0.0)) if ub else F.lit(0.0)
+        asked = cut(asked.select("user_id", F.coalesce(own, unseen).alias("f"), (F.lit(self.mean) + bias).alias("level")))
+        found = topn.top_n(asked.select("user_id", "f"), items, n)
+        return found.join(asked.select("user_id", "level"), "user_id").select("user_id", "item_id", (F.col("score") + F.col("level")).alias("score"), "rank")
 
     def swapped(self) -> Model:
         """The model of the transposed ratings."""
