@@ -156,3 +156,27 @@ def test_sharding_of_single_rows_and_keys_above_the_limit(spark):
     sizes = got.groupby("shard").n.sum()
     assert len(got) == len(rows) and (got.groupby("shard").shard_bytes.first() == sizes).all()
     assert (sizes > 200).sum() == 1 and got[got.doc_id == 1][["depth", "shard_bytes"]].values.tolist() == [[60, 900]]
+
+
+def test_many_languages_with_all_bytes_keep_longer_contexts():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    langs, grams, counts = [], [], []
+    for k in range(80):
+        own = rng.integers(0, 240, (400, 4), dtype=np.int64)
+        own[:240, 0] = np.arange(240)
+        for g in (own << np.array([0, 8, 16, 24])).sum(1):
+            langs.append(f"l{k:02d}")
+            grams.append(int(g))
+            counts.append(int(rng.integers(1, 50)))
+    table = pa.table({"lang": langs, "gram": grams, "n": counts}).group_by(["lang", "gram"]).aggregate([("n", "sum")]).rename_columns(["lang", "gram", "n"])
+    model = langid.compile_model(table)
+    size = int(model.codes.max()) + 1
+    assert size == 241 and len(model.langs) == 80
+    contexts = len(model.bits) // size
+    assert contexts > size + 1 and contexts * size * 80 <= 200_000 * 80
+    p = np.exp2(-model.bits.reshape(contexts, size, 80).astype(float))
+    assert np.allclose(p[:, :-1].sum(1) + 16 * p[:, -1], 1.0, atol=1e-3)
+    tight = langid.compile_model(table, 1000, 10)
+    assert len(tight.bits) // size == size + 1

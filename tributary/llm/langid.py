@@ -88,7 +88,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", max_docs: int = 2000, max_cel
 
     The fit reads at most about ``max_docs`` documents of each language (whole texts, chosen by a
     hash of the id); every language that occurs is learned.  ``max_cells`` bounds the table of code
-    lengths: contexts seen less often go first, by their share of their language, so that a rare
+    lengths (see ``compile_model``): contexts seen less often go first, by their share of their language, so that a rare
     language keeps as much as a frequent one.  Rows without lang or text are left out; without any
     row the model has no language.
     """
@@ -107,8 +107,12 @@ def train(docs: DataFrame, id_col: str = "doc_id", max_docs: int = 2000, max_cel
     return model
 
 
-def compile_model(counts: pa.Table, max_cells: int = 3_000_000) -> PpmModel:
-    """The table of exact code lengths from counts of (lang, 4-byte gram)."""
+def compile_model(counts: pa.Table, max_cells: int = 3_000_000, lang_cells: int = 200_000) -> PpmModel:
+    """The table of exact code lengths from counts of (lang, 4-byte gram).
+
+    It has at most ``max_cells`` cells of 4 bytes, or ``lang_cells`` for each language where that is more;
+    contexts of orders 0 and 1 are held whatever that takes (codes squared for each language).
+    """
     coded = counts.column("lang").combine_chunks().dictionary_encode()
     coded = coded.combine_chunks() if isinstance(coded, pa.ChunkedArray) else coded
     names, of = coded.dictionary.to_pylist(), coded.indices.to_numpy()
@@ -130,7 +134,7 @@ def compile_model(counts: pa.Table, max_cells: int = 3_000_000) -> PpmModel:
         for k in (2, 3):
             key, inverse = np.unique(keys[k], return_inverse=True)
             held.append(key[np.bincount(inverse, weights=fair) >= least])
-        if sum(map(len, held)) * size * len(langs) <= max_cells:
+        if sum(map(len, held)) * size * len(langs) <= max(max_cells, lang_cells * len(langs)) or not any(map(len, held[2:])):
             break
         least *= 2
     first = np.cumsum([0, *map(len, held)])
@@ -212,7 +216,7 @@ def predict(docs: DataFrame, model: PpmModel, keep: list[str] | None = None) ->
     added = ["lang_pred", "score", "bits_per_byte"]
     keep = [c for c in (keep or docs.columns) if c not in added]
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)  # bounded by max_cells
+    shared = spark.sparkContext.broadcast(model)  # bounded by max_cells, or by the number of languages
     source = docs.select(*[F.col(c) for c in keep], F.col("text").alias("__text"))
     schema = docs.select(*keep).withColumns({"lang_pred": F.lit("").cast("string"), "score": F.lit(0.0), "bits_per_byte": F.lit(0.0)}).schema
     for f in schema.fields:
