@@ -47,3 +47,14 @@ def test_run(spark):
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     kept = {i: (n, c) for i, (n, c) in _brute_join({i: texts[i] for i in docs.groups}).items()}
     assert set(docs.groups) <= set(texts) and all(i == c for i, (_, c) in kept.items())
+
+
+def test_texts_that_share_an_id_stay_together(spark):
+    long = " ".join(f"w{k}" for k in range(60))
+    rows = [(1, long), (1, "another text of the first document"), (1, long), (2, long), (3, "a text by itself"), (3, "a text by itself"), (None, long), (None, long), (4, None), (5, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.without_near_copies(spark, docs, SF)
+    assert got.columns == docs.columns
+    key = lambda r: (str(r[0]), str(r[1]))
+    assert sorted([(r["doc_id"], r["text"]) for r in got.collect()], key=key) == sorted([(1, long), (1, "another text of the first document"), (3, "a text by itself"), (None, long), (None, long), (4, None), (5, "")], key=key)
+    assert corpus_pipeline.without_near_copies(spark, docs.where("false"), SF).count() == 0

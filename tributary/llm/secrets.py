@@ -13,7 +13,7 @@ import binascii
 import json
 import re
 from bisect import bisect_left, bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,12 +35,13 @@ _B64 = (re.compile(rb"[A-Za-z0-9+/]{40,}={0,2}"), re.compile(rb"[A-Za-z0-9_-]{40
 #: Code at the end of a line, carried on at the starts of the next ones, through indents, quotes and the like.
 _WRAP = re.compile(rb"""(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+(?:(?:["'][ \t]{0,2}[+,\\]?|[,\\]|)[ \t]{0,2}\r?\n[ \t>#*|]*["']?[A-Za-z0-9+/_-]++)+={0,2}""")
 _PART = re.compile(rb"""(?:^|(?<=\n))[ \t>#*|]*["']?([A-Za-z0-9+/_-]+)""")
-#: Wrapped key blobs, which don't say their length at the start, are followed over so many characters.
-_FAR = 1 << 17
 _HEXRUN = re.compile(rb"(?:[0-9a-fA-F]{2}){32,}")
 _PEM = re.compile(rb"-----BEGIN ([A-Z0-9 ]++)-----([A-Za-z0-9+/=\s]++)-----END \1-----")
 #: The names with which SSH key blobs start.
 _SSH = (b"ssh-rsa", b"ssh-dss", b"ssh-ed25519", b"ecdsa-sha2-nistp256", b"ecdsa-sha2-nistp384", b"ecdsa-sha2-nistp521")
+_OPENSSH = b"openssh-key-v1\0"
+#: Strings that a key blob, or keys that a private key file, may hold at most.
+_MEMBERS = 16
 SPAN = "array<struct<kind:string,start:long,stop:long,base:boolean,confirmed:string>>"
 _SPAN = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("stop", pa.int64()), ("base", pa.bool_()), ("confirmed", pa.string())])
 
@@ -96,18 +97,59 @@ def is_der_key(data: bytes) -> bool:
     return long_member
 
 
+def _strings(read: Callable[[int, int], bytes], at: int, count: int, limit: int) -> list[int] | None:
+    """Ends of ``count`` length-prefixed strings from ``at`` on; None if one ends behind ``limit``."""
+    out = []
+    for _ in range(count):
+        size = read(at, 4)
+        if len(size) < 4 or at + 4 + int.from_bytes(size, "big") > limit:
+            return None
+        at += 4 + int.from_bytes(size, "big")
+        out.append(at)
+    return out
+
+
+def _blob_ends(read: Callable[[int, int], bytes], at: int, limit: int) -> list[int]:
+    """Where a key blob that starts at ``at`` may end: after two or more strings, the first of which names its kind."""
+    size = int.from_bytes(read(at, 4), "big")
+    if size > 64 or read(at + 4, size) not in _SSH:
+        return []
+    out, at = [], at + 4 + size
+    for _ in range(_MEMBERS - 1):
+        end = _strings(read, at, 1, limit)
+        if end is None:
+            break
+        at = end[0]
+        out.append(at)
+    return out
+
+
+def ssh_ends(read: Callable[[int, int], bytes], limit: int) -> list[int]:
+    """Lengths, longest first, that an SSH key may have by its own account: a key blob, or an OpenSSH private key.
+
+    The latter is parsed to its end: cipher, derivation and its options, the number of keys, that many
+    public keys (each a blob that fills its string) and the private part, in whole blocks of eight.
+    ``read(at, n)`` gives bytes, so that only lengths and names are read.
+    """
+    if read(0, len(_OPENSSH)) != _OPENSSH:
+        return _blob_ends(read, 0, limit)[::-1]
+    head = _strings(read, len(_OPENSSH), 3, limit)
+    if head is None or not 0 < head[0] - len(_OPENSSH) - 4 <= 64:
+        return []
+    count = int.from_bytes(read(head[2], 4), "big")
+    ends = _strings(read, head[2] + 4, count + 1, limit) if 1 <= count <= _MEMBERS else None
+    if ends is None:
+        return []
+    starts = [head[2] + 4, *ends]
+    if any(end not in _blob_ends(read, start + 4, end) for start, end in zip(starts, ends[:-1], strict=False)):
+        return []
+    private = ends[-1] - starts[-2] - 4
+    return [ends[-1]] if private >= 16 and private % 8 == 0 else []
+
+
 def is_ssh_key(data: bytes) -> bool:
-    """An OpenSSH private key block, or a key blob of length-prefixed strings that fill it exactly."""
-    if data.startswith(b"openssh-key-v1\0"):
-        return len(data) > 40
-    at, parts = 0, []
-    while at < len(data):
-        size = int.from_bytes(data[at : at + 4], "big")
-        if at + 4 + size > len(data):
-            return False
-        parts.append(data[at + 4 : at + 4 + size])
-        at += 4 + size
-    return len(parts) >= 2 and parts[0] in _SSH
+    """An OpenSSH private key, or a key blob of length-prefixed strings, that fills the data exactly."""
+    return len(data) in ssh_ends(lambda at, n: data[at : at + n], len(data))
 
 
 def _json(part: bytes) -> object:
@@ -146,24 +188,30 @@ def confirm(value: bytes) -> str | None:
     return "ssh" if is_ssh_key(value) else "der" if is_der_key(value) else None
 
 
-def _sizes(data: bytes) -> list[int]:
-    """Lengths that a key at the start of ``data`` can have by its own account, longest first."""
-    if data[:1] == b"\x30" and len(data) >= 6:
-        wide = data[1] & 0x7F if data[1] & 0x80 else 0
-        return [2 + wide + int.from_bytes(data[2 : 2 + wide], "big")] if 1 <= wide <= 4 else [2 + data[1]] if not wide else []
-    whole = data.startswith(b"openssh-key-v1\0")
-    if not whole and data[4 : 4 + int.from_bytes(data[:4], "big")] not in _SSH:
-        return []
-    at, parts, most, out = 15 if whole else 0, 0, 3, []
-    while at + 4 <= len(data):
-        if whole and parts == 3 and most == 3:  # behind cipher and derivation: the number of public keys, these, and the private part
-            most, at = 4 + int.from_bytes(data[at : at + 4], "big"), at + 4
-        at, parts = at + 4 + int.from_bytes(data[at : at + 4], "big"), parts + 1
-        if not whole or (parts == most and most > 3):
-            out.append(at)
-        if whole and parts == most > 3:
-            break
-    return out[::-1]
+def _der_size(head: bytes) -> list[int]:
+    """The length that a DER key says it has."""
+    wide = head[1] & 0x7F if head[1] & 0x80 else 0
+    return [2 + wide + int.from_bytes(head[2 : 2 + wide], "big")] if 1 <= wide <= 4 else [2 + head[1]] if not wide else []
+
+
+def _at64(code: bytes, start: int) -> Callable[[int, int], bytes]:
+    """Reads bytes of the base64 code that starts at ``start``."""
+
+    def read(at: int, n: int) -> bytes:
+        first = start + at // 3 * 4
+        got = decode64(code[first : first + -(-(at % 3 + n) // 3) * 4]) or b""
+        return got[at % 3 : at % 3 + n]
+
+    return read
+
+
+def _at16(code: bytes, start: int) -> Callable[[int, int], bytes]:
+    return lambda at, n: _unhex(code[start + 2 * at : start + 2 * (at + n)]) or b""
+
+
+def _any(places: list[int], start: int, stop: int) -> bool:
+    k = bisect_left(places, start)
+    return k < len(places) and places[k] < stop
 
 
 def wrapped(text: bytes, start: int, stop: int) -> list[tuple[int, int, str]]:
@@ -174,23 +222,23 @@ def wrapped(text: bytes, start: int, stop: int) -> list[tuple[int, int, str]]:
     for a, b in parts:
         at.append(at[-1] + b - a)
     ends = {x: k for k, x in enumerate(at)}
+    plus, dash = ([m.start() for m in re.finditer(x, code)] for x in (rb"[+/]", rb"[_-]"))  # the two alphabets, which one key doesn't mix
     out, k = [], 0
     while k < len(parts) - 1:
         step = 1
         for read, chars in ((decode64, lambda n: -(-n * 4 // 3)), (_unhex, lambda n: 2 * n)):
-            head = read(code[at[k] : at[k] + 32])
-            sizes = _sizes(head) if head and head[:1] == b"\x30" else []
-            if head and not sizes and (head.startswith(b"openssh-key-v1\0"[:12]) or head[4:8] in (b"ssh-", b"ecds")):
-                far = code[at[k] : at[k] + _FAR]
-                far = re.match(rb"(?:[0-9a-fA-F]{2})*", far)[0] if read is _unhex else far[: len(far) // 4 * 4 or None]
-                sizes = _sizes((read(far) or b"") + b"\0" * 3)
+            head = read(code[at[k] : at[k] + 32]) or b""
+            sizes = _der_size(head) if head[:1] == b"\x30" and len(head) >= 6 else []
+            if not sizes and (head[:12] == _OPENSSH[:12] or head[4:8] in (b"ssh-", b"ecds")):
+                left = len(code) - at[k]
+                sizes = ssh_ends((_at64 if read is decode64 else _at16)(code, at[k]), left * 3 // 4 if read is decode64 else left // 2)
             for size in sizes:
                 last = ends.get(at[k] + chars(size), 0)
                 if last <= k + 1:
                     continue
-                body = code[at[k] : at[last]]
-                if read is decode64 and re.search(rb"[+/]", body) and re.search(rb"[_-]", body):
+                if read is decode64 and _any(plus, at[k], at[last]) and _any(dash, at[k], at[last]):
                     continue
+                body = code[at[k] : at[last]]
                 if (value := read(body)) and (kind := confirm(value)):
                     b = parts[last - 1][1]
                     out.append((parts[k][0], b + len(re.match(rb"={0,2}", text[b : b + 2])[0]), kind))
