@@ -34,10 +34,14 @@ def by_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near copies: the one with the smallest id (of repeated rows, one)."""
+    """Keeps one document of each group of near copies: the one with the smallest id.
+
+    Rows of one id are one document, and different texts of it stay together; of equal rows one stays.
+    Rows without an id are in no group and all stay.
+    """
     groups = ngram_join.join(docs.select("doc_id", "text")).where("doc_id <> component_id").select("doc_id").distinct()
     kept = docs.join(groups, "doc_id", "left_anti")
-    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null")).select(*docs.columns)
+    return kept.where("doc_id is not null").dropDuplicates(["doc_id", "text"]).unionByName(kept.where("doc_id is null")).select(*docs.columns)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
