@@ -86,3 +86,39 @@ def test_nothing_to_deal(spark):
     none = spark.createDataFrame([], "user_id long, item_id long, rating double")
     model = factorization.fit(none, Options(k=2, iterations=1, center=False))
     assert model.users.count() == 0 and model.items.count() == 0
+
+
+def test_implicit_features_have_factors_of_their_own(spark, data):
+    """Both pairs are minimisers of 1/2 sum w (x - m - b_u - b_i - a.b)^2 + w'/2 (|S - A Bi'|^2 + |S' - B Ai'|^2) + lam/2 (all squares)."""
+    cells, ratings = data
+    o = Options(k=3, lam=0.7, weight_col="w", implicit_features=True, w_implicit=0.6)
+    rng = np.random.default_rng(8)
+    table = lambda rows: spark.createDataFrame([(i, [float(x) for x in f]) for i, f in rows.items()], "id long, f array<double>")
+    users, items = {u: rng.normal(size=4) for u in range(12)}, {i: rng.normal(size=4) for i in range(9)}
+    by_user, by_item = blocks.deal(ratings, "user_id", "item_id", "w"), blocks.deal(ratings, "item_id", "user_id", "w")
+    a = np.array([users[u][:3] for u in range(12)])
+    s = np.zeros((12, 9))
+    for u, i, _, _ in cells:
+        s[u, i] = 1
+    seen = factorization.seen_factors(o, by_item, table(users))
+    bi = np.zeros((9, 3))
+    for r in seen.collect():
+        bi[r["id"]] = r["f"]
+    want = np.linalg.solve(o.w_implicit * a.T @ a + o.lam * np.eye(3), o.w_implicit * a.T @ s).T
+    assert np.abs(bi - want).max() < 1e-9
+    got = {r["id"]: np.array(r["f"]) for r in factorization._update(o, by_user, table(items), 2.5, None, None, seen=seen).collect()}
+    for u, f in got.items():
+        gram, rhs = o.lam * np.eye(4), np.zeros(4)
+        gram[:3, :3] += o.w_implicit * bi.T @ bi
+        rhs[:3] += o.w_implicit * s[u] @ bi
+        for v, i, x, w in cells:
+            if v == u:
+                g = np.r_[items[i][:3], 1.0]
+                gram += w * np.outer(g, g)
+                rhs += w * (x - 2.5 - items[i][3]) * g
+        assert np.abs(np.linalg.solve(gram, rhs) - f).max() < 1e-9
+    by_user.drop()
+    by_item.drop()
+    model = factorization.fit(ratings, Options(k=2, lam=0.5, iterations=2, implicit_features=True))
+    warm = {r["id"]: r["f"] for r in model.factors_warm(ratings).collect()}
+    assert all(np.allclose(r["f"], warm[r["id"]], atol=1e-9) for r in model.users.collect())

@@ -83,8 +83,10 @@ class Side:
 
     The other side's factor gives ``width`` shared values from place ``skip`` on; the system has
     ``pad`` unknowns before them and, with ``own_bias``, one after.  The other side's bias is its last
-    value.  ``kind``: 'rating', 'implicit' (confidence 1 + alpha x), or 'zero' (cells without a rating
-    are zeros of weight 1, of which ``base`` has all and the rows correct those that have one).
+    value.  ``kind``: 'rating', 'implicit' (confidence 1 + alpha x), 'zero' (cells without a rating
+    are zeros of weight 1, of which ``base`` has all and the rows correct those that have one), or
+    'seen' (only that there is a rating counts: ``base`` has all cells).  With ``seen_weight``, the
+    other side's factor starts with ``width`` more values, by which a row that is there adds.
     """
 
     width: int
@@ -114,6 +116,8 @@ class Side:
     def terms(self, x: np.ndarray, w: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Weights of f f' in the gram and of f in the right side; ``b`` is the other side's bias."""
         w = w * self.weight
+        if self.kind == "seen":
+            return np.zeros(len(x)), np.full(len(x), self.weight)
         if self.kind == "implicit":
             c = np.log1p(x * self.alpha) if self.log_transform else x * self.alpha
             return c * w, (1.0 + c) * w
@@ -147,7 +151,7 @@ def _solved(side: Side, base: np.ndarray, base_rhs: np.ndarray, finish):
             part = f[place[lo:hi]]
             gram, rhs = (part * wg[lo:hi, None]).T @ part, wr[lo:hi] @ part
             if side.seen_weight:
-                rhs[side.pad : side.pad + side.width] += side.seen_weight * part[:, side.pad : side.pad + side.width].sum(0)
+                rhs[side.pad : side.pad + side.width] += side.seen_weight * g[place[lo:hi], : side.width].sum(0)
             i = int(own[lo])
             out_id.append(i)
             if alone:

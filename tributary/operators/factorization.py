@@ -128,6 +128,7 @@ class Model:
     items: DataFrame
     C: np.ndarray | None = None
     D: np.ndarray | None = None
+    seen: DataFrame | None = None
     history: list[float] = field(default_factory=list)
 
     def _sides(self):
@@ -189,7 +190,9 @@ class Model:
     def factors_warm(self, ratings: DataFrame, features: DataFrame | None = None) -> DataFrame:
         """(id, f) of users from their ratings (and features): one half-step on the new rows."""
         dealt = blocks.deal(ratings, "user_id", "item_id", self.options.weight_col)
-        out = cut(_update(self.options, dealt, self.items, self.mean, self.C, features))
+        if self.options.implicit_features and self.seen is None:
+            raise ValueError("the model has no factors of what was seen")
+        out = cut(_update(self.options, dealt, self.items, self.mean, self.C, features, seen=self.seen))
         dealt.drop()
         return out
 
@@ -206,28 +209,48 @@ class Model:
 def _side(o: Options, mean: float) -> blocks.Side:
     ub, ib = bool(o.user_bias and not o.implicit), bool(o.item_bias and not o.implicit)
     kind = "implicit" if o.implicit else "zero" if o.missing_as_zero else "rating"
-    return blocks.Side(o.k + o.k_main, o.k_item, o.k_user, ub, ib, kind, mean, o.w_main, o.alpha, o.log_transform, o.w_implicit if o.implicit_features else 0.0)
+    n = o.k + o.k_main
+    return blocks.Side(n, o.k_item + (n if o.implicit_features else 0), o.k_user, ub, ib, kind, mean, o.w_main, o.alpha, o.log_transform, o.w_implicit if o.implicit_features else 0.0)
 
 
 def _base(o: Options, other: DataFrame) -> tuple[np.ndarray, np.ndarray, int | None]:
     """(gram, right side, entities) that every system holds: those of all cells, for implicit data, missing-as-zero and implicit features."""
     side = _side(o, 0.0)
     base, rhs = np.zeros((side.size, side.size)), np.zeros(side.size)
-    if not (o.implicit or o.missing_as_zero or o.implicit_features):
+    if o.implicit_features:
+        at = slice(side.pad, side.pad + side.width)
+        seen, _, n = outer_sum(other.select(F.slice("f", 1, side.width).alias("f")))
+        base[at, at] += o.w_implicit * seen if n else 0.0
+    if not (o.implicit or o.missing_as_zero):
         return base, rhs, None
     bias = F.element_at("f", -1) if side.other_bias else F.lit(0.0)
     cells = other.select(F.concat(F.slice("f", side.skip + 1, side.width), F.array(F.lit(1.0)) if side.own_bias else F.array().cast("array<double>")).alias("f"), F.array(bias).alias("b"))
     gram, cross, n = outer_sum(cells, "b")
     if not n:
         return base, rhs, 0
-    if o.implicit or o.missing_as_zero:
-        base[side.pad :, side.pad :] += o.w_main * gram
-    if o.missing_as_zero and not o.implicit:
-        rhs[side.pad :] -= o.w_main * cross[:, 0]  # an empty cell's target is zero less the other side's bias
-    if o.implicit_features:
-        at = slice(side.pad, side.pad + side.width)
-        base[at, at] += o.w_implicit * gram[: side.width, : side.width]
-    return base, rhs, n if o.missing_as_zero and not o.implicit else None
+    base[side.pad :, side.pad :] += o.w_main * gram
+    if o.implicit:
+        return base, rhs, None
+    rhs[side.pad :] -= o.w_main * cross[:, 0]  # an empty cell's target is zero less the other side's bias
+    return base, rhs, n
+
+
+def seen_factors(o: Options, dealt: blocks.Dealt, users: DataFrame) -> DataFrame:
+    """(id, f) of the items' own factors of what was seen: minimisers of w_implicit |1[x seen] - a.b'|^2 over all pairs, plus lam.
+
+    ``dealt`` by item; the users' from the items with options and tables swapped.
+    """
+    n = o.k + o.k_main
+    shared = cut(users.select("id", F.slice("f", o.k_user + 1, n).alias("f")))
+    gram, _, there = outer_sum(shared)
+    base = o.w_implicit * gram if there else np.zeros((n, n))
+    return blocks.half_step(dealt, shared, blocks.Side(n, kind="seen", weight=o.w_implicit), np.full(n, o.lam), base)
+
+
+def _with_seen(items: DataFrame, seen: DataFrame, n: int) -> DataFrame:
+    """The items' factors, each with what ``seen_factors`` gives it in front (zeros for items that nobody rated)."""
+    none = F.array_repeat(F.lit(0.0), n)
+    return items.join(seen.select("id", F.col("f").alias("s")), "id", "left").select("id", F.concat(F.coalesce("s", none), "f").alias("f"))
 
 
 def _feature_rows(features: DataFrame, key: str, c: np.ndarray, weight: float, tail: int) -> DataFrame:
@@ -242,9 +265,11 @@ def _feature_rows(features: DataFrame, key: str, c: np.ndarray, weight: float, t
     return vectors(features, key).mapInPandas(run, ROW)
 
 
-def _update(o: Options, dealt: blocks.Dealt, items: DataFrame, mean: float, c: np.ndarray | None, features: DataFrame | None, key: str = "user_id", social: DataFrame | None = None, users: DataFrame | None = None) -> DataFrame:
+def _update(o: Options, dealt: blocks.Dealt, items: DataFrame, mean: float, c: np.ndarray | None, features: DataFrame | None, key: str = "user_id", social: DataFrame | None = None, users: DataFrame | None = None, seen: DataFrame | None = None) -> DataFrame:
     """(id, f) of the users (of the items, if the options and tables are swapped): one half-step."""
     side = _side(o, mean)
+    if o.implicit_features:
+        items = cut(_with_seen(items, seen, side.width))
     base, rhs, everyone = _base(o, items)
     rows = None
     if features is not None and c is not None:
@@ -289,23 +314,25 @@ def fit(ratings: DataFrame, options: Options = Options(), user_features: DataFra
     users = start(us.distinct(), width_u + o.k_main + ub, o.seed, positive=o.nonneg)
     items = start(its.distinct(), width_i + o.k_main + ib, o.seed + 1, positive=o.nonneg)
     swapped = replace(o, k_user=o.k_item, k_item=o.k_user, w_user=o.w_item, w_item=o.w_user, user_bias=o.item_bias, item_bias=o.user_bias)
-    c = d = None
+    c = d = seen_i = None
     by_user, by_item = blocks.deal(ratings, "user_id", "item_id", o.weight_col), blocks.deal(ratings, "item_id", "user_id", o.weight_col)
     for _ in range(o.iterations):
         if user_features is not None:
             c = _feature_map(users, user_features, "user_id", width_u, o.lam, o.w_user)
         if item_features is not None:
             d = _feature_map(items, item_features, "item_id", width_i, o.lam, o.w_item)
-        items = cut(_update(swapped, by_item, users, mean, d, item_features, "item_id"))
+        seen_u = cut(seen_factors(swapped, by_user, items)) if o.implicit_features else None
+        items = cut(_update(swapped, by_item, users, mean, d, item_features, "item_id", seen=seen_u))
+        seen_i = cut(seen_factors(o, by_item, users)) if o.implicit_features else None
         for _ in range(o.social_sweeps if social is not None and o.lam_social else 1):
-            users = cut(_update(o, by_user, items, mean, c, user_features, "user_id", social if o.lam_social else None, users))
+            users = cut(_update(o, by_user, items, mean, c, user_features, "user_id", social if o.lam_social else None, users, seen_i))
     by_user.drop()
     by_item.drop()
     if user_features is not None:
         c = _feature_map(users, user_features, "user_id", width_u, o.lam, o.w_user)
     if item_features is not None:
         d = _feature_map(items, item_features, "item_id", width_i, o.lam, o.w_item)
-    return Model(o, mean, users, items, c, d)
+    return Model(o, mean, users, items, c, d, seen_i)
 
 
 def fit_offsets(ratings: DataFrame, user_features: DataFrame, item_features: DataFrame | None = None, options: Options = Options()) -> tuple[Model, np.ndarray, np.ndarray | None]:
