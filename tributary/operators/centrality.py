@@ -94,17 +94,18 @@ def eigenvector(nodes: DataFrame, edges: DataFrame, steps: int = 100) -> DataFra
     return _per_network(nodes, edges, ["eigenvector"], compute)
 
 
-def pagerank_beta(nodes: DataFrame, edges: DataFrame, beta: DataFrame, alpha: float = 0.85, tolerance: float = 1e-14) -> DataFrame:
+def pagerank_beta(nodes: DataFrame, edges: DataFrame, beta: DataFrame, alpha: float = 0.85, tolerance: float = 1e-14, rounds: int = 2000) -> DataFrame:
     """(model, net_idx, node, pagerank_lph): the fixed point of x_i = (beta_i + alpha * sum of successors' x)/max(out, 1), scaled to sum 1.
 
-    ``beta(model, net_idx, node, beta)``; nodes without one get (1-alpha)/N.  The map contracts by alpha.
+    ``beta(model, net_idx, node, beta)``; nodes without one get (1-alpha)/N.  The map contracts by alpha, so it
+    settles within some hundred of the ``rounds``; a beta that is not finite gives scores that are not.
     """
 
     def compute(src, dst, n, value):
         b = np.where(np.isnan(value), (1.0 - alpha) / max(n, 1), value)
         out = np.maximum(np.bincount(src, minlength=n), 1)
-        x = b / out
-        while True:
+        x = new = b / out
+        for _ in range(rounds):
             new = (b + alpha * np.bincount(src, weights=x[dst], minlength=n)) / out
             if np.abs(new - x).max(initial=0.0) <= tolerance:
                 break
