@@ -3,6 +3,7 @@
 import base64
 import json
 import random
+import re
 import time
 from itertools import combinations
 
@@ -224,3 +225,33 @@ def test_join_of_ids_with_several_texts(spark):
     while len(x) < 1024:
         x += x.translate(str.maketrans("ab", "ba"))
     assert [k for _, _, k in _joined(spark, [(7, x), (8, x.translate(str.maketrans("ab", "ba")))])] == [7, 8]
+
+
+def test_links_are_decided_by_words():
+    rng = np.random.default_rng(11)
+    for _ in range(300):
+        a = " ".join(rng.choice(["a", "B", "c", "ä"], rng.integers(0, 30)))
+        b = a + " d" * int(rng.integers(0, 3)) if rng.random() < 0.7 else " ".join(rng.choice(["a", "b", "c"], rng.integers(0, 30)))
+        sets = []
+        for text in (a, b):
+            w = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text))
+            sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set()))
+        x, y = sets
+        want = bool(x & y) and 100 * len(x & y) >= 75 * len(x | y)
+        assert ngram_join.words_link(a.encode(), b.encode()) == want
+
+
+def test_chosen_words_and_short_prints_link_nothing_else(spark):
+    # two words that collide where the hash has no key
+    texts = ["eszycidpyopumzgd", "povxgrgb%lx#tv'a", "eszycidpyopumzgd", " ".join(f"w{k}" for k in range(60))]
+    texts.append(texts[3] + " more")
+    rng = np.random.default_rng(12)
+    texts += [" ".join(f"v{k}" for k in rng.integers(0, 9000, rng.integers(1, 40))) for _ in range(400)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    want = list(range(len(texts)))
+    want[2], want[4] = 0, 3
+    for i in range(5, len(texts)):  # one-word texts can be equal by chance
+        want[i] = texts.index(texts[i])
+    for bits in (64, 5):
+        got = {r["doc_id"]: r["component_id"] for r in ngram_join.join(df, print_bits=bits).collect()}
+        assert [got[i] for i in range(len(texts))] == want

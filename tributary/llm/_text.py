@@ -80,14 +80,16 @@ def word_spans(data: np.ndarray, at: np.ndarray, is_word: np.ndarray) -> tuple[n
     return s, e, np.diff(first)
 
 
-def span_hashes(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span's bytes, the same wherever the span stands.
+def span_hashes(data: np.ndarray, s: np.ndarray, e: np.ndarray, key: int = 0) -> np.ndarray:
+    """A 64-bit hash of each span's bytes under a 64-bit key, the same wherever the span stands.
 
     Eight bytes at a time are mixed in, so that no sum or polynomial of the bytes decides; spans of
     more than ``_LONG`` bytes take BLAKE2b.
     """
     size = e - s
     out = mix(size.astype(np.uint64) + _U(_BASE))
+    if key:
+        out = mix(out ^ _U(key))
     if not len(s):
         return out
     padded = np.concatenate([data, np.zeros(8, np.uint8)])
@@ -100,7 +102,7 @@ def span_hashes(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
         at, left = at + 8, left - 8
         some = some[rest > 8]
     for k in np.flatnonzero(size > _LONG).tolist():
-        out[k] = int.from_bytes(blake2b(data[s[k] : e[k]].tobytes(), digest_size=8).digest(), "little")
+        out[k] = int.from_bytes(blake2b(data[s[k] : e[k]].tobytes(), digest_size=8, key=key.to_bytes(8, "little") if key else b"").digest(), "little")
     return out
 
 

@@ -6,8 +6,10 @@ rare first, by a sketch of shingle counts over all documents.  Its l-prefix hold
 least ``min(l, l')`` prefix shingles.  Each document lengthens its prefix while the sketch promises
 that asking for more shared shingles saves more verification than the longer prefix costs.
 
-Classes and components are the result, so groups of copies need no pairs: documents with one set are
-one node, named by a 64-bit print of the set; in turns, every node is tried against stars of its prefix
+Hashes are keyed by random numbers of the run, so that no text can be written to collide.  Classes and
+components are the result, so groups of copies need no pairs: documents with one set are one node,
+named by a 64-bit print of the set; a second print under another key tells sets apart whose first
+prints agree, and then names them.  Pairs that link by hashes are compared word by word.  In turns, every node is tried against stars of its prefix
 shingles, and what links becomes one component; then all pairs of nodes in different components that
 share enough prefix shingles are verified, so no link between components is lost.
 
@@ -19,7 +21,9 @@ differ needs a shingle that only one set holds.  Pairs that the bound rules out
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass, replace
 from functools import reduce
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
@@ -50,10 +54,8 @@ _LOW = np.arange(256, dtype=np.uint8)
 _LOW[0x41:0x5B] += 0x20
 
 
-def shingles(data: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
-    """The sorted distinct shingle hashes of each text; fewer words than ``WORDS`` are one shingle."""
-    s, e, counts = word_spans(data, at, _WORD)
-    word = span_hashes(_LOW[data], s, e)
+def _grams(word: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
+    """The shingle hashes of each text in its order, from its words' hashes; fewer words than ``WORDS`` are one shingle."""
     ends = np.cumsum(counts)
     gram = word.copy()
     if len(word) >= WORDS:
@@ -64,7 +66,7 @@ def shingles(data: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
     out = []
     for n, end in zip(counts.tolist(), ends.tolist(), strict=True):
         if n >= WORDS:
-            out.append(np.unique(gram[end - n : end - WORDS + 1]))
+            out.append(gram[end - n : end - WORDS + 1])
         elif n:
             whole = word[end - n : end - n + 1].copy()
             for k in range(1, n):
@@ -75,6 +77,52 @@ def shingles(data: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
     return out
 
 
+def shingles(data: np.ndarray, at: np.ndarray, key: int = 0) -> list[np.ndarray]:
+    """The sorted distinct shingle hashes of each text under a key."""
+    s, e, counts = word_spans(data, at, _WORD)
+    return [np.unique(x) for x in _grams(span_hashes(_LOW[data], s, e, key), counts)]
+
+
+@dataclass(frozen=True)
+class Prints:
+    """How a run names sets: the keys of the two prints, the bits of the first one, the first prints that several sets have."""
+
+    keys: tuple[int, int]
+    bits: int = 64
+    shared: frozenset[int] = frozenset()
+
+    def both(self, data: np.ndarray, at: np.ndarray) -> list[tuple[np.ndarray, int, int]]:
+        """(set, first print, second print) of each text; the second is made of hashes of the words under its own key."""
+        s, e, counts = word_spans(data, at, _WORD)
+        low, out = _LOW[data], []
+        for x, y in zip(*(_grams(span_hashes(low, s, e, k), counts) for k in self.keys), strict=True):
+            tokens, first = np.unique(x, return_index=True)
+            out.append((tokens, node_of(tokens) >> (64 - self.bits), node_of(y[first])))
+        return out
+
+    def named(self, data: np.ndarray, at: np.ndarray) -> list[tuple[np.ndarray, int]]:
+        """(set, node) of each text: its first print, or the second where several sets have that."""
+        if self.shared:
+            return [(x, alt if node in self.shared else node) for x, node, alt in self.both(data, at)]
+        return [(x, node_of(x) >> (64 - self.bits)) for x in shingles(data, at, self.keys[0])]
+
+
+def words_link(left: bytes, right: bytes) -> bool:
+    """Whether two texts link, decided by the words themselves."""
+    number: dict[bytes, int] = {}
+    a, b = ([number.setdefault(w, len(number)) for w in x.lower().split()] for x in (left, right))
+    if min(len(a), len(b)) < WORDS:
+        return bool(a) and a == b
+    ids = np.array(a + b)
+    # runs of two, four and five words, each numbered by what it is made of
+    two = np.unique(ids[:-1] * len(number) + ids[1:], return_inverse=True)[1]
+    four = np.unique(two[:-2] * len(ids) + two[2:], return_inverse=True)[1]
+    five = four[:-1] * len(number) + ids[4:]
+    x, y = np.unique(five[: len(a) - WORDS + 1]), np.unique(five[len(a) :])
+    common = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * common >= PER_CENT * (len(x) + len(y) - common)
+
+
 def node_of(tokens: np.ndarray) -> int:
     """A 64-bit print that stands for a set: two sums of its mixed hashes and its size, mixed."""
     sums = np.array([np.sum(mix(tokens)), np.sum(mix(tokens ^ _U(0xD6E8FEB86659FD93)))], np.uint64)
@@ -124,26 +172,31 @@ def prefix(tokens: np.ndarray, sketch: np.ndarray, noise: int) -> tuple[np.ndarr
     return tokens[order[: sizes[best]]], int(levels[best])
 
 
-def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row per document (id, node, n, signatures) and, at the end, the partition's counts of shingles in segments."""
-    names = ["id", "n", "node", *_S, "sig", "segment", "counts"]
-    sketch = np.zeros(1 << SKETCH_BITS, np.int64)
-    seen: set[int] = set()
-    for batch in batches:
-        for row, end, data, at in blocks(text_column(batch)):
-            sets = shingles(data, at)
-            nodes, marks = [node_of(x) for x in sets], [signature(x) for x in sets]
-            for node, tokens in zip(nodes, sets, strict=True):
-                if node not in seen:
-                    seen.add(node)
-                    np.add.at(sketch, (tokens >> _U(64 - SKETCH_BITS)).astype(np.int64), 1)
-            n = end - row
-            short = np.stack([folded(x, len(_S)) for x in marks])
-            yield pa.RecordBatch.from_arrays([batch.column("id").slice(row, n), pa.array([len(x) for x in sets], pa.int64()), pa.array(nodes, pa.int64()), *(pa.array(short[:, k]) for k in range(len(_S))), pa.array([x.tobytes() for x in marks], pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
-    parts = [x.astype("<u4").tobytes() for x in np.minimum(sketch, 0xFFFFFFFF).reshape(_SEGMENTS, -1)]
-    if sketch.any():
-        none = pa.nulls(_SEGMENTS, pa.int64())
-        yield pa.RecordBatch.from_arrays([*[none] * (3 + len(_S)), pa.nulls(_SEGMENTS, pa.binary()), pa.array(range(_SEGMENTS), pa.int32()), pa.array(parts, pa.binary())], names)
+def _summaries(docs: DataFrame, prints: Prints) -> DataFrame:
+    """A row per document (id, node, alt, n, signatures) and, for each partition, its counts of shingles in segments."""
+    names = ["id", "n", "node", "alt", *_S, "sig", "segment", "counts"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sketch = np.zeros(1 << SKETCH_BITS, np.int64)
+        seen: set[int] = set()
+        for batch in batches:
+            for row, end, data, at in blocks(text_column(batch)):
+                sets, nodes, alts = zip(*prints.both(data, at), strict=True)
+                marks = [signature(x) for x in sets]
+                for node, tokens in zip(nodes, sets, strict=True):
+                    if node not in seen:
+                        seen.add(node)
+                        np.add.at(sketch, (tokens >> _U(64 - SKETCH_BITS)).astype(np.int64), 1)
+                n = end - row
+                short = np.stack([folded(x, len(_S)) for x in marks])
+                yield pa.RecordBatch.from_arrays([batch.column("id").slice(row, n), pa.array([len(x) for x in sets], pa.int64()), pa.array(nodes, pa.int64()), pa.array(alts, pa.int64()), *(pa.array(short[:, k]) for k in range(len(_S))), pa.array([x.tobytes() for x in marks], pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
+        parts = [x.astype("<u4").tobytes() for x in np.minimum(sketch, 0xFFFFFFFF).reshape(_SEGMENTS, -1)]
+        if sketch.any():
+            none = pa.nulls(_SEGMENTS, pa.int64())
+            yield pa.RecordBatch.from_arrays([*[none] * (4 + len(_S)), pa.nulls(_SEGMENTS, pa.binary()), pa.array(range(_SEGMENTS), pa.int32()), pa.array(parts, pa.binary())], names)
+
+    fields = ", ".join(f"{s} long" for s in _S)
+    return docs.mapInArrow(run, f"id long, n long, node long, alt long, {fields}, sig binary, segment int, counts binary")
 
 
 def _add_counts(part: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,7 +226,7 @@ def noise_of(counts: np.ndarray) -> int:
     return int(middle + 6 * np.median(np.abs(counts - middle))) + 1
 
 
-def _postings(docs: DataFrame, sketch: np.ndarray) -> DataFrame:
+def _postings(docs: DataFrame, sketch: np.ndarray, prints: Prints) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(sketch)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,9 +237,9 @@ def _postings(docs: DataFrame, sketch: np.ndarray) -> DataFrame:
             for row, end, data, at in blocks(text_column(batch)):
                 tokens, nodes, metas, lens, salts = [], [], [], [], []
                 ids = batch.column("id").slice(row, end - row)
-                for known, found in zip(ids.is_valid().to_pylist(), shingles(data, at), strict=True):
+                for known, (found, node) in zip(ids.is_valid().to_pylist(), prints.named(data, at), strict=True):
                     # a copy's entries would say what its first copy's do
-                    if not len(found) or not known or (node := node_of(found)) in seen:
+                    if not len(found) or not known or node in seen:
                         continue
                     seen.add(node)
                     part, need = prefix(found, counts, noise)
@@ -202,24 +255,32 @@ def _postings(docs: DataFrame, sketch: np.ndarray) -> DataFrame:
     return docs.mapInArrow(run, "token long, node long, meta long, salt int")
 
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs whose texts link; the right texts come in runs, so the last one's set is kept."""
-    last: tuple[int, np.ndarray] | None = None
-    for batch in batches:
-        a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-        right = text_column(batch, "right")
-        keep = []
-        lefts: list[np.ndarray] = []
-        for _, _, data, at in blocks(text_column(batch, "left")):
-            lefts += shingles(data, at)
-        for k, (y, x) in enumerate(zip(b, lefts, strict=True)):
-            text = right[k].as_py()
-            if last is None or last[0] != (y, text):
-                data = np.frombuffer(text.encode(), np.uint8)
-                last = ((y, text), shingles(data, np.array([0, len(data)]))[0])
-            common = len(np.intersect1d(x, last[1], assume_unique=True))
-            keep.append(100 * common >= PER_CENT * (len(x) + len(last[1]) - common) and common > 0)
-        yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(keep)), batch.column("b").filter(pa.array(keep))], ["a", "b"])
+def _verify(pairs: DataFrame, key: int) -> DataFrame:
+    """Pairs whose texts link: those that do by hashes are compared by words.
+
+    The right texts come in runs, so the last one's set is kept.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: tuple[int, bytes, np.ndarray] | None = None
+        for batch in batches:
+            b = batch.column("b").to_pylist()
+            left, right = text_column(batch, "left"), text_column(batch, "right")
+            keep = []
+            lefts: list[np.ndarray] = []
+            for _, _, data, at in blocks(left):
+                lefts += shingles(data, at, key)
+            for k, (y, x) in enumerate(zip(b, lefts, strict=True)):
+                text = right[k].as_py().encode()
+                if last is None or last[:2] != (y, text):
+                    data = np.frombuffer(text, np.uint8)
+                    last = y, text, shingles(data, np.array([0, len(data)]), key)[0]
+                common = len(np.intersect1d(x, last[2], assume_unique=True))
+                near = 100 * common >= PER_CENT * (len(x) + len(last[2]) - common) and common > 0
+                keep.append(near and words_link(left[k].as_py().encode(), text))
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(keep, pa.bool_())), batch.column("b").filter(pa.array(keep, pa.bool_()))], ["a", "b"])
+
+    return pairs.select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
 
 
 _MAP_WORDS = 1 << 17
@@ -257,7 +318,7 @@ def near(forms: DataFrame, pairs: DataFrame) -> DataFrame:
     return both.select(*_PAIR, "na", "nb", "siga", "sigb").mapInArrow(_near, "a long, b long, ida long, idb long")
 
 
-def verified(docs: DataFrame, pairs: DataFrame, repeats: bool) -> DataFrame:
+def verified(docs: DataFrame, pairs: DataFrame, repeats: bool, key: int) -> DataFrame:
     """The pairs (a, b) of nodes whose whole texts link.
 
     Sort-merge joins at every size: what small inputs broadcast would not be small on large ones.
@@ -265,7 +326,7 @@ def verified(docs: DataFrame, pairs: DataFrame, repeats: bool) -> DataFrame:
     texts = _among(docs, pairs.select(F.explode(F.array("ida", "idb")).alias("id")).distinct(), repeats)
     left = pairs.hint("merge").join(texts.select(F.col("id").alias("ida"), F.col("text").alias("left")), "ida")
     both = left.hint("merge").join(texts.select(F.col("id").alias("idb"), F.col("text").alias("right")), "idb")
-    out = both.select("a", "b", "left", "right").mapInArrow(_verify, "a long, b long")
+    out = _verify(both, key)
     return out.distinct() if repeats else out
 
 
@@ -388,25 +449,34 @@ def matched(mine: DataFrame, pairs: DataFrame) -> DataFrame:
     return pairs.where("need = 1").select("a", "b").unionByName(both.where(F.size(F.array_intersect("ta", "tb")) >= F.col("need")).select("a", "b"))
 
 
-def join(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
+def join(docs: DataFrame, id_col: str = "doc_id", print_bits: int = 64) -> DataFrame:
     """(id_col, n_shingles, component_id) for each row of ``docs(id_col, text)``; ids are integers.
 
     Two documents link when their sets' Jaccard similarity is 0.75 or more; component_id is the
     smallest id reachable by links, the own id without any.  Null and empty texts, and texts of
     white space, have no shingles and link with nothing.  Rows with one id are one document, whose
     texts all link; a null id links with nothing and has a null component.  An empty table gives no row.
+    With any ``print_bits`` (of the first print of a set) the rows are the same.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("id"), "text")
-    fields = ", ".join(f"{s} long" for s in _S)
-    summaries = scratch.write(docs.mapInArrow(_summaries, f"id long, n long, node long, {fields}, sig binary, segment int, counts binary"), "summaries")
-    rows = summaries.where("segment is null").select("id", "n", "node")
-    some = summaries.where("segment is null and n > 0 and id is not null")
-    forms = scratch.write(some.groupBy("node").agg(F.min("id").alias("id"), F.first("n").alias("n"), *[F.first(s).alias(s) for s in _S], F.first("sig").alias("sig")), "forms")
+    prints = Prints((uuid4().int >> 64 | 1, uuid4().int >> 64 | 1), print_bits)
+    summaries = scratch.write(_summaries(docs, prints), "summaries")
+    rows = summaries.where("segment is null").select("id", "n", "node", "alt", *_S, "sig")
+    kinds = lambda t: t.where("n > 0 and id is not null").groupBy("node").agg(F.min("id").alias("id"), F.first("n").alias("n"), *[F.first(s).alias(s) for s in _S], F.first("sig").alias("sig"), F.min("alt").alias("alt"), F.max("alt").alias("other"))
+    forms = scratch.write(kinds(rows), "forms")
+    # about N * N / 2 ** 65 first prints of N sets stand for several
+    shared = frozenset(r["node"] for r in forms.where("alt <> other").select("node").collect())
+    if shared:
+        prints = replace(prints, shared=shared)
+        rows = rows.withColumn("node", F.when(F.col("node").isin(list(shared)), F.col("alt")).otherwise(F.col("node")))
+        forms = scratch.write(kinds(rows), "forms-apart")
+    some = rows.where("n > 0 and id is not null").select("id", "n", "node")
+    rows = rows.select("id", "n", "node")
     sketch = read_sketch(summaries)
     together = W.partitionBy("token", "salt")
-    entries = _postings(docs, sketch).withColumn("s", F.min(F.struct("node", "meta")).over(together)).withColumn("top", F.max("node").over(together))
+    entries = _postings(docs, sketch, prints).withColumn("s", F.min(F.struct("node", "meta")).over(together)).withColumn("top", F.max("node").over(together))
     # a hot shingle's postings stay, since another salt's documents may hold it; copies in several partitions have equal ones
     entries = entries.where("s.node <> top or salt > 0").select("token", "salt", "node", "meta", F.col("s.node").alias("star"), F.col("s.meta").alias("star_meta")).distinct()
     entries = scratch.write(entries.drop("salt"), "entries")
@@ -420,7 +490,7 @@ def join(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     pairs = scratch.write(near(forms, star_pairs(entries)), "tried0")
     before = None
     for turn in range(1, _TURNS + 1):
-        links.append(scratch.write(verified(docs, pairs, repeats), f"links{turn}"))
+        links.append(scratch.write(verified(docs, pairs, repeats, prints.keys[0]), f"links{turn}"))
         scratch.drop(f"tried{turn - 1}")
         scratch.release()
         labels = components(scratch, joined(), f"labels{turn}-")
@@ -441,7 +511,7 @@ def join(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     pairs = scratch.write(near(forms, matched(mine, pairs)), "close")
     scratch.drop(f"mine{turn}", "cross")
     scratch.release()
-    links.append(scratch.write(verified(docs, pairs, repeats), "rest"))
+    links.append(scratch.write(verified(docs, pairs, repeats, prints.keys[0]), "rest"))
     scratch.drop("close")
     scratch.release()
     labels = scratch.write(components(scratch, joined(), "last"), "components")
