@@ -239,6 +239,9 @@ def test_links_are_decided_by_words():
         x, y = sets
         want = bool(x & y) and 100 * len(x & y) >= 75 * len(x | y)
         assert ngram_join.words_link(a.encode(), b.encode()) == want
+    many = [f"w{k}" for k in range(20_000)]  # so many words that runs are numbered anew
+    assert ngram_join.words_link(" ".join(many).encode(), " ".join(many[:15_004]).encode())
+    assert not ngram_join.words_link(" ".join(many).encode(), " ".join(many[:15_000]).encode())
 
 
 def test_chosen_words_and_short_prints_link_nothing_else(spark):

@@ -109,16 +109,21 @@ class Prints:
 
 def words_link(left: bytes, right: bytes) -> bool:
     """Whether two texts link, decided by the words themselves."""
-    number: dict[bytes, int] = {}
-    a, b = ([number.setdefault(w, len(number)) for w in x.lower().split()] for x in (left, right))
+    a, b = left.lower().split(), right.lower().split()
     if min(len(a), len(b)) < WORDS:
         return bool(a) and a == b
-    ids = np.array(a + b)
-    # runs of two, four and five words, each numbered by what it is made of
-    two = np.unique(ids[:-1] * len(number) + ids[1:], return_inverse=True)[1]
-    four = np.unique(two[:-2] * len(ids) + two[2:], return_inverse=True)[1]
-    five = four[:-1] * len(number) + ids[4:]
-    x, y = np.unique(five[: len(a) - WORDS + 1]), np.unique(five[len(a) :])
+    words = a + b
+    number = {w: k for k, w in enumerate(set(words))}
+    ids = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
+    # a run's number is made of its words' numbers; where it would be too large, the runs so far are numbered anew
+    runs, size = ids, len(number)
+    for k in range(1, WORDS):
+        if size * len(number) >= 1 << 63:
+            runs = np.unique(runs, return_inverse=True)[1]
+            size = len(runs)
+        runs = runs[:-1] * len(number) + ids[k:]
+        size *= len(number)
+    x, y = np.unique(runs[: len(a) - WORDS + 1]), np.unique(runs[len(a) :])
     common = len(np.intersect1d(x, y, assume_unique=True))
     return 100 * common >= PER_CENT * (len(x) + len(y) - common)
 
