@@ -1,4 +1,4 @@
-"""Centrality of all networks at once: PageRank and path metrics by joins keyed by network, spectral scores by a task per network.
+"""Centrality of all networks at once, by joins keyed by network: no task holds a network.
 
 ``nodes(model, net_idx, node)`` and ``edges(model, net_idx, src, dst)``.
 """
@@ -7,8 +7,6 @@ from __future__ import annotations
 
 from functools import reduce
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,83 +36,112 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, steps: i
     return state.select(*KEY, "node", F.col("x").alias("pagerank"))
 
 
-def _per_network(nodes: DataFrame, edges: DataFrame, cols: list[str], compute) -> DataFrame:
-    """(model, net_idx, node, cols): ``compute(src, dst, n, values)`` on each network's index arrays, a task per network.
+#: Steps of a power iteration between two writes; so few that scores not yet scaled stay far from overflow.
+_CHAIN = 10
 
-    ``nodes`` may carry a column value, handed on in node order.
+
+def _known(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges(src, dst)): each once, edges between two different ones of the nodes."""
+    n = nodes.select(*KEY, "node").distinct()
+    e = edges.where("src <> dst").select(*KEY, "src", "dst").distinct()
+    for c in ("src", "dst"):
+        e = e.join(n.withColumnRenamed("node", c), [*KEY, c], "left_semi")
+    return n, e.select(*KEY, "src", "dst")
+
+
+def _passed(state: DataFrame, links: DataFrame, base: DataFrame | None = None) -> DataFrame:
+    """(node, x): each node's sum of w * x over its ``links(a, b, w)`` from nodes of ``state(node, x)``, and its rows of ``base``.
+
+    The state is read once, so steps can follow each other in one plan; sums combine before they are
+    shuffled, and a node with many links may be split by the adaptive join.
     """
-    left = nodes if "value" in nodes.columns else nodes.withColumn("value", F.lit(None).cast("double"))
+    moved = links.join(state.select(*KEY, F.col("node").alias("a"), "x"), [*KEY, "a"]).select(*KEY, F.col("b").alias("node"), (F.col("w") * F.col("x")).alias("x"))
+    moved = moved if base is None else moved.unionByName(base)
+    return moved.groupBy(*KEY, "node").agg(F.sum("x").alias("x"))
 
-    def run(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        a = a.drop_duplicates("node").sort_values("node")
-        ids = a["node"].to_numpy()
-        keep = b["src"].isin(ids) & b["dst"].isin(ids) & (b["src"] != b["dst"])
-        pairs = b.loc[keep, ["src", "dst"]].drop_duplicates()
-        src, dst = (np.searchsorted(ids, pairs[c].to_numpy()) for c in ("src", "dst"))
-        out = pd.DataFrame({"model": key[0], "net_idx": key[1], "node": ids})
-        for c, x in zip(cols, compute(src, dst, len(ids), a["value"].to_numpy(dtype=float, na_value=np.nan)), strict=True):
-            out[c] = x
-        return out
 
-    right = edges.select(*KEY, "src", "dst")
-    schema = "model string, net_idx int, node long, " + ", ".join(f"{c} double" for c in cols)
-    return left.select(*KEY, "node", "value").groupBy(*KEY).cogroup(right.groupBy(*KEY)).applyInPandas(run, schema)
+def _unit(state: DataFrame) -> DataFrame:
+    """A written state scaled to length 1 in each network; one of zeros stays."""
+    norm = state.groupBy(*KEY).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
+    return state.join(norm, KEY).select(*KEY, "node", F.when(F.col("norm") > 0, F.col("x") / F.col("norm")).otherwise(F.col("x")).alias("x"))
 
 
-def _unit(x: np.ndarray) -> np.ndarray:
-    norm = np.sqrt(x @ x)
-    return x / norm if norm > 0 else x
+def _powers(tables: Tables, state: DataFrame, step, steps: int, chain: int) -> DataFrame:
+    """``steps`` steps from a state, scaled and written after every ``chain`` of them."""
+    for done in range(0, steps, chain):
+        for _ in range(min(chain, steps - done)):
+            state = step(state)
+        state = _unit(tables.write(state))
+    return state
 
 
-def hits(nodes: DataFrame, edges: DataFrame, steps: int = 20) -> DataFrame:
-    """(model, net_idx, node, hub_score, auth_score): power iteration, L2-normalised."""
+def _flat(links: DataFrame, a: str, b: str) -> DataFrame:
+    return links.select(*KEY, F.col(a).alias("a"), F.col(b).alias("b"), F.lit(1.0).alias("w"))
 
-    def compute(src, dst, n, _):
-        hub = _unit(np.ones(n))
-        auth = hub
-        for _ in range(steps):
-            auth = _unit(np.bincount(dst, weights=hub[src], minlength=n))
-            hub = _unit(np.bincount(src, weights=auth[dst], minlength=n))
-        return hub, auth
 
-    return _per_network(nodes, edges, ["hub_score", "auth_score"], compute)
+def hits(nodes: DataFrame, edges: DataFrame, steps: int = 20) -> DataFrame:
+    """(model, net_idx, node, hub_score, auth_score): power iteration of ``steps`` (1 or more) rounds, L2-normalised.
+
+    Networks without edges have scores of 0.
+    """
+    tables = Tables(nodes.sparkSession)
+    n, e = _known(nodes, edges)
+    n, e = tables.write(n), tables.write(e)
+    there, back = _flat(e, "src", "dst"), _flat(e, "dst", "src")
+    hub = _powers(tables, n.withColumn("x", F.lit(1.0)), lambda x: _passed(_passed(x, there), back), steps - 1, _CHAIN // 2)
+    auth = _unit(tables.write(_passed(hub, there)))
+    hub = _unit(tables.write(_passed(auth, back)))
+    out = n.join(hub.withColumnRenamed("x", "hub_score"), [*KEY, "node"], "left").join(auth.withColumnRenamed("x", "auth_score"), [*KEY, "node"], "left")
+    out = cut(out.na.fill(0.0, ["hub_score", "auth_score"]))
+    tables.drop()
+    return out
 
 
 def eigenvector(nodes: DataFrame, edges: DataFrame, steps: int = 100) -> DataFrame:
     """(model, net_idx, node, eigenvector): power iteration of A + I on the undirected view (the shift keeps bipartite networks from swinging)."""
+    tables = Tables(nodes.sparkSession)
+    n, e = _known(nodes, edges)
+    n = tables.write(n)
+    links = tables.write(_flat(_both(e), "src", "dst").unionByName(_flat(n, "node", "node")))
+    out = cut(_powers(tables, _unit(n.withColumn("x", F.lit(1.0))), lambda x: _passed(x, links), steps, _CHAIN).withColumnRenamed("x", "eigenvector"))
+    tables.drop()
+    return out
 
-    def compute(src, dst, n, _):
-        pairs = np.unique(np.stack([np.minimum(src, dst), np.maximum(src, dst)]), axis=1)
-        a, b = np.concatenate([pairs, pairs[::-1]], axis=1) if pairs.size else (src, dst)
-        x = _unit(np.ones(n))
-        for _ in range(steps):
-            x = _unit(x + np.bincount(b, weights=x[a], minlength=n))
-        return (x,)
-
-    return _per_network(nodes, edges, ["eigenvector"], compute)
 
-
-def pagerank_beta(nodes: DataFrame, edges: DataFrame, beta: DataFrame, alpha: float = 0.85, tolerance: float = 1e-14, rounds: int = 2000) -> DataFrame:
+def pagerank_beta(nodes: DataFrame, edges: DataFrame, beta: DataFrame, alpha: float = 0.85, tolerance: float = 1e-13, rounds: int = 2000) -> DataFrame:
     """(model, net_idx, node, pagerank_lph): the fixed point of x_i = (beta_i + alpha * sum of successors' x)/max(out, 1), scaled to sum 1.
 
     ``beta(model, net_idx, node, beta)``; nodes without one get (1-alpha)/N.  The map contracts by alpha, so it
-    settles within some hundred of the ``rounds``; a beta that is not finite gives scores that are not.
+    settles within some hundred of the ``rounds``: once ``_CHAIN`` of them change no finite score by more than
+    ``tolerance`` (of the largest, where that is above 1).  A beta that is not finite gives scores that are not.
     """
-
-    def compute(src, dst, n, value):
-        b = np.where(np.isnan(value), (1.0 - alpha) / max(n, 1), value)
-        out = np.maximum(np.bincount(src, minlength=n), 1)
-        x = new = b / out
-        for _ in range(rounds):
-            new = (b + alpha * np.bincount(src, weights=x[dst], minlength=n)) / out
-            if np.abs(new - x).max(initial=0.0) <= tolerance:
-                break
-            x = new
-        x = np.maximum(new, 0.0)
-        return (x / x.sum() if x.sum() > 0 else x,)
-
-    valued = nodes.select(*KEY, "node").join(beta.select(*KEY, "node", F.col("beta").alias("value")), [*KEY, "node"], "left")
-    return _per_network(valued, edges, ["pagerank_lph"], compute)
+    tables = Tables(nodes.sparkSession)
+    n, e = _known(nodes, edges)
+    n, e = tables.write(n), tables.write(e)
+    own = n.join(n.groupBy(*KEY).agg(F.count("*").alias("size")), KEY).join(beta.select(*KEY, "node", F.col("beta").cast("double").alias("beta")), [*KEY, "node"], "left")
+    own = own.join(e.groupBy(*KEY, F.col("src").alias("node")).agg(F.count("*").alias("out")), [*KEY, "node"], "left")
+    share = F.nanvl(F.coalesce("beta", F.lit(float("nan"))), (1.0 - alpha) / F.col("size"))
+    base = tables.write(own.select(*KEY, "node", (share / F.coalesce("out", F.lit(1))).alias("x")))
+    out = e.groupBy(*KEY, "src").agg(F.count("*").alias("out"))
+    links = tables.write(e.join(out, [*KEY, "src"]).select(*KEY, F.col("dst").alias("a"), F.col("src").alias("b"), (alpha / F.col("out")).alias("w")))
+    state, done = base, 0
+    while done < rounds:
+        new = state
+        for _ in range(min(_CHAIN, rounds - done)):
+            new = _passed(new, links, base)
+        new = tables.write(new)
+        done += _CHAIN
+        both = new.join(state.withColumnRenamed("x", "y"), [*KEY, "node"]).select(F.abs(F.col("x") - F.col("y")).alias("change"), F.abs("x").alias("x"))
+        both = both.where(F.col("change") < float("inf"))
+        most = both.agg(F.max("change").alias("change"), F.max("x").alias("x")).first()
+        state = new
+        if most["change"] is None or most["change"] <= tolerance * max(1.0, most["x"]):
+            break
+    x = F.greatest("x", F.lit(0.0))
+    total = state.groupBy(*KEY).agg(F.sum(x).alias("total"))
+    result = cut(state.join(total, KEY).select(*KEY, "node", F.when(F.col("total") > 0, x / F.col("total")).otherwise(x).alias("pagerank_lph")))
+    tables.drop()
+    return result
 
 
 def softmax_beta(scores: DataFrame, alpha: float = 0.85) -> DataFrame:
