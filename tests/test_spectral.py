@@ -1,4 +1,4 @@
-"""HITS, eigenvector and PageRank with own teleport against dense iterations, network by network."""
+"""HITS, eigenvector, PageRank with own teleport and clustering against dense matrices, network by network."""
 
 import numpy as np
 import pytest
@@ -87,3 +87,14 @@ def test_no_nodes_and_endless_beta(spark, networks):
     assert centrality.pagerank_beta(none, e, beta).count() == 0
     got = centrality.pagerank_beta(n, e, beta).where("net_idx = 0").toPandas()["pagerank_lph"]
     assert not np.isfinite(got).all()
+
+
+def test_local_clustering(networks):
+    nodes, edges, n, e = networks
+    e = e.where("src % 10 = 0 and dst % 10 = 0")
+    rows = centrality.local_clustering(n, e).collect()
+    for net in range(3):
+        ids, a = dense(nodes, edges, net)
+        a = np.maximum(a, a.T)
+        d = a.sum(axis=1)
+        held(rows, net, ids, np.diag(a @ a @ a) / np.maximum(d * (d - 1), 1), "clustering")

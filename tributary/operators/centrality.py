@@ -239,11 +239,17 @@ def bundle(nodes: DataFrame, edges: DataFrame, beta: DataFrame | None = None) ->
 
 
 def local_clustering(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(model, net_idx, node, clustering) on the undirected view."""
-    u = _both(edges)
+    """(model, net_idx, node, clustering) on the undirected view: triangles over pairs of neighbours, 0 below two.
+
+    Edges point to the end of larger degree, so that a hub is the start of few wedges; a closed wedge
+    is one triangle, counted at its three nodes.
+    """
+    u = cut(_both(edges))
     deg = u.groupBy(*KEY, F.col("src").alias("node")).agg(F.count("*").alias("d"))
-    half = u.where("src < dst")
-    wedge = u.alias("p").join(u.alias("q"), [*KEY, "src"]).where("p.dst < q.dst").select(*KEY, F.col("src").alias("node"), F.col("p.dst").alias("a"), F.col("q.dst").alias("b"))
-    closed = wedge.join(half.select(*KEY, F.col("src").alias("a"), F.col("dst").alias("b")), [*KEY, "a", "b"], "left_semi").groupBy(*KEY, "node").agg(F.count("*").alias("t"))
-    j = nodes.select(*KEY, "node").join(deg, [*KEY, "node"], "left").join(closed, [*KEY, "node"], "left").na.fill(0)
+    rank = lambda c, name: deg.select(*KEY, F.col("node").alias(c), F.struct("d", F.col("node").alias("v")).alias(name))
+    up = cut(u.join(rank("src", "x"), [*KEY, "src"]).join(rank("dst", "y"), [*KEY, "dst"]).where("x < y").select(*KEY, "src", "dst", "y"))
+    wedge = up.alias("p").join(up.alias("q"), [*KEY, "src"]).where("p.y < q.y").select(*KEY, F.col("src").alias("low"), F.col("p.dst").alias("a"), F.col("q.dst").alias("b"))
+    closed = wedge.join(up.select(*KEY, F.col("src").alias("a"), F.col("dst").alias("b")), [*KEY, "a", "b"], "left_semi")
+    each = closed.select(*KEY, F.explode(F.array("low", "a", "b")).alias("node")).groupBy(*KEY, "node").agg(F.count("*").alias("t"))
+    j = nodes.select(*KEY, "node").distinct().join(deg, [*KEY, "node"], "left").join(each, [*KEY, "node"], "left").na.fill(0, ["d", "t"])
     return j.select(*KEY, "node", F.when(F.col("d") > 1, 2.0 * F.col("t") / (F.col("d") * (F.col("d") - 1))).otherwise(0.0).alias("clustering"))
