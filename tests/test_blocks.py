@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from tributary.operators import blocks, factorization
+from tributary.operators import biases, blocks, factorization
 from tributary.operators.factorization import Options
 
 
@@ -122,3 +122,26 @@ def test_implicit_features_have_factors_of_their_own(spark, data):
     model = factorization.fit(ratings, Options(k=2, lam=0.5, iterations=2, implicit_features=True))
     warm = {r["id"]: r["f"] for r in model.factors_warm(ratings).collect()}
     assert all(np.allclose(r["f"], warm[r["id"]], atol=1e-9) for r in model.users.collect())
+
+
+def test_near_ids_share_blocks(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "BLOCK_ROWS", 200)
+    ratings = spark.range(10 * 20 * 10).selectExpr("id div 200 * 1000 + id % 20 as user_id", "id div 200 * 1000 + id div 20 % 10 as item_id", "double(id % 5) as rating")
+    dealt = blocks.deal(ratings, "user_id", "item_id")
+    assert dealt.routes.select("block").distinct().count() >= 8
+    assert dealt.routes.count() <= 3 * 10 * 10  # by a hash of the user, an item would be in nearly all blocks
+    dealt.drop()
+
+
+def test_biases_equal_plain_passes(spark, data, monkeypatch):
+    monkeypatch.setattr(blocks, "BLOCK_ROWS", 4)
+    cells = data[0]
+    bu, bi = {}, {}
+    for _ in range(3):
+        for mine, other, at in ((bi, bu, 1), (bu, bi, 0)):
+            for k in {c[at] for c in cells}:
+                rows = [c for c in cells if c[at] == k]
+                mine[k] = sum(c[2] - 2.5 - other.get(c[1 - at], 0.0) for c in rows) / (len(rows) + 10.0)
+    users, items = biases.two_sided(data[1], 2.5, passes=3)
+    assert {r[0]: r[1] for r in users.collect()} == pytest.approx(bu)
+    assert {r[0]: r[1] for r in items.collect()} == pytest.approx(bi)

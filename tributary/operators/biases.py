@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.lineage import written
+from . import blocks
 
 _TINY = math.sqrt(2.220446049250313e-16)
 
@@ -27,17 +29,20 @@ def one_sided(ratings: DataFrame, by: str, mean: float, lam: float = 10.0) -> Da
 def two_sided(ratings: DataFrame, mean: float, lam_user: float = 10.0, lam_item: float = 10.0, passes: int = 5) -> tuple[DataFrame, DataFrame]:
     """((user_id, user_bias), (item_id, item_bias)): alternating passes, items first.
 
-    Each pass reads the ratings twice, joined with one side's biases (a table of known size, broadcast
-    only where that is small), and sums them; partial sums combine before the shuffle.
+    A bias is a factor of no values but its own, so a pass is two half-steps over ratings that are dealt once.
     """
-    r = written(ratings.where("rating is not null").select("user_id", "item_id", (F.col("rating") - mean).alias("x")))
-    users: DataFrame | None = None
+    by_user, by_item = blocks.deal(ratings, "user_id", "item_id"), blocks.deal(ratings, "item_id", "user_id")
+    side = blocks.Side(0, own_bias=True, other_bias=True, mean=mean)
+    step = lambda dealt, other, lam: written(blocks.half_step(dealt, other, side, np.full(1, lam), np.zeros((1, 1))))
+    users = by_user.ratings.select("id").distinct().select("id", F.array(F.lit(0.0)).alias("f"))
     items = None
     for _ in range(passes):
-        left = r.withColumn("user_bias", F.lit(0.0)) if users is None else r.join(users, "user_id")
-        items = written(left.groupBy("item_id").agg((F.sum(F.col("x") - F.col("user_bias")) / (F.count("*") + lam_item)).alias("item_bias")))
-        users = written(r.join(items, "item_id").groupBy("user_id").agg((F.sum(F.col("x") - F.col("item_bias")) / (F.count("*") + lam_user)).alias("user_bias")))
-    return users, items
+        items = step(by_item, users, lam_item)
+        users = step(by_user, items, lam_user)
+    by_user.drop()
+    by_item.drop()
+    bias = lambda t, key, name: t.select(F.col("id").alias(key), F.element_at("f", 1).alias(name))
+    return bias(users, "user_id", "user_bias"), bias(items, "item_id", "item_bias")
 
 
 def predict(rows: DataFrame, mean: float, users: DataFrame, items: DataFrame, low: float | None = None, high: float | None = None) -> DataFrame:

@@ -284,7 +284,7 @@ def _update(o: Options, dealt: blocks.Dealt, items: DataFrame, mean: float, c: n
         weight = 2.0 * o.lam_social * F.col("weight")
         ties = tied.select("id", weight.alias("wr"), weight.alias("dg"), f.alias("f"))
         rows = ties if rows is None else rows.unionByName(ties)
-    minimise = lambda g, r: solve(g, r, o.nonneg, o.l1)
+    minimise = (lambda g, r: solve(g, r, o.nonneg, o.l1)) if o.nonneg or o.l1 else None
     return blocks.half_step(dealt, items, side, np.full(side.size, o.lam), base, rhs, extras_of(rows) if rows is not None else None, o.scale_lam, everyone, minimise)
 
 
