@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from tributary.operators import evaluation, factorization, topn
+from tributary.plans import queries
 
 
 @pytest.fixture(scope="module")
@@ -94,3 +95,32 @@ def test_nothing_to_rank(spark, world):
     _, _, ud, it, _, kd = world
     assert topn.top_n(ud.where("false"), it, 3).count() == 0
     assert topn.top_n(ud, it.where("false"), 3).count() == 0
+
+
+def test_one_order_for_all_users_equals_the_full_table(spark, world, monkeypatch):
+    _, _, _, _, known, kd = world
+    score = {i: None if i % 37 == 0 else float(i * 7 % 50) for i in range(300)}
+    scores = spark.createDataFrame(list(score.items()), "item_id long, score double").repartition(5)
+    kd = kd.union(kd.where("user_id < 3")).union(spark.createDataFrame([(38, i) for i in range(300)] + [(0, 999)], kd.schema))
+    asked = spark.createDataFrame([(u,) for u in range(41)], "user_id long")
+    have = {tuple(r) for r in kd.collect()}
+    full = [(u, i, s) for u in range(41) for i, s in score.items() if (u, i) not in have]
+    scored = spark.createDataFrame(full, "user_id long, item_id long, score double")
+    want = {tuple(r) for r in evaluation.top_n(scored, 5).collect()}
+    for most in (topn.FIRST_PLACES, 3):
+        monkeypatch.setattr(topn, "FIRST_PLACES", most)
+        assert {tuple(r) for r in topn.top_n_by_order(asked, scores, 5, kd).collect()} == want
+    assert topn.top_n_by_order(asked, scores, 5).where("rank = 5").count() == 41
+    rng = np.random.default_rng(3)
+    test = [(u, int(i), float(rng.integers(1, 6))) for u in range(0, 41, 2) for i in rng.choice(320, 6, replace=False)]
+    td = spark.createDataFrame(test + test[:9], "user_id long, item_id long, rating double")
+    for threshold in (None, 4.0):
+        want = {r["user_id"]: tuple(r)[1:] for r in evaluation.ranking_by_user(scored, td, 5, threshold).collect()}
+        got = {r["user_id"]: tuple(r)[1:] for r in topn.ranking_by_order(scores, td, kd, 5, threshold).collect()}
+        assert set(got) == set(want)
+        assert all(got[u] == pytest.approx(want[u]) for u in want)
+
+
+def test_counting_candidates_fits_no_biases(spark, monkeypatch):
+    monkeypatch.setattr(queries.biases, "two_sided", None)
+    assert queries.QUERIES["candidate_counts"](spark, "/root/testdata/sf0.001").count() > 0

@@ -4,6 +4,9 @@ Items lie in blocks by the length of their vector, longest first.  By Cauchy-Sch
 block scores above the user's length times the block's longest, so a user is sent only to blocks
 that can still hold one of the best; the first blocks, taken in doubling rounds, set the bar.
 Block and users meet in cells of bounded size as one matrix product.
+
+Where items have one order for all users, their places in it are found by one sort, and a user's
+ranks are these places less the items the user has before them (``top_n_by_order``, ``ranking_by_order``).
 """
 
 from __future__ import annotations
@@ -11,12 +14,15 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.lineage import Tables, cut
 
 #: Items in a block, and users in a cell.
 BLOCK_ITEMS, CELL_USERS = 4096, 4096
+#: Places of the common order up to which items are broadcast to users.
+FIRST_PLACES = 100_000
 _STATE = "user_id long, f array<double>, skip array<long>, score double, item long, length double, top array<struct<score:double,item_id:long>>, above long"
 _FOUND = "user_id long, top array<struct<score:double,item_id:long>>, above long"
 
@@ -160,6 +166,74 @@ def ranking_by_user(users: DataFrame, items: DataFrame, test: DataFrame, known:
     return j.select("user_id", (hit / k).alias("precision_at_k"), (hit / F.col("n")).alias("recall_at_k"), (F.coalesce("dcg", F.lit(0.0)) / ideal).alias("ndcg_at_k"), F.when(F.col("ranked") == 1, 1.0 / (F.col("above") + 1)).otherwise(0.0).alias("rr"))
 
 
+def _places(scores: DataFrame, tables: Tables) -> DataFrame:
+    """(item_id, score, place) of ``scores(item_id, score)``: places from 1 by (score descending, nulls last, item), from one range sort."""
+    rows = tables.write(scores.dropDuplicates(["item_id"]).orderBy(F.desc_nulls_last("score"), "item_id").withColumn("at", F.monotonically_increasing_id()))
+    sizes = rows.groupBy(F.shiftright("at", 33).alias("part")).agg(F.count("*").alias("n")).orderBy("part").collect()  # a row for every sorted partition
+    starts = np.cumsum([0, *[r["n"] for r in sizes]]).tolist()
+    before = scores.sparkSession.createDataFrame([(r["part"], k) for r, k in zip(sizes, starts, strict=False)], "part long, before long")
+    place = F.col("at").bitwiseAND((1 << 33) - 1) + F.col("before") + 1
+    return tables.write(rows.withColumn("part", F.shiftright("at", 33)).join(F.broadcast(before), "part").select("item_id", "score", place.alias("place")))
+
+
+def top_n_by_order(users: DataFrame, scores: DataFrame, n: int = 10, known: DataFrame | None = None) -> DataFrame:
+    """(user_id, item_id, score, rank): as ``top_n``, where ``scores(item_id, score)`` holds for all users.
+
+    A user's j-th item has place j plus the items the user has of which fewer than j others stand before.
+    """
+    tables = Tables(users.sparkSession)
+    places = _places(scores, tables)
+    asked = users.select("user_id").distinct()
+    if known is None:
+        wanted = asked.withColumn("place", F.explode(F.sequence(F.lit(1), F.lit(n)))).withColumn("rank", F.col("place"))
+    else:
+        have = known.select("user_id", "item_id").join(asked, "user_id", "left_semi").join(places.select("item_id", "place"), "item_id")
+        own = W.partitionBy("user_id").orderBy("place")
+        # dense_rank, so that an item known twice counts once
+        have = have.select("user_id", "place", F.dense_rank().over(own).alias("k")).where(F.col("place") - F.col("k") < n).distinct()
+        jumps = have.groupBy("user_id").agg(F.array(*[F.count(F.when(F.col("place") - F.col("k") < j, 1)) for j in range(1, n + 1)]).alias("jumps"))
+        jumps = asked.join(jumps, "user_id", "left").select("user_id", F.coalesce("jumps", F.array_repeat(F.lit(0).cast("long"), n)).alias("jumps"))
+        wanted = jumps.select("user_id", F.posexplode("jumps").alias("at", "jump")).select("user_id", (F.col("at") + 1 + F.col("jump")).alias("place"), (F.col("at") + 1).alias("rank"))
+    wanted = tables.write(wanted)
+    last = wanted.agg(F.max("place")).first()[0] or 0
+    first = places.where(F.col("place") <= last)
+    out = cut(wanted.join(F.broadcast(first) if last <= FIRST_PLACES else first, "place").select("user_id", "item_id", "score", "rank"))
+    tables.drop()
+    return out
+
+
+def ranking_by_order(scores: DataFrame, test: DataFrame, known: DataFrame, k: int = 10, threshold: float | None = None) -> DataFrame:
+    """As ``ranking_by_user``, of all users with relevant items, where ``scores(item_id, score)`` holds for all of them.
+
+    A relevant item's rank is its place in the order less the items the user has before it.
+    """
+    tables = Tables(scores.sparkSession)
+    places = _places(scores, tables)
+    size = places.count()
+    relevant = (test if threshold is None else test.where(F.col("rating") >= threshold)).select("user_id", "item_id")
+    n = relevant.distinct().groupBy("user_id").agg(F.count("*").alias("n"))
+    have = known.select("user_id", "item_id").join(relevant.select("user_id").distinct(), "user_id", "left_semi")
+    rows = have.withColumn("asked", F.lit(0)).unionByName(relevant.withColumn("asked", F.lit(1))).join(places.select("item_id", "place"), "item_id")
+    own = W.partitionBy("user_id").orderBy("place", "asked")
+    # what stands twice counts once, and not as relevant where the user has it
+    rows = rows.select("user_id", "place", "asked", F.coalesce(F.lag("place").over(own) != F.col("place"), F.lit(True)).alias("new"))
+    mine = F.when(F.col("new") & (F.col("asked") == 0), 1).otherwise(0)
+    rows = rows.select("*", mine.alias("mine"), F.sum(mine).over(own.rowsBetween(W.unboundedPreceding, W.currentRow)).alias("before"))
+    rank = F.when(F.col("new") & (F.col("asked") == 1), F.col("place") - F.col("before"))
+    found = rows.select("user_id", "mine", rank.alias("rank")).groupBy("user_id").agg(
+        F.count(F.when(F.col("rank") <= k, 1)).alias("hits"),
+        F.sum(F.when(F.col("rank") <= k, 1.0 / F.log2(F.col("rank") + 1.0))).alias("dcg"),
+        F.min("rank").alias("first"),
+        F.sum("mine").alias("have"),
+    )
+    ideal = F.aggregate(F.sequence(F.lit(1), F.least("n", F.lit(k)).cast("int")), F.lit(0.0), lambda s, i: s + 1.0 / F.log2(i + 1.0))
+    j = n.join(found, "user_id", "left").where(F.coalesce("have", F.lit(0)) < size)
+    hit = F.coalesce("hits", F.lit(0))
+    out = cut(j.select("user_id", (hit / k).alias("precision_at_k"), (hit / F.col("n")).alias("recall_at_k"), (F.coalesce("dcg", F.lit(0.0)) / ideal).alias("ndcg_at_k"), F.coalesce(1.0 / F.col("first"), F.lit(0.0)).alias("rr")))
+    tables.drop()
+    return out
+
+
 def candidate_counts(users: DataFrame, items: DataFrame, known: DataFrame) -> DataFrame:
     """(user_id, n): the items of the catalogue that a user does not have yet, counted without listing them; users with none are left out."""
     catalogue = items.select("item_id").distinct()
