@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tributary.operators import biases, blocks, factorization
 from tributary.operators.factorization import Options
@@ -145,3 +146,11 @@ def test_biases_equal_plain_passes(spark, data, monkeypatch):
     users, items = biases.two_sided(data[1], 2.5, passes=3)
     assert {r[0]: r[1] for r in users.collect()} == pytest.approx(bu)
     assert {r[0]: r[1] for r in items.collect()} == pytest.approx(bi)
+
+
+def test_features_are_computed_once(spark, data):
+    seen = spark.sparkContext.accumulator(0)
+    count = F.udf(lambda u: seen.add(1) or float(u), "double").asNondeterministic()
+    features = spark.range(12).select(F.col("id").alias("user_id"), count("id").alias("x"))
+    factorization.fit(data[1], Options(k=2, iterations=2), user_features=features).users.count()
+    assert seen.value == 12

@@ -72,11 +72,11 @@ def solve(gram: np.ndarray, rhs: np.ndarray, nonneg: bool = False, l1: float = 0
 ROW = "id long, wr double, dg double, f array<double>"
 
 
-def extras_of(rows: DataFrame) -> DataFrame:
-    """(id, f): each entity's rows summed, f holding the right side and then the diagonal."""
-    parts = rows.select("id", F.posexplode(F.concat(F.transform("f", lambda x: x * F.col("wr")), F.array("dg"))))
-    summed = parts.groupBy("id", "pos").agg(F.sum("col").alias("v")).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", "v"))).alias("e"))
-    return summed.select("id", F.transform("e", lambda x: x["v"]).alias("f"))
+def extras_of(rows: DataFrame, size: int | None = None) -> DataFrame:
+    """(id, f): each entity's rows summed, f holding the ``size`` values of the right side (as many as the first row has) and then the diagonal."""
+    size = size if size is not None else (rows.select(F.size("f")).first() or [0])[0]
+    sums = [F.sum(F.element_at("f", j) * F.col("wr")) for j in range(1, size + 1)]
+    return rows.groupBy("id").agg(F.array(*sums, F.sum("dg")).alias("f"))
 
 
 def outer_sum(left: DataFrame, right_cols: str | None = None) -> tuple[np.ndarray, np.ndarray | None, int]:
@@ -285,7 +285,7 @@ def _update(o: Options, dealt: blocks.Dealt, items: DataFrame, mean: float, c: n
         ties = tied.select("id", weight.alias("wr"), weight.alias("dg"), f.alias("f"))
         rows = ties if rows is None else rows.unionByName(ties)
     minimise = (lambda g, r: solve(g, r, o.nonneg, o.l1)) if o.nonneg or o.l1 else None
-    return blocks.half_step(dealt, items, side, np.full(side.size, o.lam), base, rhs, extras_of(rows) if rows is not None else None, o.scale_lam, everyone, minimise)
+    return blocks.half_step(dealt, items, side, np.full(side.size, o.lam), base, rhs, extras_of(rows, side.size) if rows is not None else None, o.scale_lam, everyone, minimise)
 
 
 def _feature_map(factors: DataFrame, features: DataFrame, key: str, width: int, lam: float, weight: float) -> np.ndarray:
@@ -299,9 +299,10 @@ def fit(ratings: DataFrame, options: Options = Options(), user_features: DataFra
     """Fit (user_id, item_id, rating).  Entities with features but no rating get factors from these.
 
     Each iteration: C and D, then items, then users (with ``social`` ties: some sweeps).  ``social``
-    has (u, v, weight), each tie once.
+    has (u, v, weight), each tie once.  Features and ties are read in every half-step, so they are computed once.
     """
     o = options
+    user_features, item_features, social = (t if t is None else cut(t) for t in (user_features, item_features, social))
     ub, ib = int(o.user_bias and not o.implicit), int(o.item_bias and not o.implicit)
     mean = biases.global_mean(ratings, o.weight_col, o.nonneg) if o.center and not o.implicit and not o.missing_as_zero else 0.0
     us = ratings.select(F.col("user_id").cast("long").alias("id"))
