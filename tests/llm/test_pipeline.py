@@ -58,3 +58,14 @@ def test_texts_that_share_an_id_stay_together(spark):
     key = lambda r: (str(r[0]), str(r[1]))
     assert sorted([(r["doc_id"], r["text"]) for r in got.collect()], key=key) == sorted([(1, long), (1, "another text of the first document"), (3, "a text by itself"), (None, long), (None, long), (4, None), (5, "")], key=key)
     assert corpus_pipeline.without_near_copies(spark, docs.where("false"), SF).count() == 0
+
+
+def test_documents_beside_a_component_meet_several_of_its_members_whole(spark):
+    from tributary.llm import ngram_join
+
+    meta = lambda pos: (((140 << 28) + pos) << 4) + 12
+    rows = [(token, node, meta(token + 1), 1 if node < 9 else node, 8 if node < 9 else 1) for token in range(30) for node in (*range(1, 9), 90)]
+    mine = spark.createDataFrame(rows, "token long, node long, meta long, component long, size long")
+    met = ngram_join.next_stars(mine, 1).where("node = 90").groupBy("star").count().collect()
+    assert len(met) > 1 and {r["count"] for r in met} == {30}
+    assert ngram_join.crossings(mine) == (30, 30 * 7)

@@ -45,6 +45,10 @@ _FIRST = 8
 _TURNS = 6
 #: Meetings of components for each row that the last step takes on rather than have another turn.
 _MEET = 32
+#: Meetings of a token's largest component's further members with other components, for each row, that it takes on.
+_WIDE = 4
+#: Members of a component that documents outside try in a turn.
+_STARS = 3
 #: A shingle that the sketch counts this often above its noise is dealt to several tasks.
 _HOT = 50_000
 _LEVELS = np.array([1, 2, 3, 4, 6, 8, 12])
@@ -370,11 +374,22 @@ def star_pairs(near: DataFrame, tries: int = 2) -> DataFrame:
 
 
 def next_stars(mine: DataFrame, turn: int) -> DataFrame:
-    """Rows for ``star_pairs`` once components are known: a shingle's star is one of its documents, of its largest
-    component (then by a hash that changes with the turn); documents of that component are left out."""
-    key = F.least("size", F.lit(1 << 30)) * (1 << 32) + F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(1 << 32))
-    stars = mine.groupBy("token").agg(F.max_by("node", key).alias("star"), F.max_by("meta", key).alias("star_meta"), F.max_by("component", key).alias("other"))
-    return mine.join(stars, "token").where("component <> other")
+    """Rows for ``star_pairs`` once components are known: a shingle's stars are documents of its largest component;
+    documents of that component are left out.
+
+    One is the shingle's own, by a hash that changes with the turn.  The others are the component's, ``_STARS`` at
+    most and the same for all its shingles: a document beside it meets a star in every shingle that both hold, so
+    what they share is counted whole.
+    """
+    hashed = lambda c, *more: F.xxhash64(c, F.lit(turn), *map(F.lit, more))
+    key = F.least("size", F.lit(1 << 30)) * (1 << 32) + F.pmod(hashed("node"), F.lit(1 << 32))
+    own = mine.groupBy("token").agg(F.max_by("node", key).alias("star"), F.max_by("meta", key).alias("star_meta"), F.max_by("component", key).alias("other"))
+    several = mine.where("size > 1")
+    heads = several.groupBy("component").agg(F.array_distinct(F.array(*[F.max_by("node", hashed("node", k)) for k in range(_STARS)])).alias("heads"))
+    heads = heads.select(F.col("component").alias("other"), F.explode("heads").alias("star"))
+    shared = several.select("token", F.col("node").alias("star"), F.col("meta").alias("star_meta"), F.col("component").alias("other"))
+    shared = shared.join(heads, ["other", "star"]).join(own.select("token", "other"), ["token", "other"]).select("token", "star", "star_meta", "other")
+    return mine.join(own.unionByName(shared).distinct(), "token").where("component <> other")
 
 
 def labelled(entries: DataFrame, labels: DataFrame) -> DataFrame:
@@ -386,11 +401,16 @@ def labelled(entries: DataFrame, labels: DataFrame) -> DataFrame:
     return mine.join(mixed, "token", "left_semi")
 
 
-def crossings(mine: DataFrame) -> int:
-    """How many pairs of components meet in the part of the prefixes that counts for sets of one size, once for each shingle."""
+def crossings(mine: DataFrame) -> tuple[int, int]:
+    """What meets in the part of the prefixes that counts for sets of one size, once for each shingle.
+
+    (pairs of components, pairs of a component and a further member of the shingle's largest one: what
+    the last step compares with a large component that all but a few of its documents have joined).
+    """
     near = mine.withColumns(_parts("meta")).where("7 * (pos - need) <= n")
-    each = near.groupBy("token", "component").agg(F.count("*").alias("n")).groupBy("token").agg(F.count("*").alias("m"))
-    return each.agg(F.sum(F.col("m") * (F.col("m") - 1) / 2)).first()[0] or 0
+    each = near.groupBy("token", "component").agg(F.count("*").alias("n")).groupBy("token").agg(F.count("*").alias("m"), F.max("n").alias("top"))
+    left, wide = each.agg(F.sum(F.col("m") * (F.col("m") - 1) / 2), F.sum((F.col("m") - 1) * (F.col("top") - 1))).first()
+    return left or 0, wide or 0
 
 
 def meetings(scratch: Scratch, mine: DataFrame, forms: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -501,12 +521,13 @@ def join(docs: DataFrame, id_col: str = "doc_id", print_bits: int = 64) -> DataF
         labels = components(scratch, joined(), f"labels{turn}-")
         links = [labels.select(F.col("node").alias("a"), F.col("component").alias("b"))]
         mine = scratch.write(labelled(entries, labels), f"mine{turn}")
-        left = crossings(mine)
-        # a further turn pays where many components still meet and the last one joined many
-        if turn == _TURNS or left <= _MEET * most or (before is not None and left > 0.7 * before):
+        left, wide = crossings(mine)
+        # a further turn pays where many components, or a large one and what stands beside it, still meet and the last one joined many
+        few = left <= _MEET * most and wide <= _WIDE * most
+        if turn == _TURNS or few or (before is not None and left > 0.7 * before[0] and wide > 0.7 * before[1]):
             break
-        before = left
-        pairs = scratch.write(near(forms, star_pairs(next_stars(mine, turn))), f"tried{turn}")
+        before = left, wide
+        pairs = scratch.write(near(forms, star_pairs(next_stars(mine, turn), _STARS)), f"tried{turn}")
         scratch.drop(f"mine{turn}")
         scratch.release()
     scratch.drop("entries")
