@@ -69,3 +69,19 @@ def test_documents_beside_a_component_meet_several_of_its_members_whole(spark):
     met = ngram_join.next_stars(mine, 1).where("node = 90").groupBy("star").count().collect()
     assert len(met) > 1 and {r["count"] for r in met} == {30}
     assert ngram_join.crossings(mine) == (30, 30 * 7)
+
+
+def test_last_step_tries_few_pairs_of_two_components_before_the_others(spark):
+    from tributary.llm import ngram_join
+
+    # nodes 100..102 beside a component of 50 that all meet it, and two nodes by themselves
+    rows = [(a, b, 0, b) for a in range(50) for b in (100, 101, 102)] + [(200, 201, 200, 201)]
+    pairs = spark.createDataFrame(rows, "a long, b long, ca long, cb long")
+    first = ngram_join.some_of(pairs)
+    got = {tuple(r) for r in first.collect()}
+    assert got <= {r[:2] for r in rows} and (200, 201) in got
+    assert all(1 <= sum(b == k for _, b in got) <= ngram_join._STARS for k in (100, 101, 102))
+    # 100 and 101 joined; 102 did not, so all its other pairs stay
+    labels = spark.createDataFrame([(k, 0) for k in (*range(50), 100, 101)], "node long, component long")
+    left = sorted(tuple(r) for r in ngram_join.still_apart(pairs, labels, first).collect())
+    assert left == sorted((a, 102) for a in range(50) if (a, 102) not in got)

@@ -11,7 +11,8 @@ components are the result, so groups of copies need no pairs: documents with one
 named by a 64-bit print of the set; a second print under another key tells sets apart whose first
 prints agree, and then names them.  Pairs that link by hashes are compared word by word.  In turns, every node is tried against stars of its prefix
 shingles, and what links becomes one component; then all pairs of nodes in different components that
-share enough prefix shingles are verified, so no link between components is lost.
+share enough prefix shingles are verified, so no link between components is lost: a few pairs of each two
+components first, and the others where these did not link them.
 
 Before texts are compared, a parity signature (bit h is set where an odd number of the set's shingles
 falls on h) bounds the symmetric difference of two sets from below: every bit in which two signatures
@@ -45,9 +46,7 @@ _FIRST = 8
 _TURNS = 6
 #: Meetings of components for each row that the last step takes on rather than have another turn.
 _MEET = 32
-#: Meetings of a token's largest component's further members with other components, for each row, that it takes on.
-_WIDE = 4
-#: Members of a component that documents outside try in a turn.
+#: Members of a component that documents beside it try, and pairs of two components that the last step tries first.
 _STARS = 3
 #: A shingle that the sketch counts this often above its noise is dealt to several tasks.
 _HOT = 50_000
@@ -373,19 +372,21 @@ def star_pairs(near: DataFrame, tries: int = 2) -> DataFrame:
     return best.select("a", "b")
 
 
-def next_stars(mine: DataFrame, turn: int) -> DataFrame:
+def next_stars(mine: DataFrame, turn: int, stars: int = _STARS) -> DataFrame:
     """Rows for ``star_pairs`` once components are known: a shingle's stars are documents of its largest component;
     documents of that component are left out.
 
-    One is the shingle's own, by a hash that changes with the turn.  The others are the component's, ``_STARS`` at
+    One is the shingle's own, by a hash that changes with the turn.  The others are the component's, ``stars`` at
     most and the same for all its shingles: a document beside it meets a star in every shingle that both hold, so
     what they share is counted whole.
     """
     hashed = lambda c, *more: F.xxhash64(c, F.lit(turn), *map(F.lit, more))
     key = F.least("size", F.lit(1 << 30)) * (1 << 32) + F.pmod(hashed("node"), F.lit(1 << 32))
     own = mine.groupBy("token").agg(F.max_by("node", key).alias("star"), F.max_by("meta", key).alias("star_meta"), F.max_by("component", key).alias("other"))
+    if not stars:
+        return mine.join(own, "token").where("component <> other")
     several = mine.where("size > 1")
-    heads = several.groupBy("component").agg(F.array_distinct(F.array(*[F.max_by("node", hashed("node", k)) for k in range(_STARS)])).alias("heads"))
+    heads = several.groupBy("component").agg(F.array_distinct(F.array(*[F.max_by("node", hashed("node", k)) for k in range(stars)])).alias("heads"))
     heads = heads.select(F.col("component").alias("other"), F.explode("heads").alias("star"))
     shared = several.select("token", F.col("node").alias("star"), F.col("meta").alias("star_meta"), F.col("component").alias("other"))
     shared = shared.join(heads, ["other", "star"]).join(own.select("token", "other"), ["token", "other"]).select("token", "star", "star_meta", "other")
@@ -405,7 +406,7 @@ def crossings(mine: DataFrame) -> tuple[int, int]:
     """What meets in the part of the prefixes that counts for sets of one size, once for each shingle.
 
     (pairs of components, pairs of a component and a further member of the shingle's largest one: what
-    the last step compares with a large component that all but a few of its documents have joined).
+    the last step need not compare where a few of these pairs link).
     """
     near = mine.withColumns(_parts("meta")).where("7 * (pos - need) <= n")
     each = near.groupBy("token", "component").agg(F.count("*").alias("n")).groupBy("token").agg(F.count("*").alias("m"), F.max("n").alias("top"))
@@ -445,7 +446,7 @@ def _new(x: str, y: str) -> str:
 
 
 def cross_pairs(met: DataFrame, kinds: DataFrame) -> DataFrame:
-    """(a, b, need) of different components that meet in a list of ``meetings`` and could link: all of them.
+    """(a, b, ca, cb, need): nodes of different components ca and cb that meet in a list of ``meetings`` and could link: all of them.
 
     Nodes that stand alone for their component meet each other; components with several are
     paired first (with bounds of their members' places), so a large component's members meet only
@@ -453,25 +454,51 @@ def cross_pairs(met: DataFrame, kinds: DataFrame) -> DataFrame:
     """
     one = met.where("many = 1")
     room = _could("p.n", "p.pos", "p.need", "q.n", "q.pos", "q.need")
-    pair = [F.col("p.node").alias("a"), F.col("q.node").alias("b"), F.least("p.need", "q.need").alias("need")]
-    alone = one.alias("p").join(one.alias("q"), F.expr(f"p.x = q.x and p.node < q.node and {room} and {_new('p', 'q')}")).select(*pair)
+    end = lambda t, c: F.struct(F.col(f"{t}.node").alias("node"), F.col(f"{t}.{c}").alias("component"))
+    pair = lambda own: [end("p", own).alias("p"), end("q", "component").alias("q"), F.least("p.need", "q.need").alias("need")]
+    alone = one.alias("p").join(one.alias("q"), F.expr(f"p.x = q.x and p.node < q.node and {room} and {_new('p', 'q')}")).select(*pair("component"))
     wide = "7 * (u.early - least(u.most, v.most)) <= 4 * u.large - 3 * v.small and 7 * (v.early - least(u.most, v.most)) <= 4 * v.large - 3 * u.small"
     # the side with more members is u
     two = kinds.where("many > 1").alias("u").join(kinds.alias("v"), F.expr(f"u.x = v.x and struct(u.many, u.component) > struct(v.many, v.component) and {wide}"))
     two = two.select(F.col("u.x").alias("x"), F.col("u.component").alias("other"), F.col("v.component").alias("component"))
-    fewer = met.join(two, ["x", "component"]).select("x", F.col("other").alias("component"), "node", "n", "pos", "need", "first", *_S)
-    mixed = fewer.alias("p").join(met.where("many > 1").alias("q"), F.expr(f"p.x = q.x and p.component = q.component and {room} and {_new('p', 'q')}")).select(*pair)
-    return alone.unionByName(mixed).groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("need").alias("need"))
+    fewer = met.join(two, ["x", "component"]).select("x", F.col("other").alias("component"), F.col("component").alias("own"), "node", "n", "pos", "need", "first", *_S)
+    mixed = fewer.alias("p").join(met.where("many > 1").alias("q"), F.expr(f"p.x = q.x and p.component = q.component and {room} and {_new('p', 'q')}")).select(*pair("own"))
+    both = alone.unionByName(mixed).select(F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q"), "need")
+    ends = [F.col("p.node").alias("a"), F.col("q.node").alias("b"), F.col("p.component").alias("ca"), F.col("q.component").alias("cb")]
+    return both.groupBy(*ends).agg(F.min("need").alias("need"))
 
 
 def matched(mine: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) that share as many prefix shingles as both ask for."""
+    """The pairs (a, b, ca, cb) that share as many prefix shingles as both ask for."""
     more = pairs.where("need > 1")
     used = more.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     own = mine.join(used.hint("merge"), "node", "left_semi").groupBy("node").agg(F.collect_list("token").alias("tokens"))
     side = lambda c: own.select(F.col("node").alias(c), F.col("tokens").alias(f"t{c}"))
     both = more.hint("merge").join(side("a"), "a").hint("merge").join(side("b"), "b")
-    return pairs.where("need = 1").select("a", "b").unionByName(both.where(F.size(F.array_intersect("ta", "tb")) >= F.col("need")).select("a", "b"))
+    known = ["a", "b", "ca", "cb"]
+    return pairs.where("need = 1").select(*known).unionByName(both.where(F.size(F.array_intersect("ta", "tb")) >= F.col("need")).select(*known))
+
+
+def some_of(pairs: DataFrame) -> DataFrame:
+    """(a, b): of the pairs (a, b, ca, cb) between two components ``_STARS`` at most, by hashes.
+
+    Where these link, the components are one, and their other pairs, as many as the product of their sizes, are not needed.
+    """
+    picked = F.array_distinct(F.array(*[F.min_by(F.struct("a", "b"), F.xxhash64("a", "b", F.lit(k))) for k in range(_STARS)]))
+    return pairs.groupBy(F.least("ca", "cb"), F.greatest("ca", "cb")).agg(picked.alias("p")).select(F.explode("p").alias("p")).select("p.a", "p.b")
+
+
+def still_apart(pairs: DataFrame, labels: DataFrame, tried: DataFrame) -> DataFrame:
+    """The pairs (a, b) that were not ``tried`` and whose components ca and cb are still two by ``labels``.
+
+    Components are looked up once for each two of them, not for each pair.
+    """
+    two = pairs.select("ca", "cb").distinct()
+    for c in ("ca", "cb"):
+        now = labels.select(F.col("node").alias(c), F.col("component").alias(f"now_{c}"))
+        two = two.join(now.hint("merge"), c, "left")
+    two = two.where(F.coalesce("now_ca", "ca") != F.coalesce("now_cb", "cb")).select("ca", "cb")
+    return pairs.hint("merge").join(two, ["ca", "cb"], "left_semi").select("a", "b").join(tried.hint("merge"), ["a", "b"], "left_anti")
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", print_bits: int = 64) -> DataFrame:
@@ -522,23 +549,30 @@ def join(docs: DataFrame, id_col: str = "doc_id", print_bits: int = 64) -> DataF
         links = [labels.select(F.col("node").alias("a"), F.col("component").alias("b"))]
         mine = scratch.write(labelled(entries, labels), f"mine{turn}")
         left, wide = crossings(mine)
-        # a further turn pays where many components, or a large one and what stands beside it, still meet and the last one joined many
-        few = left <= _MEET * most and wide <= _WIDE * most
-        if turn == _TURNS or few or (before is not None and left > 0.7 * before[0] and wide > 0.7 * before[1]):
+        # a further turn pays where many components still meet and the last one joined many
+        if turn == _TURNS or left <= _MEET * most or (before is not None and left > 0.7 * before):
             break
-        before = left, wide
-        pairs = scratch.write(near(forms, star_pairs(next_stars(mine, turn), _STARS)), f"tried{turn}")
+        before = left
+        pairs = scratch.write(near(forms, star_pairs(next_stars(mine, turn, 0))), f"tried{turn}")
         scratch.drop(f"mine{turn}")
         scratch.release()
     scratch.drop("entries")
     scratch.release()
     pairs = scratch.write(cross_pairs(*meetings(scratch, mine, forms)), "cross")
     scratch.drop("lists", "kinds", "met")
-    pairs = scratch.write(near(forms, matched(mine, pairs)), "close")
+    pairs = scratch.write(matched(mine, pairs), "matched")
     scratch.drop(f"mine{turn}", "cross")
     scratch.release()
-    links.append(scratch.write(verified(docs, pairs, repeats, prints.keys[0]), "rest"))
-    scratch.drop("close")
+    if wide:  # some pairs of each two components first
+        first = scratch.write(some_of(pairs), "first")
+        links.append(scratch.write(verified(docs, scratch.write(near(forms, first), "close"), repeats, prints.keys[0]), "some"))
+        labels = components(scratch, joined(), "joined")
+        links = [labels.select(F.col("node").alias("a"), F.col("component").alias("b"))]
+        pairs = scratch.write(still_apart(pairs, labels, first), "apart")
+        scratch.drop("matched", "first", "close", "some")
+        scratch.release()
+    links.append(scratch.write(verified(docs, scratch.write(near(forms, pairs), "close"), repeats, prints.keys[0]), "rest"))
+    scratch.drop("matched", "apart", "close")
     scratch.release()
     labels = scratch.write(components(scratch, joined(), "last"), "components")
     # joined as tables, so that a class with many copies can be split between tasks
