@@ -5,7 +5,7 @@ from collections import deque
 
 import pytest
 
-from tributary.operators import centrality
+from tributary.operators import centrality, paths
 
 
 def brute(nodes, edges, directed):
@@ -58,3 +58,26 @@ def test_no_nodes(spark):
     nodes = spark.createDataFrame([], "model string, net_idx int, node long")
     edges = spark.createDataFrame([], "model string, net_idx int, src long, dst long")
     assert centrality.path_metrics(nodes, edges).count() == 0
+
+
+@pytest.mark.parametrize("directed", [False, True])
+def test_paths_over_several_tiles(spark, directed):
+    rng = random.Random(3)
+    edges = [(rng.randrange(30), rng.randrange(30)) for _ in range(70)] + [(30, 31), (31, 32)]
+    rows = spark.createDataFrame([("m", 0, v) for v in range(34)], "model string, net_idx int, node long")
+    links = spark.createDataFrame([("m", 0, a, b) for a, b in edges], "model string, net_idx int, src long, dst long")
+    got = {r["node"]: tuple(r)[3:] for r in centrality.path_metrics(rows, links, directed, tile=(4, 8, 5)).collect()}
+    want = brute(range(34), edges, directed)
+    assert set(got) == set(want)
+    for v, x in want.items():
+        assert got[v] == pytest.approx(x, abs=1e-9), v
+
+
+def test_a_step_gathers_without_a_row_for_a_source_and_edge(spark):
+    grid = paths.Grid(100)
+    ends = [(a, b) for a in range(60) for b in range(60) if a != b]
+    links = paths.packed(spark.createDataFrame(ends, "a long, b long"), grid).persist()
+    first = paths.first_level(spark.range(60), grid).persist()
+    level = paths.further(first, first, links, grid)
+    assert [links.count(), first.count(), level.count()] == [1, 1, 1]
+    assert sorted(tuple(r) for r in paths.reached(level, grid).collect()) == [(k, 59.0) for k in range(60)]
