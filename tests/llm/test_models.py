@@ -2,6 +2,7 @@
 
 import math
 import random
+import zlib
 from collections import Counter, defaultdict
 
 import duckdb
@@ -180,3 +181,18 @@ def test_many_languages_with_all_bytes_keep_longer_contexts():
     assert np.allclose(p[:, :-1].sum(1) + 16 * p[:, -1], 1.0, atol=1e-3)
     tight = langid.compile_model(table, 1000, 10)
     assert len(tight.bits) // size == size + 1
+
+
+def test_quality_reaches_the_driver_in_parts(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"good words stand here {i} {'x' * (i % 7)}" if i % 2 else f"BAD {i} !! bad" if i else "") for i in range(40)], "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "int(doc_id % 2) as quality")
+    monkeypatch.setattr(type(docs), "toArrow", None)
+    model = quality.train(docs, labels)
+    monkeypatch.undo()
+    rows = docs.collect()
+    feats = [quality.features(np.frombuffer((t := r["text"].encode()), np.uint8), np.array([0, len(t)]))[0] for r in rows]
+    for x in feats:
+        assert quality.unpacked(quality.packed(x)).tolist() == x.tolist() and quality.unpacked(quality.packed(x)).dtype == x.dtype
+    order = np.argsort([zlib.crc32(x.tobytes()) for x in feats], kind="stable")
+    want = quality.fit([feats[i] for i in order], np.array([rows[i]["doc_id"] % 2 for i in order]))
+    assert model.bias == want.bias and np.array_equal(model.weights, want.weights) and np.array_equal(model.squares, want.squares)

@@ -16,8 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import give_back
-from ._text import blocks, lists, mix, row_of, span_hashes, table, text_column, word_spans
+from ._shared import Scratch, give_back
+from ._text import blocks, mix, row_of, span_hashes, table, text_column, word_spans
 
 BITS = 18
 _U = np.uint64
@@ -89,7 +89,7 @@ def fit(rows: list[np.ndarray], y: np.ndarray, cost: float = 1.0, smooth: float
         counts[int(label)][x] += 1
     # share of the class's rows that hold the feature
     ratio = np.log(counts[1] / (np.sum(y == 1) + 2 * smooth)) - np.log(counts[0] / (np.sum(y == 0) + 2 * smooth))
-    held = [(x, ((v := ratio[x]) / max(np.sqrt(v @ v), 1e-9)).astype(np.float32)) for x in rows]
+    norm = [max(np.sqrt((v := ratio[x]) @ v), 1e-9) for x in rows]
     sign = np.where(y == 1, 1.0, -1.0)
     caps = np.where(y == 1, cost * len(y) / (2 * np.sum(y == 1)), cost * len(y) / (2 * np.sum(y == 0)))
     alpha, w, bias = np.zeros(len(y)), np.zeros(size), 0.0
@@ -97,7 +97,8 @@ def fit(rows: list[np.ndarray], y: np.ndarray, cost: float = 1.0, smooth: float
     for _ in range(epochs):
         worst = 0.0
         for i in rng.permutation(len(y)):
-            x, v = held[i]
+            x = rows[i]
+            v = (ratio[x] / norm[i]).astype(np.float32)  # made again each time: kept for all rows they take as much as the rows
             slope = sign[i] * (v @ w[x] + bias) - 1.0
             new = min(max(alpha[i] - slope / 2.0, 0.0), caps[i])  # rows have length 1, and a constant feature 1
             step = (new - alpha[i]) * sign[i]
@@ -120,11 +121,22 @@ def margins(model: NbSvm, feats: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return (total[ends[1:]] - total[ends[:-1]]) / length + model.bias
 
 
+def packed(feats: np.ndarray) -> bytes:
+    """A row's features, sorted and distinct, as compressed gaps."""
+    return zlib.compress(np.diff(feats, prepend=0).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    gaps = np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1).T
+    return np.cumsum(np.ascontiguousarray(gaps).view("<u4").ravel(), dtype=np.int64).astype(np.int32)
+
+
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row, end, data, at in blocks(text_column(batch)):
             feats, counts = features(data, at)
-            yield pa.RecordBatch.from_arrays([batch.column("label").slice(row, end - row), lists(feats, counts, pa.int32())], ["label", "features"])
+            each = pa.array([packed(x) for x in np.split(feats, np.cumsum(counts)[:-1])], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("label").slice(row, end - row), each], ["label", "features"])
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", max_rows: int = 6_000, **options) -> NbSvm:
@@ -138,9 +150,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col:
     share = F.pmod(F.xxhash64(F.col(id_col), F.lit("quality")), F.lit(1_000_003)) / 1_000_003
     chosen = marked.where(share < max_rows / n) if n > max_rows else marked  # so it holds about max_rows rows at most
     rows = docs.select(id_col, "text").join(F.broadcast(chosen), id_col).select("label", "text")
-    got = rows.mapInArrow(_extract, "label int, features array<int>").toArrow()
-    y = got.column("label").to_numpy().astype(np.int64) if len(got) else np.zeros(0, np.int64)
-    found = [x.values.to_numpy() for x in got.column("features").combine_chunks()] if len(got) else []
+    scratch = Scratch(docs.sparkSession)
+    table = scratch.write(rows.mapInArrow(_extract, "label int, features binary"), "features")
+    got = [(r["label"], unpacked(r["features"])) for r in table.toLocalIterator()]  # a part at a time, so that the driver never holds all parts twice
+    scratch.drop("features")
+    y = np.array([label for label, _ in got], np.int64)
+    found = [x for _, x in got]
     order = np.argsort([zlib.crc32(x.tobytes()) for x in found], kind="stable").astype(int)  # whatever order rows arrive in
     model = fit([found[i] for i in order], y[order], **options)
     del got, found
