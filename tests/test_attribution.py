@@ -1,0 +1,23 @@
+"""The surrogate's folds."""
+
+import pytest
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from tributary.operators import attribution
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 5, 6, 11, 41, 100])
+def test_parts_are_those_of_the_percent_rank(spark, n):
+    frame = spark.range(n).selectExpr(f"id * 7 % 101 div {1 + n % 2} as node")
+    ranked = frame.withColumn("h", F.percent_rank().over(W.orderBy("node")))
+    train, test = attribution.parts(frame)
+    nodes = lambda t: sorted(r["node"] for r in t.collect())
+    assert nodes(train) == nodes(ranked.where("h < 0.8")) and nodes(test) == nodes(ranked.where("h >= 0.8"))
+
+
+def test_surrogate_orders_no_whole_table(spark, monkeypatch):
+    monkeypatch.setattr(F, "percent_rank", None)
+    frame = spark.range(60).selectExpr("id as node", "double(id % 5) as a", "double(id % 3) as b", "double(id % 5 + 2 * (id % 3)) as y")
+    model, r2 = attribution.surrogate(frame, ["a", "b"], "y", trees=3)
+    assert r2 > 0.5 and attribution.shap_values(frame, ["a", "b"], model).count() == 120

@@ -12,6 +12,8 @@ from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .split import _nth
+
 
 def _tree(node) -> dict:
     """A fitted tree's node as plain values; cover is its number of training rows."""
@@ -49,22 +51,27 @@ def tree_shap(tree: dict, x: np.ndarray) -> dict[int, float]:
     return out
 
 
+def parts(frame: DataFrame, share: float = 0.8) -> tuple[DataFrame, DataFrame]:
+    """(rows before, rows from) the place where the percent rank by node reaches ``share``: one cut, without an order of all rows."""
+    n = frame.count()
+    if n == 0:
+        return frame, frame
+    last = int(share * (n - 1)) + 1
+    while last > 0 and last / max(n - 1, 1) >= share:
+        last -= 1
+    cut = _nth(frame, F.col("node"), ["node"], last + 1, n)["node"]
+    before = F.col("node").isNull() if cut is None else F.col("node").isNull() | (F.col("node") <= F.lit(cut))
+    return frame.where(before), frame.where(~before)
+
+
 def surrogate(frame: DataFrame, features: list[str], target: str, trees: int = 20, depth: int = 3, seed: int = 42):
     """(fitted GBT model, R2 on the last fifth of rows by key): frame has node, the features and the target."""
-    v = VectorAssembler(inputCols=features, outputCol="features").transform(frame)
-    ranked = v.withColumn("__h", F.percent_rank().over(_order()))
-    train, test = ranked.where("__h < 0.8"), ranked.where("__h >= 0.8")
+    train, test = parts(VectorAssembler(inputCols=features, outputCol="features").transform(frame))
     model = GBTRegressor(labelCol=target, maxIter=trees, maxDepth=depth, seed=seed).fit(train)
     e = model.transform(test).agg((1.0 - F.sum(F.pow(F.col(target) - F.col("prediction"), 2)) / (F.var_pop(target) * F.count("*"))).alias("r2")).first()
     return model, e["r2"]
 
 
-def _order():
-    from pyspark.sql import Window as W
-
-    return W.orderBy("node")
-
-
 def shap_values(frame: DataFrame, features: list[str], model) -> DataFrame:
     """(node, feature, shap) long table: trees' Shapley values by their weights."""
     trees = [_tree(t._call_java("rootNode")) for t in model.trees]
