@@ -81,3 +81,18 @@ def test_a_step_gathers_without_a_row_for_a_source_and_edge(spark):
     level = paths.further(first, first, links, grid)
     assert [links.count(), first.count(), level.count()] == [1, 1, 1]
     assert sorted(tuple(r) for r in paths.reached(level, grid).collect()) == [(k, 59.0) for k in range(60)]
+
+
+@pytest.mark.parametrize("sources", [1, 16])
+def test_whole_searches_write_no_level(spark, monkeypatch, sources):
+    monkeypatch.setattr(paths, "first_level", None)
+    monkeypatch.setattr(paths, "LEAST_SOURCES", sources)
+    rng = random.Random(5)
+    edges = [(rng.randrange(40), rng.randrange(40)) for _ in range(60)]
+    rows = spark.createDataFrame([(m, 0, v) for m in "ab" for v in range(40)], "model string, net_idx int, node long")
+    links = spark.createDataFrame([("b", 0, a, b) for a, b in edges], "model string, net_idx int, src long, dst long")
+    got = {tuple(r)[:3]: tuple(r)[3:] for r in centrality.path_metrics(rows, links).collect()}
+    want = {(m, 0, v): x for m, es in (("a", []), ("b", edges)) for v, x in brute(range(40), es, False).items()}
+    assert set(got) == set(want)
+    for k, x in want.items():
+        assert got[k] == pytest.approx(x, abs=1e-9), k
