@@ -154,3 +154,27 @@ def test_features_are_computed_once(spark, data):
     features = spark.range(12).select(F.col("id").alias("user_id"), count("id").alias("x"))
     factorization.fit(data[1], Options(k=2, iterations=2), user_features=features).users.count()
     assert seen.value == 12
+
+
+def test_factors_that_were_replaced_are_dropped(spark):
+    from pathlib import Path
+
+    from tributary.functions.lineage import shared_folder
+    from tributary.operators import factorization
+
+    rows = spark.createDataFrame([(u, i, float(u * i % 5)) for u in range(12) for i in range(9) if (u + i) % 3], "user_id long, item_id long, rating double")
+    root = Path(shared_folder(spark).removeprefix("file:"))
+    before = set(root.iterdir())
+    model = factorization.fit(rows, factorization.Options(k=2, iterations=3))
+    assert [model.users.count(), model.items.count()] == [12, 9]
+    new = [p.name.split("-")[0] for p in set(root.iterdir()) - before]
+    assert new.count("tables") == 2 and sum(p.name.startswith("rdd") for p in set(root.iterdir()) - before) <= 2  # users and items; at most both lists of entities dealt over salts
+
+
+def test_side_information_reads_the_folds_once(spark, monkeypatch):
+    from tributary.plans import queries
+
+    calls, real = [], queries._folds
+    monkeypatch.setattr(queries, "_folds", lambda s, d: calls.append(d) or real(s, d))
+    queries.QUERIES["cmf_side_info_metrics"](spark, "/root/testdata/sf0.001")
+    assert len(calls) == 1

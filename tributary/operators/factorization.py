@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.lineage import cut
+from ..functions.lineage import Tables, cut
 from . import biases, blocks, topn
 
 
@@ -317,16 +317,29 @@ def fit(ratings: DataFrame, options: Options = Options(), user_features: DataFra
     swapped = replace(o, k_user=o.k_item, k_item=o.k_user, w_user=o.w_item, w_item=o.w_user, user_bias=o.item_bias, item_bias=o.user_bias)
     c = d = seen_i = None
     by_user, by_item = blocks.deal(ratings, "user_id", "item_id", o.weight_col), blocks.deal(ratings, "item_id", "user_id", o.weight_col)
+    kept: dict[str, Tables] = {}
+
+    def renewed(name: str, factors: DataFrame) -> DataFrame:
+        """The factors, written; those that they take the place of are dropped."""
+        tables = Tables(ratings.sparkSession)
+        out, old = tables.write(factors), kept.pop(name, None)
+        kept[name] = tables
+        if old is not None:
+            old.drop()
+        return out
+
     for _ in range(o.iterations):
         if user_features is not None:
             c = _feature_map(users, user_features, "user_id", width_u, o.lam, o.w_user)
         if item_features is not None:
             d = _feature_map(items, item_features, "item_id", width_i, o.lam, o.w_item)
-        seen_u = cut(seen_factors(swapped, by_user, items)) if o.implicit_features else None
-        items = cut(_update(swapped, by_item, users, mean, d, item_features, "item_id", seen=seen_u))
-        seen_i = cut(seen_factors(o, by_item, users)) if o.implicit_features else None
+        seen_u = renewed("seen_u", seen_factors(swapped, by_user, items)) if o.implicit_features else None
+        items = renewed("items", _update(swapped, by_item, users, mean, d, item_features, "item_id", seen=seen_u))
+        seen_i = renewed("seen_i", seen_factors(o, by_item, users)) if o.implicit_features else None
         for _ in range(o.social_sweeps if social is not None and o.lam_social else 1):
-            users = cut(_update(o, by_user, items, mean, c, user_features, "user_id", social if o.lam_social else None, users, seen_i))
+            users = renewed("users", _update(o, by_user, items, mean, c, user_features, "user_id", social if o.lam_social else None, users, seen_i))
+    if "seen_u" in kept:
+        kept["seen_u"].drop()
     by_user.drop()
     by_item.drop()
     if user_features is not None:
